@@ -62,13 +62,8 @@ def avg_by(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
 
 def median_by(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """Median per group; groups without a value give NULL."""
-    medians = ordered.exact_quantile(df, [col], 0.5, by=keys)
-    groups = df.select(*keys).distinct()
-    right = medians.select(*[F.col(k).alias(f"_{k}") for k in keys], "value")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & groups[k].eqNullSafe(right[f"_{k}"])
-    return groups.join(right, cond, "left").select(*keys, F.col("value").alias(f"median_{col}"))
+    medians = ordered.exact_quantile(df, [col], 0.5, by=keys, keep_empty=True)
+    return medians.select(*keys, F.col("value").alias(f"median_{col}"))
 
 
 def fit_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),

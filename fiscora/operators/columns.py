@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fiscora.functions import numeric
 
@@ -106,9 +106,13 @@ def inf_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def with_params(df: DataFrame, params: DataFrame, columns) -> DataFrame:
     """Add columns that use a one-row table of fitted values.
 
-    ``columns`` receives the row as a struct column and returns the columns to
-    set. The row is a scalar subquery: evaluated once, inlined at run time, so
-    the big side is neither joined nor shuffled.
+    The row is fetched once, as a fitted model would be, and enters the plan
+    as constants: the big side is neither joined nor shuffled, and later
+    actions do not fit again. ``columns`` receives {name: constant column} and
+    returns the columns to set.
     """
-    row: Column = params.select(F.struct("*")).scalar()
-    return df.withColumns(columns(row))
+    rows = params.take(2)
+    if len(rows) != 1:
+        raise ValueError(f"expected one row of fitted values, found {len(rows)}")
+    values = {f.name: F.lit(rows[0][f.name]).cast(f.dataType) for f in params.schema.fields}
+    return df.withColumns(columns(values))

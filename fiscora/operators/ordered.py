@@ -16,6 +16,8 @@ from fiscora.session import settle
 # Ranges per running-sum pass: 2 ** RANGE_BITS.
 RANGE_BITS = 8
 SKETCH_ACCURACY = 20_000
+# Up to this many values one aggregation buffer may hold a whole column.
+BUFFER_VALUES = 200_000
 
 
 def surrogate_key(df: DataFrame, order_cols: Sequence[str], out: str, start: int = 1) -> DataFrame:
@@ -112,50 +114,57 @@ def running_sums(df: DataFrame, value: str, sums: Mapping[str, Column],
         *[(F.col(f"_{n}_offset") + F.col(f"_{n}_local")).alias(f"{n}_before") for n in names])
 
 
-def to_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
-            name: str = "column_name", value: str = "value") -> DataFrame:
-    """One row per (row, column) for the given numeric columns."""
-    return df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        list(by), list(cols), name, value)
-
-
 def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[str] = (),
-                   method: str = "interpolate") -> DataFrame:
+                   method: str = "interpolate", keep_empty: bool = False) -> DataFrame:
     """Exact quantile per column (and group): rows (by..., column_name, n, value).
 
-    A first pass brackets the wanted rank with a mergeable sketch, a second
-    pass counts everything below the bracket and keeps only distinct values
-    inside it, so next to nothing is shuffled. ``method`` is ``interpolate``
-    (linear between neighbours) or ``element`` (the lower neighbour).
+    Groups without any value are left out unless ``keep_empty``. A first pass brackets the wanted rank of every column with a mergeable
+    sketch. Further passes count what lies below the bracket and keep the
+    distinct values inside it, so next to nothing is shuffled. ``method`` is
+    ``interpolate`` (linear between neighbours) or ``element`` (the lower one).
     """
-    by = list(by)
+    by, cols = list(by), list(cols)
     keys = by + ["column_name"]
-    long = to_long(df, cols, by).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    slack = 8.0 / SKETCH_ACCURACY
-    bracket = long.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("value", [max(q - slack, 0.0), min(q + slack, 1.0)],
-                            SKETCH_ACCURACY).alias("_b"))
-    bracket = bracket.select(
-        *[F.col(c).alias(f"_{c}") for c in keys], "n",
-        F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    wide = df.select(*by, *[
+        F.expr(f"nullif(cast(`{c}` AS double), double('NaN'))").alias(c) for c in cols])
+    brackets = _brackets(wide, cols, q, by)
+    if by:
+        bracketed = wide.join(brackets, _same_keys(by)).drop(*[f"_{c}" for c in by])
+    else:
+        row = brackets.first()
+        counts = [row[f"_n_{c}"] for c in cols]
+        if max(counts) <= BUFFER_VALUES and (method == "interpolate" or q == 0.5):
+            return _buffered_quantile(wide, cols, q, method, keep_empty)
+        bracketed = wide.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType)
+                                      for f in brackets.schema.fields})
+
+    def stats(c: str) -> dict[str, Column]:
+        return {"n": F.any_value(f"_n_{c}"), "_lo": F.any_value(f"_lo_{c}"),
+                "_hi": F.any_value(f"_hi_{c}"),
+                "_below": F.count_if(F.col(c) < F.col(f"_lo_{c}"))}
+
+    facts = bracketed.groupBy(*by).agg(*[
+        F.struct(F.lit(c).alias("column_name"), *[v.alias(k) for k, v in stats(c).items()]).alias(c)
+        for c in cols]).select(*by, F.inline(F.array(*cols)))
+    facts = facts.select(*[F.col(c).alias(f"_{c}") for c in keys], "n", "_lo", "_hi", "_below")
+    inside = bracketed.select(*by, *[
+        F.when(F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")), F.col(c)).alias(c)
+        for c in cols])
+    # Small for big groups and read more than once below.
+    counted = settle(
+        inside.unpivot(by, cols, "column_name", "value").filter(F.col("value").isNotNull())
+        .groupBy(*keys, "value").agg(F.count("*").alias("_c")))
     if not by:
         # One row per column.
-        bracket = F.broadcast(bracket)
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    # Slices of the bracket: below (-1), then 0..63 by place inside it.
+        facts = F.broadcast(facts)
+    same = _same_keys(keys)
+    # 64 slices of the bracket, so that a huge group is ordered by many tasks.
     width = F.col("_hi") - F.col("_lo")
-    inner = F.when(width > 0, F.least(
-        F.lit(63), F.floor((F.col("value") - F.col("_lo")) / width * 64))).otherwise(0)
-    piece = F.when(F.col("value") < F.col("_lo"), -1).otherwise(inner).cast("int")
-    counted = (long.join(bracket, same, "inner").filter(F.col("value") <= F.col("_hi"))
-               .groupBy(*keys, "n", piece.alias("_piece"),
-                        F.when(F.col("value") >= F.col("_lo"), F.col("value")).alias("value"))
-               .agg(F.count("*").alias("_c")))
-    # At most 65 rows per group.
-    pieces = counted.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_c"))
+    piece = F.when(width > 0, F.least(F.lit(63), F.floor(
+        (F.col("value") - F.col("_lo")) / width * 64))).otherwise(0).cast("int")
+    placed = counted.join(facts, same, "inner").select(
+        *keys, "n", "_below", "value", "_c", piece.alias("_piece"))
+    pieces = placed.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_c"))
     earlier = (Window.partitionBy(*keys).orderBy("_piece")
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = pieces.select(
@@ -163,24 +172,63 @@ def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[st
         F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset"))
     if not by:
         offsets = F.broadcast(offsets)
-    inside = (Window.partitionBy(*keys, "_piece").orderBy("value")
+    within = (Window.partitionBy(*keys, "_piece").orderBy("value")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    through = (counted.withColumn("_through", F.sum("_c").over(inside))
+    through = (placed.withColumn("_through", F.sum("_c").over(within))
                .join(offsets, same & (F.col("_piece") == F.col("_offset_piece")), "left")
-               .withColumn("_last", F.col("_offset") + F.col("_through") - 1)
+               .withColumn("_last", F.col("_below") + F.col("_offset") + F.col("_through") - 1)
                .withColumn("_first", F.col("_last") - F.col("_c") + 1))
     rank = (F.col("n") - 1) * F.lit(float(q))
     low, high = F.floor(rank), F.ceil(rank)
 
-    def at(r: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= r) & (r <= F.col("_last")), F.col("value")))
+    def at(place: Column) -> Column:
+        return F.max(F.when(place.between(F.col("_first"), F.col("_last")), F.col("value")))
 
     found = through.groupBy(*keys, "n").agg(at(low).alias("_v0"), at(high).alias("_v1"))
     v0, v1 = F.col("_v0"), F.col("_v1")
     value = v0 if method == "element" else v0 + (v1 - v0) * (rank - low)
     checked = F.when(v0.isNull() | v1.isNull(), F.raise_error(
         F.lit("quantile rank outside its sketch bracket"))).otherwise(value)
-    return found.select(*keys, "n", checked.cast("double").alias("value"))
+    values = found.select(*keys, "n", checked.cast("double").alias("value"))
+    if not keep_empty:
+        return values
+    groups = facts.select(*[f"_{c}" for c in keys], F.col("n").alias("_n"))
+    return groups.join(values, same, "left").select(
+        *[F.col(f"_{c}").alias(c) for c in keys], F.col("_n").alias("n"), "value")
+
+
+def _same_keys(keys: Sequence[str]) -> Column:
+    """Join condition key = _key, NULL being a key like any other."""
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return same
+
+
+def _brackets(wide: DataFrame, cols: Sequence[str], q: float, by: Sequence[str]) -> DataFrame:
+    """Count, lower and upper limit of the rank's bracket for every column."""
+    slack = 8.0 / SKETCH_ACCURACY
+    ends = f"array({max(q - slack, 0.0)}D, {min(q + slack, 1.0)}D)"
+    sketch = wide.groupBy(*by).agg(*[F.expr(e) for c in cols for e in (
+        f"count(`{c}`) AS `_n_{c}`", f"min(`{c}`) AS `_min_{c}`", f"max(`{c}`) AS `_max_{c}`",
+        f"percentile_approx(`{c}`, {ends}, {SKETCH_ACCURACY}) AS `_b_{c}`")])
+    # In a small group the slack is less than a few ranks: take all its values.
+    return sketch.selectExpr(*[f"`{c}` AS `_{c}`" for c in by], *[e for c in cols for e in (
+        f"`_n_{c}`", f"if(`_n_{c}` * {slack}D < 4, `_min_{c}`, `_b_{c}`[0]) AS `_lo_{c}`",
+        f"if(`_n_{c}` * {slack}D < 4, `_max_{c}`, `_b_{c}`[1]) AS `_hi_{c}`")])
+
+
+def _buffered_quantile(wide: DataFrame, cols: Sequence[str], q: float, method: str,
+                       keep_empty: bool) -> DataFrame:
+    """Exact quantiles of columns already known to be small."""
+    if method == "interpolate":
+        value = f"percentile(`{{c}}`, {q}D)"
+    else:
+        value = f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{{c}}`)"
+    row = wide.agg(*[F.expr(f"struct('{c}' AS column_name, count(`{c}`) AS n, "
+                            f"{value.format(c=c)} AS value) AS `{c}`") for c in cols])
+    rows = row.select(F.inline(F.array(*cols)))
+    return rows if keep_empty else rows.filter("n > 0")
 
 
 def one_row(quantiles: DataFrame, cols: Sequence[str], prefix: str = "") -> DataFrame:

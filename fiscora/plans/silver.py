@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fiscora.functions import numeric, text
 from fiscora.ml.prep import impute_apply, impute_by_group, impute_fit
 from fiscora.operators import columns, joins
+from fiscora.session import hand_over
 
 # Fixed value: lowest rurality code that counts as rural.
 RURAL_FROM = 4
@@ -88,6 +89,9 @@ def build(filings: DataFrame, rurality: DataFrame, closures: DataFrame,
         rows = rows.withColumn("completeness", numeric.completeness(
             [c for c in numeric.FINANCIAL_COLUMNS if c != "number_of_beds"]))
     amounts = list(numeric.FINANCIAL_COLUMNS)
+    if impute is not None:
+        # Medians take several passes; the joins above should run once.
+        rows = hand_over(rows, "clean")
     if impute == "global":
         return impute_apply(rows, impute_fit(rows, amounts, fit_where, method), amounts)
     if impute == "state_year":

@@ -239,8 +239,8 @@ def compare_models(spark, sf_dir):
 
 @query("m14_log_run", with_(f"{_RETURNED_SQL}, {_ranking_sql('returned')}", f"""
 SELECT 'returned' AS name, 'param' AS kind, 'model_type' AS "key", 'score' AS value
-UNION ALL SELECT 'returned', 'metric', 'roc_auc', CAST(floor(1000 * {_AUC_SQL}) AS VARCHAR) FROM ranked
-UNION ALL SELECT 'returned', 'metric', 'average_precision', CAST(floor(1000 * {_AP_SQL}) AS VARCHAR) FROM ranked"""))
+UNION ALL SELECT 'returned', 'metric', 'roc_auc', CAST(CAST(floor(1000 * {_AUC_SQL}) AS BIGINT) AS VARCHAR) FROM ranked
+UNION ALL SELECT 'returned', 'metric', 'average_precision', CAST(CAST(floor(1000 * {_AP_SQL}) AS BIGINT) AS VARCHAR) FROM ranked"""))
 def log_run(spark, sf_dir):
     """The later of two runs counts; its metrics (per mille) are added to it afterwards."""
     path = scratch_path(spark, "runs")

@@ -35,10 +35,14 @@ def normalize_name(spark, sf_dir):
         "filing_id", text.normalize_name("hospital_name").alias("name_key"))
 
 
+# Spark's upper() spells out the sharp s, DuckDB's does not.
+_PROSE = "replace(text, 'ß', 'ss')"
+
+
 @query("f4_prefix_key", f"""
-SELECT doc_id, {prefix_sql('text')} AS prefix,
+SELECT doc_id, {prefix_sql(_PROSE)} AS prefix,
        array_to_string(string_split(trim(regexp_replace(regexp_replace(
-         upper(trim(text)), '[^A-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' ')[1:4], ' ') AS collapsed
+         upper(trim({_PROSE})), '[^A-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' ')[1:4], ' ') AS collapsed
 FROM documents""")
 def prefix_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
