@@ -72,7 +72,8 @@ def train_boosted(df: DataFrame, features: Sequence[str], label: str, rounds: in
 
 def watch_boosted(model: PipelineModel, df: DataFrame, label: str) -> list[float]:
     """Loss on a watched set after each round; it never stops the training."""
-    ready = PipelineModel(model.stages[:-1]).transform(_as_label(df, label))
+    plain = _as_label(df, label).withColumn("_weight", F.lit(1.0))
+    ready = PipelineModel(model.stages[:-1]).transform(plain)
     return model.stages[-1].evaluateEachIteration(ready)
 
 

@@ -54,8 +54,9 @@ def test_running_sums(skewed, descending):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-@pytest.mark.parametrize("limit,accuracy", [(0, 20_000), (0, 100), (200_000, 20_000)])
-@pytest.mark.parametrize("q", [0.5, 0.99, 0.0, 1.0])
+@pytest.mark.parametrize("limit,accuracy,q", [
+    (0, 20_000, 0.5), (0, 100, 0.5), (0, 100, 0.99), (0, 100, 0.0), (0, 100, 1.0),
+    (200_000, 20_000, 0.99)])
 def test_exact_quantile(monkeypatch, skewed, limit, accuracy, q):
     monkeypatch.setattr(ordered, "BUFFER_VALUES", limit)
     monkeypatch.setattr(ordered, "SKETCH_ACCURACY", accuracy)
