@@ -21,7 +21,9 @@ from fiscora.session import hand_over
 
 CELL_POINTS = 2048
 VISIT_CHUNK = 20_000
-SAMPLE_POINTS = 200_000
+SAMPLE_POINTS = 400_000
+# Sampled points a cell needs so that cells come out similar in size.
+SAMPLE_PER_CELL = 8
 # Relative slack of the cell test, so rounding never hides an equal distance.
 SLACK = 1e-9
 
@@ -132,6 +134,7 @@ def nearest_neighbors(points: DataFrame, point_id: str, vector: str, n_dims: int
     a cell of equal points could not be split.
     """
     depth = max(0, ceil(log2(n_points / cell_points))) if n_points > cell_points else 0
+    depth = min(depth, int(log2(SAMPLE_POINTS / SAMPLE_PER_CELL)))
     base = points.select(F.col(point_id).alias("id"), F.col(vector).alias("x"))
     if depth:
         share = min(1.0, SAMPLE_POINTS / n_points)

@@ -10,7 +10,6 @@ from fiscora.ml.neighbors import CELL_POINTS, nearest_neighbors
 from fiscora.operators.aggregates import require_no_nulls
 from fiscora.operators.ordered import running_sums, surrogate_key
 from fiscora.operators.windows import union_synthetic
-from fiscora.session import settle
 
 DRAW_CHUNK = 10_000
 
@@ -39,8 +38,8 @@ def synthetic_rows(df: DataFrame, features: Sequence[str], label: str, k: int =
               .select(*[F.col(c).cast("double").alias(c) for c in features])
               .groupBy(*features).agg(F.count("*").alias("copies"))
               .withColumn("_mix", F.xxhash64(*features, F.lit(seed))))
-    points = settle(surrogate_key(points, ["_mix", *features], "id")
-                    .select("id", F.array(*features).alias("x"), "copies"))
+    points = surrogate_key(points, ["_mix", *features], "id").select(
+        "id", F.array(*features).alias("x"), "copies")
     near = nearest_neighbors(points, "id", "x", len(features), k, points.count(), cell_points)
     other = points.select(F.col("id").alias("neighbor"), F.col("x").alias("near_x"),
                           F.least("copies", F.lit(k)).cast("int").alias("near_copies"))

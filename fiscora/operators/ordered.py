@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fiscora.session import settle
+from fiscora.session import hand_over
 
 # Ranges per running-sum pass: 2 ** RANGE_BITS.
 RANGE_BITS = 8
@@ -25,14 +25,12 @@ def surrogate_key(df: DataFrame, order_cols: Sequence[str], out: str, start: int
 
     ``order_cols`` must be unique, which makes the numbering repeatable. Rows
     are range-partitioned and sorted, and their place (partition, offset) is
-    stored as data by the checkpoint: sampled range bounds cannot shift
-    between counting the partitions and numbering the rows.
+    written with them: sampled range bounds cannot shift between counting the
+    partitions and numbering the rows.
     """
-    place = F.monotonically_increasing_id()
-    placed = settle(
-        df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order_cols])
-        .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order_cols])
-        .withColumn("_place", place))
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    placed = hand_over(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                       .withColumn("_place", F.monotonically_increasing_id()), "placed")
     # Bit layout of monotonically_increasing_id: partition above, row below bit 33.
     part = F.shiftright("_place", 33)
     row = F.col("_place").bitwiseAND((1 << 33) - 1)
@@ -151,9 +149,9 @@ def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[st
         F.when(F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")), F.col(c)).alias(c)
         for c in cols])
     # Small for big groups and read more than once below.
-    counted = settle(
+    counted = hand_over(
         inside.unpivot(by, cols, "column_name", "value").filter(F.col("value").isNotNull())
-        .groupBy(*keys, "value").agg(F.count("*").alias("_c")))
+        .groupBy(*keys, "value").agg(F.count("*").alias("_c")), "counted")
     if not by:
         # One row per column.
         facts = F.broadcast(facts)

@@ -64,17 +64,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fiscora/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def hand_over(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Unlike a checkpoint this keeps column pruning and filter pushdown for
-    every later reader.
+    This cuts lineage in a place that outlives lost executors, and unlike a
+    checkpoint it keeps column pruning and filter pushdown for later readers.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
