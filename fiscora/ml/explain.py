@@ -21,7 +21,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from fiscora.ml.train import VECTOR
 from fiscora.session import scratch_path
 
-TABLE_FEATURES = 8
+# Up to this many features on a path all patterns are tabulated (2**n entries).
+TABLE_FEATURES = 6
 
 
 @dataclass(frozen=True)
@@ -139,7 +140,8 @@ def shap_values(model: PipelineModel, df: DataFrame, features: Sequence[str],
     spark = df.sparkSession
     leaves = model_leaves(model, spark)
     base = base_value(leaves)
-    shared = spark.sparkContext.broadcast(leaves)
+    shared = spark.sparkContext.broadcast(
+        (leaves, [_pattern_table(leaf) for leaf in leaves]))
     kept = df.select(*keep).schema
     schema = StructType(kept.fields + [StructField("base_value", DoubleType())] + [
         StructField(_phi(f), DoubleType()) for f in features])
@@ -148,8 +150,7 @@ def shap_values(model: PipelineModel, df: DataFrame, features: Sequence[str],
     places = [f"_x{i}" for i in range(len(features))]
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        tables = [_pattern_table(leaf) for leaf in own]
+        own, tables = shared.value
         for batch in batches:
             phi = attribute(batch[places].to_numpy(dtype=float), own, tables)
             out = batch.drop(columns=places)

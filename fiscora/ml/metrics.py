@@ -13,30 +13,35 @@ CLASS_NAMES = ("Stable", "Distress")
 FAIRNESS_TIERS = ("Micropolitan", "Small Town", "Remote Rural")
 
 
-def _ranked(df: DataFrame, score: str, label: str, by: Sequence[str], descending: bool) -> DataFrame:
+def ranking_metrics(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
+                    min_positives: int = 1) -> DataFrame:
+    """Both ranking metrics from one descending pass over the distinct scores.
+
+    ``roc_auc`` needs both classes, ``average_precision`` at least
+    ``min_positives`` positives; otherwise they are NULL.
+    """
     sums = {"pos": F.count_if(F.col(label) == 1), "neg": F.count_if(F.col(label) == 0)}
-    return running_sums(df, score, sums, by, descending)
+    ranked = running_sums(df, score, sums, by, descending=True)
+    hits = F.col("pos_before") + F.col("pos")
+    seen = hits + F.col("neg_before") + F.col("neg")
+    positives, pairs = F.sum("pos"), F.sum("pos").cast("double") * F.sum("neg")
+    # Pairs the negative wins; ties count half.
+    lost = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
+    return ranked.groupBy(*by).agg(
+        F.when(pairs > 0, 1 - lost / pairs).alias("roc_auc"),
+        F.when(positives >= min_positives, F.sum(F.col("pos") * hits / seen) / positives)
+        .alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Probability that a positive outranks a negative, ties counting half."""
-    ranked = _ranked(df, score, label, by, descending=False)
-    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-    pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return ranked.groupBy(*by).agg(
-        F.when(pairs > 0, wins / pairs).alias("roc_auc"))
+    return ranking_metrics(df, score, label, by).select(*by, "roc_auc")
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
                       min_positives: int = 1) -> DataFrame:
     """Sum of precision times recall gain over distinct scores, highest first."""
-    ranked = _ranked(df, score, label, by, descending=True)
-    hits = F.col("pos_before") + F.col("pos")
-    seen = hits + F.col("neg_before") + F.col("neg")
-    total = F.sum("pos")
-    return ranked.groupBy(*by).agg(
-        F.when(total >= min_positives, F.sum(F.col("pos") * hits / seen) / total)
-        .alias("average_precision"))
+    return ranking_metrics(df, score, label, by, min_positives).select(*by, "average_precision")
 
 
 def confusion(df: DataFrame, pred: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -97,6 +102,5 @@ def fairness_by_group(df: DataFrame, group: str, score: str, pred: str, label: s
 
 def compare_models(scores: DataFrame, model: str, score: str, label: str) -> DataFrame:
     """One row per model with both ranking metrics, best average precision first."""
-    return (roc_auc(scores, score, label, [model])
-            .join(average_precision(scores, score, label, [model]), model)
-            .orderBy(F.desc("average_precision"), model))
+    return ranking_metrics(scores, score, label, [model]).orderBy(
+        F.desc("average_precision"), model)

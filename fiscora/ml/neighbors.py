@@ -21,6 +21,7 @@ from fiscora.session import hand_over
 
 CELL_POINTS = 2048
 VISIT_CHUNK = 20_000
+SPREAD_POINTS = 256
 SAMPLE_POINTS = 400_000
 # Sampled points a cell needs so that cells come out similar in size.
 SAMPLE_PER_CELL = 8
@@ -180,13 +181,16 @@ def _visits(local: DataFrame, placed: DataFrame, split: SpaceSplit, n_dims: int,
             chunk: int) -> DataFrame:
     """Neighbour candidates from other cells."""
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            point, cell = split.cells_within(
-                _matrix(batch["x"], n_dims), batch["r2"].to_numpy())
-            away = cell != batch["cell"].to_numpy()[point]
-            seen = batch.iloc[point[away]]
-            yield pd.DataFrame({"id": seen["id"].to_numpy(), "x": seen["x"].to_numpy(),
-                                "r2": seen["r2"].to_numpy(), "cell": cell[away]})
+        for whole in batches:
+            # Some points visit very many cells; list a few points at a time.
+            for start in range(0, len(whole), SPREAD_POINTS):
+                batch = whole.iloc[start:start + SPREAD_POINTS]
+                point, cell = split.cells_within(
+                    _matrix(batch["x"], n_dims), batch["r2"].to_numpy())
+                away = cell != batch["cell"].to_numpy()[point]
+                seen = batch.iloc[point[away]]
+                yield pd.DataFrame({"id": seen["id"].to_numpy(), "x": seen["x"].to_numpy(),
+                                    "r2": seen["r2"].to_numpy(), "cell": cell[away]})
 
     visitors = local.select("id", "x", "r2", "cell").mapInPandas(
         spread, "id bigint, x array<double>, r2 double, cell bigint")

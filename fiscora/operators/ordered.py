@@ -81,11 +81,14 @@ def running_sums(df: DataFrame, value: str, sums: Mapping[str, Column],
     """Per distinct ``value`` (within ``by``): sums, and sums of all values before it.
 
     Output columns: ``by``, ``value``, each name of ``sums`` and ``<name>_before``.
-    Equal values are merged before anything is ordered.
+    Equal values are merged before anything is ordered, and the merged values
+    are written once: finding the ranges, their totals and the sums inside them
+    all read that small table instead of computing ``df`` again.
     """
     by = list(by)
     names = list(sums)
-    grouped = df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
+    grouped = hand_over(
+        df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()]), "merged")
     placed = split_ranges(grouped, value, bits)
 
     def sign(c: str) -> Column:
@@ -263,26 +266,27 @@ def lag_within(df: DataFrame, key: str, order: str, col: str, out: str, n: int =
         as_number = F.unix_micros(order)
     elif dtype == "date":
         as_number = F.unix_date(order)
-    df_ranged = split_ranges(df.withColumn(number, as_number.cast("double")), number, bits,
-                             source=df.select(as_number.cast("double").alias(number)))
+    ranged = split_ranges(df.withColumn(number, as_number.cast("double")), number, bits,
+                          source=df.select(as_number.cast("double").alias(number)))
     sort = [F.col(c).asc() for c in (order, *tie_breaks)]
-    current = col
-    for step in range(n):
-        target = out if step == n - 1 else f"_lag{step}"
-        within = Window.partitionBy(key, "_range").orderBy(*sort)
-        # The last row of each (key, range), at most 2**bits rows per key.
-        tail = (df_ranged.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_tail_range"))
-                .agg(F.max_by(F.struct(F.col(current).alias("v")),
-                              F.struct(*[F.col(c) for c in (order, *tie_breaks)])).alias("_tail")))
-        previous = tail.select(
-            "_key", "_tail_range",
-            F.lag("_tail").over(Window.partitionBy("_key").orderBy("_tail_range")).alias("_prev"))
-        joined = (df_ranged.withColumns({
-            "_nth": F.row_number().over(within), "_local": F.lag(current).over(within)})
-            .join(previous, F.col(key).eqNullSafe(F.col("_key"))
-                  & (F.col("_range") == F.col("_tail_range")), "left"))
-        df_ranged = joined.withColumn(
-            target, F.when(F.col("_nth") == 1, F.col("_prev.v")).otherwise(F.col("_local"))
-        ).drop("_nth", "_local", "_key", "_tail_range", "_prev")
-        current = target
-    return df_ranged.select(*df.columns, out)
+    within = Window.partitionBy(key, "_range").orderBy(*sort)
+    latest = Window.partitionBy("_key", "_tail_range").orderBy(F.desc("_at"))
+    # The last n rows of each (key, range); Spark prunes to n before the shuffle.
+    tails = (ranged.select(
+        F.col(key).alias("_key"), F.col("_range").alias("_tail_range"), F.col(col).alias("_v"),
+        F.struct(*[F.col(c) for c in (order, *tie_breaks)]).alias("_at"))
+        .withColumn("_nth", F.row_number().over(latest)).filter(F.col("_nth") <= n)
+        .groupBy("_key", "_tail_range")
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "_v"))).alias("_tail")))
+    # At most 2**bits rows per key; n ranges hold at least n rows.
+    earlier = Window.partitionBy("_key").orderBy("_tail_range").rowsBetween(-n, -1)
+    before = tails.select("_key", "_tail_range",
+                          F.flatten(F.collect_list("_tail").over(earlier)).alias("_before"))
+    placed = ranged.withColumns(
+        {"_nth": F.row_number().over(within), "_local": F.lag(col, n).over(within)})
+    joined = placed.join(before, F.col(key).eqNullSafe(F.col("_key"))
+                         & (F.col("_range") == F.col("_tail_range")), "left")
+    place = F.size("_before") - (n + 1 - F.col("_nth"))
+    carried = F.get("_before", place.cast("int"))["_v"]
+    return joined.withColumn(
+        out, F.when(F.col("_nth") > n, F.col("_local")).otherwise(carried)).select(*df.columns, out)

@@ -78,9 +78,8 @@ def run(spark: SparkSession, fact: DataFrame, dim_geography: DataFrame, run_log:
 
     scored = score.probability(models[best], parts["test"], keep, "score")
     test_scores = hand_over(scored.withColumn("pred", apply_threshold("score")), "test-scores")
-    test_metrics = metrics.roc_auc(test_scores, "score", label).select(
-        F.col("roc_auc").alias("test_roc_auc"),
-        metrics.average_precision(test_scores, "score", label).scalar().alias("test_pr_auc"))
+    test_metrics = metrics.ranking_metrics(test_scores, "score", label).withColumnsRenamed(
+        {"roc_auc": "test_roc_auc", "average_precision": "test_pr_auc"})
     runs.log_metrics(test_metrics, run_log, best, run_ids[best])
 
     phi = hand_over(explain.shap_values(models[best], parts["test"], features, key), "shap")

@@ -12,6 +12,7 @@ from fiscora.session import hand_over
 # Fixed value: lowest rurality code that counts as rural.
 RURAL_FROM = 4
 
+# Columns of the cleaned layer.
 SILVER_COLUMNS = (
     "ccn_key", "fiscal_year", "fips", "state_code", "rucc_2013", "number_of_beds",
     "total_patient_revenue", "net_patient_revenue", "total_costs", "net_income",

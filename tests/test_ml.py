@@ -169,7 +169,7 @@ def test_leaf_effects_against_all_subsets():
             assert row[i] == pytest.approx(want, abs=1e-12)
 
 
-@pytest.mark.parametrize("table_features", [8, 1])
+@pytest.mark.parametrize("table_features", [6, 1])
 def test_tree_attributions_add_up(rows, monkeypatch, table_features):
     monkeypatch.setattr(explain, "TABLE_FEATURES", table_features)
     model = train.train_boosted(rows, FEATURES, "y", rounds=6, depth=4)
