@@ -18,7 +18,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fiscora.ml.train import VECTOR
 from fiscora.session import scratch_path
 
 # Up to this many features on a path all patterns are tabulated (2**n entries).

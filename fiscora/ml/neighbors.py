@@ -9,7 +9,7 @@ cell and a bounded chunk of its visitors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log2
 

@@ -28,10 +28,6 @@ def _norm(v):
     return v
 
 
-def _sortable(row):
-    return tuple((v is not None, str(type(v).__name__ in ("int", "float", "bool")), v if not isinstance(v, (list, dict)) else str(v)) for v in row)
-
-
 def compare(df, con, sql: str) -> str | None:
     """None if equal, else what differs."""
     names = sorted(df.columns)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from fiscora.plans import ingest_stream
