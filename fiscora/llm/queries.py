@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from fiscora.llm import quality, simhash, urls  # noqa: F401
+from fiscora.llm import quality, simhash, substrings, urls  # noqa: F401
 from fiscora.llm.registry import ORACLES, QUERIES  # noqa: F401

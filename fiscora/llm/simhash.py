@@ -302,7 +302,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool
 
     The component id is the smallest key reachable over links, itself
     included. Documents without words have fingerprint zero and are linked like
-    any other. Repeated rows and ties fall into one class; an empty table gives
+    any other. A row without a key takes part in no class of its own: it gets
+    the component of its fingerprint, or NULL. Repeated rows and ties fall into one class; an empty table gives
     no rows; other columns are not read.
     """
     width = 2 if near else 1
@@ -311,7 +312,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool
     if distance is None:
         distance = near_distance(NEAR_SIMILARITY) if near else MAX_DISTANCE
     prints = hand_over(fingerprints(docs, key, text, near, shingle), "prints")
-    classes = hand_over(prints.groupBy(*words).agg(
+    classes = hand_over(prints.filter("doc_id IS NOT NULL").groupBy(*words).agg(
         F.min("doc_id").alias("node"), *[F.min(m).alias(m) for m in masks]), "classes")
     entry_schema = "bucket long, node long, " + ", ".join(f"{w} long" for w in words)
     entries, split = (_near_buckets, _split_near) if near else (_exact_buckets, _split_exact)
@@ -338,7 +339,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool
     same = F.lit(True)
     for w in words:
         same = same & (F.col(w) == F.col(f"_{w}"))
-    return prints.join(labels, same).select("doc_id", *words, "component_id")
+    return prints.join(labels, same, "left").select("doc_id", *words, "component_id")
 
 
 @query("op7_simhash_groups")
