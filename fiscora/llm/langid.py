@@ -239,6 +239,34 @@ def identify(docs: DataFrame, learn_from: Column | None = None, key: str = "doc_
     return predict(docs.select(F.col(key).alias(key), F.col(text).alias("text")), trees)
 
 
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
+                    least: float = 0.5) -> DataFrame:
+    """``docs`` without texts that have no letter, or no language with a share of ``least``.
+
+    Learns from the labelled rows of ``docs``. All columns stay. Where nothing
+    can be learned, only texts without a letter (and NULLs) go.
+    """
+    trees = fit(docs, key, text, lang)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    flag = "_has_letter"
+    while flag in docs.columns:
+        flag += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            keep = fields(batch, flag).to_numpy(zero_copy_only=False).astype(bool)
+            if known.languages:
+                for slab in slabs(batch, text):
+                    bits = known.bits(slab)
+                    share = 1 / np.exp2(np.minimum(bits.min(1)[:, None] - bits, 0)).sum(1)
+                    keep[slab.rows] &= share >= least
+            yield batch.drop_columns([flag]).filter(pa.array(keep))
+
+    letter = F.coalesce(F.col(f"`{text}`").cast("string").rlike(_LETTER), F.lit(False))
+    return docs.withColumn(flag, letter).mapInArrow(run, docs.schema)
+
+
 @query("op8_ppm_language")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

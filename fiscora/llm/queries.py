@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from fiscora.llm import hmm, langid, pii, quality, secrets, simhash, substrings, urls  # noqa: F401
+from fiscora.llm import decontaminate, hmm, langid, pieces, pii, quality, secrets, simhash, substrings, urls  # noqa: F401
 from fiscora.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -342,6 +342,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool
     return prints.join(labels, same, "left").select("doc_id", *words, "component_id")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_BUCKET) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that with the smallest key.
+
+    Texts without words are near-duplicates of each other. Rows that share a
+    key count as one document and leave one row; rows with a NULL key stay. All
+    columns stay.
+    """
+    found = groups(docs, key, text, near=True, most=most)
+    gone = hand_over(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    shared = hand_over(docs.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_key")).agg(
+        F.count("*").alias("_n")).filter("_n > 1").select("_key"), "shared")
+    if shared.isEmpty():
+        return kept
+    once = kept.join(shared, F.col(f"`{key}`") == F.col("_key"), "left_semi").dropDuplicates([key])
+    return kept.join(shared, F.col(f"`{key}`") == F.col("_key"), "left_anti").unionByName(once)
+
+
 @query("op7_simhash_groups")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).select(
