@@ -1,6 +1,6 @@
 """Near-duplicates by SimHash fingerprints and multi-index hashing.
 
-A fingerprint is cut into 32-bit segments, each with its own table. Small
+A fingerprint is cut into segments, each with its own table. Small
 Hamming balls around a segment are enumerated, members that meet in a table are
 verified over the complete fingerprint, and links are joined into components.
 
@@ -12,10 +12,11 @@ Two kinds of fingerprint:
   lowers in one. So equal segments and a ball of one bit on the upper segment
   miss nothing. Two values that differ in one bit have different parity, so only
   even ones enumerate the ball.
-* ``near``: 128 bits over five-word shingles; a distance of up to 19 bits is a
-  similarity (Jaccard, through the angle) of 0.8 or more. No ball could
-  guarantee that distance, so each segment's ball spans its four bits of smallest
-  margin, those which an edit flips first.
+* ``near``: 256 bits over five-word shingles for a similarity (Jaccard, through
+  the angle) of 0.8 or more, in ten 24-bit segments. No ball could guarantee the
+  distance that goes with it, so each segment's ball spans its three bits of
+  smallest margin, those which an edit flips first. By simulation, pairs of
+  similarity 0.8, 0.85 and 0.9 meet with probability 0.93, 0.99 and 1.
 
 Documents with equal fingerprints are one class, so copies are never paired.
 """
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, floor, pi
+from math import acos, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +41,38 @@ MAX_DISTANCE = 2            # of exact fingerprints
 SHINGLE = 3
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
-WEAK_BITS = 4               # of each segment, for near fingerprints
+NEAR_WORDS = 4              # 64-bit words of a near fingerprint
+SEGMENTS, SEGMENT_BYTES = 10, 3
+WEAK_BITS = 3               # of each segment, for near fingerprints
 # A table entry with more distinct fingerprints is split further instead of compared.
 MAX_BUCKET = 1 << 14
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 
 
-def near_distance(similarity: float, bits: int = 128) -> int:
-    """Largest Hamming distance expected at a Jaccard similarity of shingle sets."""
-    return floor(bits * acos(2 * similarity / (1 + similarity)) / pi)
+def near_distance(similarity: float, bits: int = 64 * NEAR_WORDS) -> int:
+    """Hamming distance of a Jaccard similarity of shingle sets: expectation and one deviation."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return floor(bits * p + sqrt(bits * p * (1 - p)))
+
+
+def _column_sums(bits: np.ndarray) -> np.ndarray:
+    """Sums of 0/1 columns; runs of 255 rows are added as bytes."""
+    whole = len(bits) // 255 * 255
+    total = np.add.reduce(bits[whole:], axis=0, dtype=np.uint8).astype(np.int32)
+    if whole:
+        parts = np.add.reduce(bits[:whole].reshape(-1, 255, bits.shape[1]), axis=1, dtype=np.uint8)
+        total += parts.sum(axis=0, dtype=np.int32)
+    return total
 
 
 def _majority(bits: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint bits of each owner, and by how much each bit missed a tie."""
     at = starts_of(owner, n)
     count = np.diff(at)
-    full = np.flatnonzero(count)
     sums = np.zeros((n, bits.shape[1]), np.int32)
-    for i in full:
-        np.add.reduce(bits[at[i]:at[i + 1]], axis=0, dtype=np.int32, out=sums[i])
+    for i in np.flatnonzero(count):
+        sums[i] = _column_sums(bits[at[i]:at[i + 1]])
     twice = 2 * sums - count[:, None].astype(np.int32)
     return twice > 0, np.abs(twice)
 
@@ -102,7 +115,8 @@ def _exact_prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 
 def _near_prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("w0", "w1", "m0", "m1")]])
+    names = [f"{c}{k}" for c in "wm" for k in range(NEAR_WORDS)]
+    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in names]])
     for batch in batches:
         out = []
         for slab in slabs(batch):
@@ -122,12 +136,17 @@ def _near_prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
             owners = np.concatenate([owners, short])
             order = np.argsort(owners, kind="stable")
             grams, owners = grams[order], owners[order]
-            both = np.stack([grams, mix(grams + np.uint64(0x5851F42D4C957F2D))], axis=1).astype(">u8")
-            bits, margin = _majority(np.unpackbits(both.view(np.uint8), axis=1), owners, n)
-            weak = np.argsort(margin.reshape(n, 4, 32), axis=2, kind="stable")[:, :, :WEAK_BITS]
-            mask = np.zeros((n, 4, 32), bool)
+            parts = np.stack([mix(grams + np.uint64(k * 0x5851F42D4C957F2D & (1 << 64) - 1))
+                              for k in range(NEAR_WORDS)], axis=1).astype(">u8")
+            bits, margin = _majority(np.unpackbits(parts.view(np.uint8), axis=1), owners, n)
+            used = SEGMENTS * SEGMENT_BYTES * 8
+            shape = (n, SEGMENTS, SEGMENT_BYTES * 8)
+            weak = np.argsort(margin[:, :used].reshape(shape), axis=2, kind="stable")[:, :, :WEAK_BITS]
+            mask = np.zeros(shape, bool)
             np.put_along_axis(mask, weak, True, axis=2)
-            out.append([*_words64(bits), *_words64(mask.reshape(n, 128))])
+            whole = np.zeros(bits.shape, bool)
+            whole[:, :used] = mask.reshape(n, used)
+            out.append([*_words64(bits), *_words64(whole)])
         if out:
             yield record(schema, fields(batch, "doc_id"),
                          *[np.concatenate(c).view(np.int64) for c in zip(*out)])
@@ -156,10 +175,17 @@ def _exact_buckets(words: list[np.ndarray], _masks) -> np.ndarray:
 
 
 def _segments(words: list[np.ndarray]) -> list[np.ndarray]:
-    return [s for w in words for s in (w >> HALF, w & LOW)]
+    raw = np.stack(words, axis=1).astype(">u8").view(np.uint8).astype(np.uint64)
+    return [raw[:, 3 * k] << np.uint64(16) | raw[:, 3 * k + 1] << np.uint64(8) | raw[:, 3 * k + 2]
+            for k in range(SEGMENTS)]
 
 
-def _near_buckets(words: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarray:
+def _near_buckets(words: list[np.ndarray], masks: list[np.ndarray], inside: np.ndarray | None = None
+                  ) -> np.ndarray:
+    """Entries of the balls of all segments; ``inside`` an entry, those of later segments only.
+
+    The last four bits of an entry are its segment.
+    """
     columns = []
     for k, (value, weak) in enumerate(zip(_segments(words), _segments(masks))):
         points = value[:, None]
@@ -168,7 +194,11 @@ def _near_buckets(words: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarra
             bit = rest & (~rest + np.uint64(1))     # lowest set bit
             rest = rest ^ bit
             points = np.concatenate([points, points ^ bit[:, None]], axis=1)
-        columns.append(_bucket(10 + k, points))
+        outer = () if inside is None else (inside[:, None],)
+        entry = _bucket(10 + k, points, *outer) << np.uint64(4) | np.uint64(k)
+        if inside is not None:
+            entry[(inside & np.uint64(15)) >= k] = 0
+        columns.append(entry)
     return np.concatenate(columns, axis=1)
 
 
@@ -179,8 +209,8 @@ def _split_exact(bucket: np.ndarray, words: list[np.ndarray], _masks) -> np.ndar
 
 
 def _split_near(bucket: np.ndarray, words: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarray:
-    """Entries that also agree in a point of another segment."""
-    return _bucket(5, bucket[:, None], _near_buckets(words, masks))
+    """Entries that also meet in a later segment; ten segments end it."""
+    return _near_buckets(words, masks, bucket)
 
 
 def _enter(batches: Iterator[pa.RecordBatch], width: int, entries, split: bool) -> Iterator[pa.RecordBatch]:
@@ -281,7 +311,7 @@ def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: int)
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False,
                  shingle: int | None = None) -> DataFrame:
-    """Rows (doc_id, w0) or, for ``near``, (doc_id, w0, w1, m0, m1): m has the weak bits.
+    """Rows (doc_id, w0, m0) or, for ``near``, with w0 to w3 and m0 to m3: m has the weak bits.
 
     A text of fewer words than a shingle is one shingle; a text without words,
     or NULL, has fingerprint zero.
@@ -289,7 +319,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
     frame = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if near:
         n = shingle or NEAR_SHINGLE
-        return frame.mapInArrow(lambda it: _near_prints(it, n), "doc_id long, w0 long, w1 long, m0 long, m1 long")
+        ddl = ", ".join(["doc_id long", *[f"{c}{k} long" for c in "wm" for k in range(NEAR_WORDS)]])
+        return frame.mapInArrow(lambda it: _near_prints(it, n), ddl)
     n = shingle or SHINGLE
     return frame.mapInArrow(lambda it: _exact_prints(it, n), "doc_id long, w0 long").select(
         "*", F.lit(0).cast("long").alias("m0"))
@@ -298,7 +329,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near:
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False,
            shingle: int | None = None, distance: int | None = None,
            most: int = MAX_BUCKET) -> DataFrame:
-    """Each document's fingerprint words and component: (doc_id, w0[, w1], component_id).
+    """Each document's fingerprint words and component: (doc_id, w0..., component_id).
 
     The component id is the smallest key reachable over links, itself
     included. Documents without words have fingerprint zero and are linked like
@@ -306,7 +337,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool
     the component of its fingerprint, or NULL. Repeated rows and ties fall into one class; an empty table gives
     no rows; other columns are not read.
     """
-    width = 2 if near else 1
+    width = NEAR_WORDS if near else 1
     words = [f"w{k}" for k in range(width)]
     masks = [f"m{k}" for k in range(width)]
     if distance is None:
