@@ -13,10 +13,12 @@ Two kinds of fingerprint:
   miss nothing. Two values that differ in one bit have different parity, so only
   even ones enumerate the ball.
 * ``near``: 256 bits over five-word shingles for a similarity (Jaccard, through
-  the angle) of 0.8 or more, in ten 24-bit segments. No ball could guarantee the
-  distance that goes with it, so each segment's ball spans its three bits of
+  the angle) of 0.8 or more, in twelve 20-bit segments. No ball could guarantee
+  the distance that goes with it, so each segment's ball spans its two bits of
   smallest margin, those which an edit flips first. By simulation, pairs of
-  similarity 0.8, 0.85 and 0.9 meet with probability 0.93, 0.99 and 1.
+  similarity 0.8, 0.85 and 0.9 meet with probability 0.96, 0.99 and 1. Among n
+  distinct texts a member meets about n / 2**16 strangers per segment; for more
+  than some 10**8 texts segments should be wider.
 
 Documents with equal fingerprints are one class, so copies are never paired.
 """
@@ -42,10 +44,12 @@ SHINGLE = 3
 NEAR_SHINGLE = 5
 NEAR_SIMILARITY = 0.8
 NEAR_WORDS = 4              # 64-bit words of a near fingerprint
-SEGMENTS, SEGMENT_BYTES = 10, 3
-WEAK_BITS = 3               # of each segment, for near fingerprints
+SEGMENTS, SEGMENT_BITS = 12, 20
+WEAK_BITS = 2               # of each segment, for near fingerprints
 # A table entry with more distinct fingerprints is split further instead of compared.
 MAX_BUCKET = 1 << 14
+BALL = 65                   # points within one bit: the most an exact entry holds once split
+SMALL = 8                   # members of an entry up to which all its pairs are compared
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 
@@ -139,8 +143,8 @@ def _near_prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
             parts = np.stack([mix(grams + np.uint64(k * 0x5851F42D4C957F2D & (1 << 64) - 1))
                               for k in range(NEAR_WORDS)], axis=1).astype(">u8")
             bits, margin = _majority(np.unpackbits(parts.view(np.uint8), axis=1), owners, n)
-            used = SEGMENTS * SEGMENT_BYTES * 8
-            shape = (n, SEGMENTS, SEGMENT_BYTES * 8)
+            used = SEGMENTS * SEGMENT_BITS
+            shape = (n, SEGMENTS, SEGMENT_BITS)
             weak = np.argsort(margin[:, :used].reshape(shape), axis=2, kind="stable")[:, :, :WEAK_BITS]
             mask = np.zeros(shape, bool)
             np.put_along_axis(mask, weak, True, axis=2)
@@ -175,9 +179,15 @@ def _exact_buckets(words: list[np.ndarray], _masks) -> np.ndarray:
 
 
 def _segments(words: list[np.ndarray]) -> list[np.ndarray]:
-    raw = np.stack(words, axis=1).astype(">u8").view(np.uint8).astype(np.uint64)
-    return [raw[:, 3 * k] << np.uint64(16) | raw[:, 3 * k + 1] << np.uint64(8) | raw[:, 3 * k + 2]
-            for k in range(SEGMENTS)]
+    found = []
+    for k in range(SEGMENTS):
+        word, bit = divmod(k * SEGMENT_BITS, 64)
+        # From a 64-bit window that begins at the segment.
+        value = words[word] << np.uint64(bit)
+        if bit + SEGMENT_BITS > 64:
+            value = value | words[word + 1] >> np.uint64(64 - bit)
+        found.append(value >> np.uint64(64 - SEGMENT_BITS))
+    return found
 
 
 def _near_buckets(words: list[np.ndarray], masks: list[np.ndarray], inside: np.ndarray | None = None
@@ -209,7 +219,7 @@ def _split_exact(bucket: np.ndarray, words: list[np.ndarray], _masks) -> np.ndar
 
 
 def _split_near(bucket: np.ndarray, words: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarray:
-    """Entries that also meet in a later segment; ten segments end it."""
+    """Entries that also meet in a later segment; the last segment ends it."""
     return _near_buckets(words, masks, bucket)
 
 
@@ -293,9 +303,21 @@ def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: int)
         rows = np.stack([fields(batch, c).to_numpy() for c in names], axis=1)
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         size = np.diff(edge)
-        # Entries wholly inside the batch: most hold one member and need no look.
-        for k in np.flatnonzero((size > 1) | (np.arange(len(size)) == 0)
-                                | (np.arange(len(size)) == len(size) - 1)):
+        # Entries wholly inside the batch: most hold one member and need no look, and all
+        # pairs of the small ones are compared at once, row by row with the next ones.
+        inner = np.ones(len(size), bool)
+        inner[[0, -1]] = False
+        small = np.repeat(inner & (size <= SMALL), size)
+        values = rows[:, 1:].view(np.uint64)
+        for lag in range(1, SMALL):
+            one = np.flatnonzero(small[:-lag] & (bucket[lag:] == bucket[:-lag])) if len(small) > lag else []
+            if not len(one):
+                break
+            near = np.bitwise_count(values[one] ^ values[one + lag]).sum(axis=1, dtype=np.int32) <= limit
+            if near.any():
+                a, b = rows[one[near], 0], rows[one[near] + lag, 0]
+                yield record(schema, a, b, pa.nulls(len(a), pa.int64()))
+        for k in np.flatnonzero(~inner | (size > SMALL)):
             part, key = rows[edge[k]:edge[k + 1]], bucket[edge[k]]
             if key != held_bucket:
                 yield from finish()
@@ -361,7 +383,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool
     while not crowded.isEmpty():
         rows = crowded.join(classes, F.col("_a") == F.col("node")).drop("_a")
         found = hand_over(link(rows.mapInArrow(
-            lambda it: _enter(it, width, split, True), entry_schema), most), "links")
+            lambda it: _enter(it, width, split, True), entry_schema), max(most, BALL)), "links")
         links = links.union(found.filter("b IS NOT NULL").select("a", "b"))
         crowded = found.filter("b IS NULL").select(F.col("a").alias("_a"), "bucket").distinct()
     roots = components(links).withColumnRenamed("node", "_node")
