@@ -97,7 +97,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 class Items:
     """A block of test items with its seeds, ready for search."""
 
-    def __init__(self, ids: np.ndarray, words: list[np.ndarray], frequency: dict[int, int], total: int):
+    def __init__(self, ids: pa.Array, words: list[np.ndarray], frequency: dict[int, int], total: int):
         self.ids, self.words = ids, words
         seeds, of, offsets, self.sizes = [], [], [], set()
         total = max(total, 1)
@@ -203,6 +203,8 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     n = -(-total // block_words)
     for block in range(n):
         part = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == block).toArrow()
+        if not part.num_rows:
+            continue
         lists = part.column("words").combine_chunks()
         flat = lists.flatten().to_numpy().view(np.uint64)
         cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
@@ -226,7 +228,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
             count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
         frequency = dict(zip(counts.column("word").to_numpy().view(np.uint64).tolist(),
                              counts.column("n").to_pylist()))
-        yield Items(part.column("item").to_numpy(zero_copy_only=False), own, frequency, frequency.pop(0, 0))
+        yield Items(part.column("item").combine_chunks(), own, frequency, frequency.pop(0, 0))
 
 
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
@@ -253,7 +255,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     rows, item, share, first, end = shared.value.search(slab, least)
                     if len(rows):
                         yield record(_MATCH, fields(batch, "doc_id").take(pa.array(slab.rows[rows])),
-                                     pa.array(shared.value.ids[item], pa.int64()), share, first, end)
+                                     shared.value.ids.take(pa.array(item)), share, first, end)
 
         result = result.unionByName(frame.mapInArrow(run, _MATCH_DDL))
     return result
