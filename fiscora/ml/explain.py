@@ -126,16 +126,21 @@ def _phi(feature: str) -> str:
 
 
 def shap_values(model: PipelineModel, df: DataFrame, features: Sequence[str],
-                keep: Sequence[str] = ()) -> DataFrame:
+                keep: Sequence[str] = (), background: DataFrame | None = None) -> DataFrame:
     """``keep`` columns, ``base_value`` and ``phi_<feature>`` for every row.
 
+    Linear models need ``background``, the rows they were trained on: a row's
+    attributions must not depend on what it is explained together with.
+
     base_value plus the attributions is the margin (boosted trees, half the
     log-odds; logistic, the log-odds) or the probability (forest).
     """
     features = list(features)
     last = model.stages[-1]
     if hasattr(last, "coefficients"):
-        return _linear_shap(model, df, features, keep)
+        if background is None:
+            raise ValueError("a linear model is explained against background rows")
+        return _linear_shap(model, df, features, keep, background)
     spark = df.sparkSession
     leaves = model_leaves(model, spark)
     base = base_value(leaves)
@@ -162,9 +167,9 @@ def shap_values(model: PipelineModel, df: DataFrame, features: Sequence[str],
 
 
 def linear_attributions(df: DataFrame, weights: dict[str, float], intercept: float,
-                        keep: Sequence[str], background: DataFrame | None = None) -> DataFrame:
+                        keep: Sequence[str], background: DataFrame) -> DataFrame:
     """Attributions weight * (x - mean); the means come from ``background`` rows."""
-    means = (background or df).agg(*[F.avg(f).alias(f) for f in weights]).select(
+    means = background.agg(*[F.avg(f).alias(f) for f in weights]).select(
         F.struct("*")).scalar()
     base = F.lit(intercept)
     for f, w in weights.items():
@@ -174,14 +179,14 @@ def linear_attributions(df: DataFrame, weights: dict[str, float], intercept: flo
 
 
 def _linear_shap(model: PipelineModel, df: DataFrame, features: Sequence[str],
-                 keep: Sequence[str]) -> DataFrame:
+                 keep: Sequence[str], background: DataFrame) -> DataFrame:
     last = model.stages[-1]
     scale = np.ones(len(features))
     for stage in model.stages[:-1]:
         if stage.hasParam("scalingVec"):
             scale = scale * np.asarray(stage.getOrDefault("scalingVec"))
     weights = dict(zip(features, (float(w) for w in last.coefficients.toArray() * scale)))
-    return linear_attributions(df, weights, float(last.intercept), keep)
+    return linear_attributions(df, weights, float(last.intercept), keep, background)
 
 
 def shap_long(wide: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:

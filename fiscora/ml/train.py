@@ -12,8 +12,12 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from fiscora.operators import aggregates
+from fiscora.session import shared_dir
 
 VECTOR = "_features"
+# Node ids are kept with the rows and checkpointed, and deep levels get room for their
+# histograms, so a level takes few passes over the data.
+TREES = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
 
 
 def _assembler(features: Sequence[str], out: str = VECTOR) -> VectorAssembler:
@@ -48,11 +52,12 @@ def train_logistic(df: DataFrame, features: Sequence[str], label: str, c: float
 def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 300,
                  depth: int = 12, seed: int = 42, bins: int = 64) -> PipelineModel:
     """Balanced random forest."""
+    shared_dir(df.sparkSession)
     weighted = aggregates.class_weights(_as_label(df, label), label, "_weight")
     return Pipeline(stages=[
         _assembler(features),
         RandomForestClassifier(featuresCol=VECTOR, labelCol=label, weightCol="_weight",
-                               numTrees=trees, maxDepth=depth, seed=seed, maxBins=bins),
+                               numTrees=trees, maxDepth=depth, seed=seed, maxBins=bins, **TREES),
     ]).fit(weighted)
 
 
@@ -60,13 +65,15 @@ def train_boosted(df: DataFrame, features: Sequence[str], label: str, rounds: in
                   rate: float = 0.05, depth: int = 5, seed: int = 42,
                   bins: int = 64) -> PipelineModel:
     """Gradient-boosted trees with positives weighted by negatives / positives."""
+    shared_dir(df.sparkSession)
     labelled = _as_label(df, label)
     fitted = aggregates.fit_class_weights(labelled, label).select("pos_weight").scalar()
     weighted = labelled.withColumn("_weight", F.when(F.col(label) == 1, fitted).otherwise(1.0))
     return Pipeline(stages=[
         _assembler(features),
         GBTClassifier(featuresCol=VECTOR, labelCol=label, weightCol="_weight",
-                      maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, maxBins=bins),
+                      maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, maxBins=bins,
+                      **TREES),
     ]).fit(weighted)
 
 

@@ -13,8 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 def lookup_left(df: DataFrame, dim: DataFrame, pairs: Sequence[tuple[str, str]],
                 keep: Sequence[str]) -> DataFrame:
-    """Left equi-join on differently named keys; adds the ``keep`` columns of ``dim``."""
-    side = dim.select(*[F.col(right).alias(f"_r{i}") for i, (_, right) in enumerate(pairs)], *keep)
+    """Left equi-join on differently named keys; adds the ``keep`` columns of ``dim``.
+
+    A key that ``dim`` repeats gives the smallest of its rows (by the ``keep``
+    columns in order), so rows of ``df`` never multiply.
+    """
+    keys = [f"_r{i}" for i in range(len(pairs))]
+    side = dim.select(*[F.col(right).alias(k) for k, (_, right) in zip(keys, pairs)],
+                      F.struct(*keep).alias("_kept")).groupBy(*keys).agg(
+        F.min("_kept").alias("_kept")).select(*keys, "_kept.*")
     cond = F.lit(True)
     for i, (left, _) in enumerate(pairs):
         cond = cond & (df[left] == side[f"_r{i}"])

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fiscora.session import hand_over
 
-# Ranges per running-sum pass: 2 ** RANGE_BITS.
-RANGE_BITS = 8
+# Rows a range should hold, and the fewest bits of a range number.
+RANGE_ROWS = 1_000_000
+RANGE_BITS = 3
 SKETCH_ACCURACY = 20_000
 # Up to this many values one aggregation buffer may hold a whole column.
 BUFFER_VALUES = 200_000
@@ -58,7 +59,12 @@ def range_number(value: Column, bounds: Column, bits: int) -> list[Column]:
     return steps
 
 
-def split_ranges(df: DataFrame, value: str, bits: int = RANGE_BITS,
+def range_bits(rows: int) -> int:
+    """Bits that number enough ranges for ``rows``, so that ranges stay the same size."""
+    return max(RANGE_BITS, (rows // RANGE_ROWS).bit_length())
+
+
+def split_ranges(df: DataFrame, value: str, bits: int,
                  source: DataFrame | None = None) -> DataFrame:
     """Add ``_range``: which of 2**bits equally filled value ranges a row is in.
 
@@ -68,7 +74,7 @@ def split_ranges(df: DataFrame, value: str, bits: int = RANGE_BITS,
     cuts = 1 << bits
     sketch = (source or df).agg(F.percentile_approx(
         F.col(value).cast("double"), [i / cuts for i in range(1, cuts)],
-        SKETCH_ACCURACY).alias("cuts"))
+        max(SKETCH_ACCURACY, 16 * cuts)).alias("cuts"))
     df = df.withColumn("_cuts", sketch.scalar()).withColumn("_range", F.lit(0))
     for step in range_number(F.col(value).cast("double"), F.col("_cuts"), bits):
         df = df.withColumn("_range", step)
@@ -77,7 +83,7 @@ def split_ranges(df: DataFrame, value: str, bits: int = RANGE_BITS,
 
 def running_sums(df: DataFrame, value: str, sums: Mapping[str, Column],
                  by: Sequence[str] = (), descending: bool = False,
-                 bits: int = RANGE_BITS) -> DataFrame:
+                 bits: int | None = None) -> DataFrame:
     """Per distinct ``value`` (within ``by``): sums, and sums of all values before it.
 
     Output columns: ``by``, ``value``, each name of ``sums`` and ``<name>_before``.
@@ -89,7 +95,7 @@ def running_sums(df: DataFrame, value: str, sums: Mapping[str, Column],
     names = list(sums)
     grouped = hand_over(
         df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()]), "merged")
-    placed = split_ranges(grouped, value, bits)
+    placed = split_ranges(grouped, value, range_bits(grouped.count()) if bits is None else bits)
 
     def sign(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
@@ -247,7 +253,7 @@ def one_row(quantiles: DataFrame, cols: Sequence[str], prefix: str = "") -> Data
 
 
 def lag_within(df: DataFrame, key: str, order: str, col: str, out: str, n: int = 1,
-               tie_breaks: Sequence[str] = (), bits: int = RANGE_BITS) -> DataFrame:
+               tie_breaks: Sequence[str] = (), bits: int | None = None) -> DataFrame:
     """Value of ``col`` ``n`` rows earlier in the same ``key``, also for hot keys.
 
     A key's rows are split at global range limits of the numeric or time
@@ -266,6 +272,8 @@ def lag_within(df: DataFrame, key: str, order: str, col: str, out: str, n: int =
         as_number = F.unix_micros(order)
     elif dtype == "date":
         as_number = F.unix_date(order)
+    if bits is None:
+        bits = range_bits(df.select(key).count())
     ranged = split_ranges(df.withColumn(number, as_number.cast("double")), number, bits,
                           source=df.select(as_number.cast("double").alias(number)))
     sort = [F.col(c).asc() for c in (order, *tie_breaks)]

@@ -26,15 +26,17 @@ class BronzePaths:
 
 def ingest(spark: SparkSession, filings: Sequence[str], rurality: str, closures: str,
            out: BronzePaths, fmt: str = "parquet",
-           schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
+           schemas: dict[str, StructType] | None = None,
+           multiline: bool = True) -> dict[str, DataFrame]:
     """Load the three raw sources and return the written tables.
 
-    Undeclared columns stay text; keys with leading zeros survive.
+    Undeclared columns stay text; keys with leading zeros survive. Files without
+    quoted line breaks can be read with ``multiline`` off, many tasks to a file.
     """
     schemas = schemas or {}
     raw = {
         out.filings: sanitize_columns_basic(read_csv_many(
-            spark, filings, schemas.get("filings"), lineage="source_file")),
+            spark, filings, schemas.get("filings"), multiline, lineage="source_file")),
         out.rurality: sanitize_columns_basic(read_csv(
             spark, rurality, schemas.get("rurality"), encoding="ISO-8859-1")),
         out.closures: sanitize_columns_basic(read_csv(

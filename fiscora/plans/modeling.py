@@ -82,7 +82,8 @@ def run(spark: SparkSession, fact: DataFrame, dim_geography: DataFrame, run_log:
         {"roc_auc": "test_roc_auc", "average_precision": "test_pr_auc"})
     runs.log_metrics(test_metrics, run_log, best, run_ids[best])
 
-    phi = hand_over(explain.shap_values(models[best], parts["test"], features, key), "shap")
+    phi = hand_over(explain.shap_values(
+        models[best], parts["test"], features, key, background=balanced), "shap")
     long = explain.shap_long(phi, features, key)
     top = windows.top_1(test_scores, "score", key)
     top_long = long.join(top.select(*key), list(key), "left_semi")

@@ -15,6 +15,7 @@ def session(app: str = "fiscora", fmt: str = "parquet", master: str | None = Non
     Everything sized by data stays with adaptive execution: partition
     coalescing, skewed-join splitting and run-time broadcast decisions.
     """
+    running = SparkSession.getActiveSession() is not None
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -33,7 +34,8 @@ def session(app: str = "fiscora", fmt: str = "parquet", master: str | None = Non
     for key, value in {**settings, **(conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("WARN")
+    if not running:
+        spark.sparkContext.setLogLevel("WARN")
     return spark
 
 

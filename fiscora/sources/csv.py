@@ -22,18 +22,24 @@ def _reader(spark: SparkSession, multiline: bool, encoding: str):
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | None = None,
              encoding: str = "UTF-8", multiline: bool = False, infer: bool = False) -> DataFrame:
-    """One CSV with a header. Without ``schema`` all columns are text unless ``infer``."""
+    """One CSV with a header. Without ``schema`` all columns are text unless ``infer``.
+
+    A header that differs from ``schema`` raises: columns are never taken by place.
+    """
     reader = _reader(spark, multiline, encoding)
     if schema is None:
         return reader.option("inferSchema", infer).csv(path)
-    return reader.schema(schema).csv(path)
+    return reader.option("enforceSchema", False).schema(schema).csv(path)
 
 
 def _headers(spark: SparkSession, paths: Sequence[str], multiline: bool,
              encoding: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by header; looks at the first record of each file only."""
+    """Files by header, also those inside folders; looks at the first record of each file only."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
+    # Without its content column this source only lists.
+    files = [r.path for r in spark.read.format("binaryFile").load(list(paths)).select("path")
+             .distinct().orderBy("path").collect()]
+    for path in files:
         header = tuple(_reader(spark, multiline, encoding).csv(path).columns)
         groups.setdefault(header, []).append(path)
     return groups

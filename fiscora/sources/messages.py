@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from fiscora.functions.numeric import missing_to_null
 
 
+# Times keep their microseconds.
+JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def to_keyed_json(df: DataFrame, key: str, default: str = "unknown",
                   keep: Sequence[str] = ()) -> DataFrame:
     """(key, value): the row as a JSON object with explicit nulls, NaN as null.
@@ -24,7 +29,7 @@ def to_keyed_json(df: DataFrame, key: str, default: str = "unknown",
     else:
         key_text = F.lit(default)
     return df.select(key_text.alias("key"),
-                     F.to_json(record, {"ignoreNullFields": "false"}).alias("value"), *keep)
+                     F.to_json(record, JSON).alias("value"), *keep)
 
 
 def publish(messages: DataFrame, sink: str, topic: str, order: Sequence[str] = (),

@@ -13,17 +13,20 @@ from fiscora.operators.columns import sanitize_columns_basic
 
 MESSAGE = StructType([StructField("key", StringType()), StructField("value", StringType())])
 CORRUPT = "_corrupt_record"
+BATCH = "micro_batch"
 
 
 @dataclass(frozen=True)
 class StreamConfig:
     """Where messages come from and how many enter one micro-batch.
 
-    ``batch`` caps offsets (kafka) or files (files) per micro-batch.
+    ``files`` caps the files of a micro-batch of the files source, ``messages``
+    the messages of one of the kafka source.
     """
     source: str = "files"
     location: str = ""
-    batch: int = 100
+    files: int = 100
+    messages: int = 1_000_000
     options: dict[str, str] = field(default_factory=dict)
 
 
@@ -32,10 +35,10 @@ def stream_source(spark: SparkSession, cfg: StreamConfig) -> DataFrame:
     if cfg.source == "kafka":
         raw = (spark.readStream.format("kafka").option("subscribe", cfg.location)
                .option("startingOffsets", "earliest")
-               .option("maxOffsetsPerTrigger", cfg.batch).options(**cfg.options).load())
+               .option("maxOffsetsPerTrigger", cfg.messages).options(**cfg.options).load())
         return raw.select(F.col("key").cast("string"), F.col("value").cast("string"))
     return (spark.readStream.format("json").schema(MESSAGE)
-            .option("maxFilesPerTrigger", cfg.batch).options(**cfg.options).load(cfg.location))
+            .option("maxFilesPerTrigger", cfg.files).options(**cfg.options).load(cfg.location))
 
 
 def decode_json(messages: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
@@ -44,13 +47,22 @@ def decode_json(messages: DataFrame, schema: StructType) -> tuple[DataFrame, Dat
     Absent fields are NULL, extra fields are ignored, text that is no such
     object is rejected with its key.
     """
+    return split_parsed(parse_json(messages, schema), schema)
+
+
+def parse_json(messages: DataFrame, schema: StructType) -> DataFrame:
+    """Add the parsed object as ``_row`` and whether the message is malformed as ``_bad``."""
     target = StructType(schema.fields + [StructField(CORRUPT, StringType())])
     parsed = messages.withColumn("_row", F.from_json(
-        "value", target, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    bad = F.col("_row").isNull() | F.col(f"_row.{CORRUPT}").isNotNull()
-    valid = parsed.filter(~bad).select(*[F.col(f"_row.`{f.name}`").alias(f.name)
-                                         for f in schema.fields])
-    return valid, parsed.filter(bad).select("key", "value")
+        "value", target, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT,
+                          "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"}))
+    return parsed.withColumn("_bad", F.col("_row").isNull() | F.col(f"_row.{CORRUPT}").isNotNull())
+
+
+def split_parsed(parsed: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    valid = parsed.filter(~F.col("_bad")).select(*[F.col(f"_row.`{f.name}`").alias(f.name)
+                                                   for f in schema.fields])
+    return valid, parsed.filter("_bad").select("key", "value")
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -79,16 +91,26 @@ def append_bronze_stream(rows: DataFrame, path: str, checkpoint: str,
                        .option("path", path).option("checkpointLocation", checkpoint))
 
 
+def batch_folder(path: str, number: int) -> str:
+    """Where a micro-batch's rows live: writing it again replaces them."""
+    return f"{path}/{BATCH}={number}"
+
+
 def stream_counts(rows: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Running count per key, replaced at ``path`` after every micro-batch."""
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    """Running count per key; each micro-batch adds the keys it changed.
+
+    Read with ``latest_counts``. Nothing written before is touched, so readers
+    and restarts always find a whole table.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(path, number))
 
     return bounded_run(rows.groupBy(*keys).agg(F.count("*").alias("records"))
-                       .writeStream.outputMode("complete").foreachBatch(replace)
+                       .writeStream.outputMode("update").foreachBatch(add)
                        .option("checkpointLocation", checkpoint))
 
 
-def batch_counts(query: StreamingQuery) -> list[tuple[int, int]]:
-    """(micro-batch, records read) of the batches the query still remembers."""
-    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
+def latest_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Newest count of every key written by ``stream_counts``."""
+    return spark.read.parquet(path).groupBy(*keys).agg(
+        F.max_by("records", BATCH).alias("records"))

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from fiscora.functions.numeric import FEATURE_COLUMNS, FINANCIAL_COLUMNS
 from fiscora.operators.columns import sanitize_columns_snake
 from fiscora.plans import bronze, eda, gold, silver
-from fiscora.sources.csv import read_csv_many
+from fiscora.sources.csv import read_csv, read_csv_many
 
 HEAD = ["Provider CCN", "Hospital Name", "State Code", "County", "Fiscal Year End Date"]
 AMOUNT_HEAD = [c.replace("_", " ").title() for c in FINANCIAL_COLUMNS]
@@ -186,3 +186,16 @@ def test_first_look(snake):
     assert parts["match"].first()["rows"] == 10
     margins = {r["is_closed"]: r["median_operating_margin"] for r in parts["margin"].collect()}
     assert margins == {0: 0.0}
+
+
+def test_headers_of_files_in_a_folder_are_matched_by_name(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,amount,beds\n1,20,200\n")
+    (folder / "b.csv").write_text("id,beds,amount\n2,300,30\n")
+    schema = StructType([StructField("id", StringType()), StructField("amount", StringType()),
+                         StructField("beds", StringType())])
+    rows = {r["id"]: (r["amount"], r["beds"]) for r in read_csv_many(spark, [str(folder)], schema).collect()}
+    assert rows == {"1": ("20", "200"), "2": ("30", "300")}
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(folder), schema).collect()

@@ -187,7 +187,7 @@ def test_forest_and_linear_attributions_add_up(rows):
     total = phi["base_value"] + phi[[f"phi_{f}" for f in FEATURES]].sum(axis=1)
     assert np.allclose(total.sort_index(), p.sort_index(), atol=1e-9)
     linear = train.train_logistic(rows, FEATURES, "y")
-    phi = explain.shap_values(linear, rows, FEATURES, ["id"]).toPandas().set_index("id")
+    phi = explain.shap_values(linear, rows, FEATURES, ["id"], background=rows).toPandas().set_index("id")
     p = score.probability(linear, rows, ["id"]).toPandas().set_index("id")["probability"]
     total = phi["base_value"] + phi[[f"phi_{f}" for f in FEATURES]].sum(axis=1)
     assert np.allclose(total.sort_index(), np.log(p / (1 - p)).sort_index(), atol=1e-8)

@@ -30,15 +30,35 @@ def test_all_messages_arrive(spark, tmp_path, n):
         write_messages(tmp_path / "in", [record(i) for i in range(start, min(n, start + 100))],
                        f"{start:04d}.json")
     table, batches = ingest_stream.ingest(
-        spark, stream.StreamConfig(location=str(tmp_path / "in"), batch=1), SCHEMA,
+        spark, stream.StreamConfig(location=str(tmp_path / "in"), files=1), SCHEMA,
         ingest_stream.StreamPaths.under(str(tmp_path / "out")))
     assert table.columns == ["Provider_CCN", "Net_Income"]
     assert table.select("Provider_CCN").distinct().count() == table.count() == n
     assert dict(table.dtypes)["Net_Income"] == "string"
-    assert sorted(c for _, c in batches if c) == sorted(
+    assert sorted(r["valid"] for r in batches.collect() if r["valid"]) == sorted(
         min(100, n - s) for s in range(0, n, 100))
 
 
+def test_every_micro_batch_is_counted(spark, tmp_path):
+    """More batches than a query remembers of its own progress."""
+    for i in range(110):
+        write_messages(tmp_path / "in", [record(i), "{broken"], f"{i:04d}.json")
+    table, batches = ingest_stream.ingest(
+        spark, stream.StreamConfig(location=str(tmp_path / "in"), files=1), SCHEMA,
+        ingest_stream.StreamPaths.under(str(tmp_path / "out")))
+    told = batches.collect()
+    assert len(told) == 110 and all((r["valid"], r["rejected"]) == (1, 1) for r in told)
+    assert table.count() == 110
+
+
+def test_no_messages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    table, batches = ingest_stream.ingest(
+        spark, stream.StreamConfig(location=str(tmp_path / "in")), SCHEMA,
+        ingest_stream.StreamPaths.under(str(tmp_path / "out")))
+    assert table.count() == batches.count() == 0
+
+
 def test_malformed_missing_and_extra(spark, tmp_path):
     write_messages(tmp_path / "in", [
         record(1), "{broken", '{"Provider CCN": "000002"}',
@@ -76,7 +96,8 @@ def test_counts_accumulate(spark, tmp_path):
     stream.stream_counts(valid, ["Provider CCN"], out, progress)
     write_messages(tmp_path / "in", [record(0)] * 5, "b.json")
     stream.stream_counts(valid, ["Provider CCN"], out, progress)
-    assert sorted(r["records"] for r in spark.read.parquet(out).collect()) == [10, 10, 15]
+    assert sorted(r["records"] for r in stream.latest_counts(
+        spark, out, ["Provider CCN"]).collect()) == [10, 10, 15]
 
 
 def test_keyed_json_and_order(spark, tmp_path):

@@ -268,7 +268,8 @@ _WEIGHTS = {"l_quantity": 0.5, "l_extendedprice": -0.001, "l_discount": 20.0, "l
 def _linear(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     return explain.linear_attributions(
-        lines, _WEIGHTS, 1.0, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+        lines, _WEIGHTS, 1.0, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+        background=lines)
 
 
 @query("m16_shap_summary", "\nUNION ALL ".join(f"""

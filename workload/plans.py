@@ -100,13 +100,26 @@ def study(spark, sf_dir):
 
 
 @query("l6_stream_ingest", """
-SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props
-FROM events WHERE event_type <> 'error'""")
+SELECT 'valid' AS outcome, CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
+       event_type, props, round(value, 6) AS value, epoch_us(ts) AS ts, CAST(1 AS BIGINT) AS counted
+FROM events WHERE event_type <> 'error'
+UNION ALL SELECT 'rejected', NULL, CAST(user_id AS VARCHAR), NULL, NULL, NULL, NULL, 1
+FROM events WHERE event_type = 'error'""")
 def stream_ingest(spark, sf_dir):
-    table, _ = ingest_stream.ingest(
-        spark, StreamConfig(location=_topic(spark, sf_dir, "l6")), SCHEMA,
-        ingest_stream.StreamPaths.under(scratch_path(spark, "l6-out")))
-    return table.drop("value")
+    """Valid and rejected messages; ``counted`` is 1 where the record of batches agrees with the rows."""
+    paths = ingest_stream.StreamPaths.under(scratch_path(spark, "l6-out"))
+    table, counts = ingest_stream.ingest(
+        spark, StreamConfig(location=_topic(spark, sf_dir, "l6"), files=1), SCHEMA, paths)
+    good = table.select(
+        F.lit("valid").alias("outcome"), "event_id", "user_id", "event_type", "props",
+        F.round(F.col("value").cast("double"), 6).alias("value"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    bad = spark.read.parquet(paths.rejected).select(
+        F.lit("rejected").alias("outcome"), F.col("key").alias("user_id"))
+    rows = good.unionByName(bad, allowMissingColumns=True)
+    told = counts.agg(F.sum("valid").alias("valid"), F.sum("rejected").alias("rejected")).first()
+    agree = told["valid"] == good.count() and told["rejected"] == bad.count()
+    return rows.withColumn("counted", F.lit(int(agree)).cast("long"))
 
 
 _EDA_AMOUNTS = ("total_patient_revenue", "medicaid_charges", "total_current_assets")

@@ -93,8 +93,17 @@ def append_layer(spark, sf_dir):
 
 @query("s7_session", "SELECT CAST(count(*) AS BIGINT) AS suppliers FROM supplier")
 def session_read(spark, sf_dir):
-    return session("fiscora-check").read.load(f"{sf_dir}/supplier.parquet").agg(
+    """The settings of the session at hand are put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in (
+        "spark.app.name", "spark.sql.sources.default", "spark.sql.session.timeZone",
+        "spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled",
+        "spark.sql.adaptive.skewJoin.enabled")}
+    found = session("fiscora-check").read.load(f"{sf_dir}/supplier.parquet").agg(
         F.count("*").alias("suppliers"))
+    for key, value in before.items():
+        if value is not None:
+            spark.conf.set(key, value)
+    return found
 
 
 def _with_gaps(spark, sf_dir):

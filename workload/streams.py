@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    DoubleType, LongType, StringType, StructField, StructType)
+    DoubleType, LongType, StringType, StructField, StructType, TimestampType)
 
 from fiscora.session import scratch_path
 from fiscora.sources.messages import publish, to_keyed_json
@@ -12,7 +12,8 @@ from fiscora.streaming import stream
 from workload.registry import query, table
 
 SCHEMA = StructType([
-    StructField("event_id", LongType()), StructField("user_id", LongType()),
+    StructField("event_id", LongType()), StructField("ts", TimestampType()),
+    StructField("user_id", LongType()),
     StructField("event_type", StringType()), StructField("value", DoubleType()),
     StructField("props", StringType())])
 COLUMNS = [f.name for f in SCHEMA.fields]
@@ -32,8 +33,8 @@ def _topic(spark, sf_dir, name):
     return path
 
 
-def _source(spark, path, batch=1):
-    return stream.stream_source(spark, stream.StreamConfig(location=path, batch=batch))
+def _source(spark, path, files=1):
+    return stream.stream_source(spark, stream.StreamConfig(location=path, files=files))
 
 
 def _drain(spark, rows, name):
@@ -57,7 +58,7 @@ FROM events WHERE event_type <> 'error'
 UNION ALL SELECT NULL, user_id, NULL, NULL, NULL, 'rejected' FROM events WHERE event_type = 'error'""")
 def decode_json(spark, sf_dir):
     path = _topic(spark, sf_dir, "k2")
-    valid, rejected = stream.decode_json(_source(spark, path, batch=100), SCHEMA)
+    valid, rejected = stream.decode_json(_source(spark, path, files=100), SCHEMA)
     good = _drain(spark, valid, "k2-valid").select(
         "event_id", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").alias("k"), F.lit("valid").alias("outcome"))
@@ -69,7 +70,7 @@ def decode_json(spark, sf_dir):
 @query("k3_bounded_run", "SELECT CAST(count(*) AS BIGINT) AS messages FROM events")
 def bounded_run(spark, sf_dir):
     """Everything present is processed, then the stream ends by itself."""
-    read = _drain(spark, _source(spark, _topic(spark, sf_dir, "k3"), batch=100), "k3-out")
+    read = _drain(spark, _source(spark, _topic(spark, sf_dir, "k3"), files=100), "k3-out")
     return read.agg(F.count("*").alias("messages"))
 
 
@@ -92,13 +93,16 @@ def micro_batch(spark, sf_dir):
 
 
 @query("k5_append_bronze_stream", """
-SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props
+SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props,
+       round(value, 6) AS value, epoch_us(ts) AS ts
 FROM events WHERE event_type <> 'error'""")
 def append_bronze(spark, sf_dir):
     valid, _ = stream.decode_json(_source(spark, _topic(spark, sf_dir, "k5")), SCHEMA)
     out = scratch_path(spark, "k5-out")
     stream.append_bronze_stream(valid, out, scratch_path(spark, "k5-progress"))
-    return spark.read.parquet(out).drop("value")
+    return spark.read.parquet(out).withColumns({
+        "value": F.round(F.col("value").cast("double"), 6),
+        "ts": F.unix_micros(F.col("ts").cast("timestamp"))})
 
 
 @query("k6_resume", """
@@ -111,7 +115,7 @@ def resume(spark, sf_dir):
     small = F.coalesce(F.get_json_object("value", "$.value").cast("double") < 10, F.lit(False))
     for part in (small, ~small):
         publish(arrivals.filter(part), "files", path, order=["event_id"])
-        valid, _ = stream.decode_json(_source(spark, path, batch=100), SCHEMA)
+        valid, _ = stream.decode_json(_source(spark, path, files=100), SCHEMA)
         stream.append_bronze_stream(valid, out, progress)
     return spark.read.parquet(out).groupBy("event_id").agg(F.count("*").alias("times"))
 
@@ -120,7 +124,7 @@ def resume(spark, sf_dir):
 SELECT event_type, CAST(count(*) AS BIGINT) AS records FROM events
 WHERE event_type <> 'error' GROUP BY 1""")
 def stream_counts(spark, sf_dir):
-    valid, _ = stream.decode_json(_source(spark, _topic(spark, sf_dir, "k7"), batch=2), SCHEMA)
+    valid, _ = stream.decode_json(_source(spark, _topic(spark, sf_dir, "k7"), files=2), SCHEMA)
     out = scratch_path(spark, "k7-out")
     stream.stream_counts(valid, ["event_type"], out, scratch_path(spark, "k7-progress"))
-    return spark.read.parquet(out)
+    return stream.latest_counts(spark, out, ["event_type"])
