@@ -93,6 +93,14 @@ class Trees:
         self.slot_at[self._slot(key)] = np.arange(len(key), dtype=np.int32)
         self.code32 = self.code[-1].astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        """The direct table is made anew where the trees arrive; it need not travel."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("slot_key", "slot_at", "code32")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._slots()
+
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
         return (key * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
