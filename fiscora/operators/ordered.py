@@ -17,8 +17,6 @@ from fiscora.session import hand_over
 RANGE_ROWS = 1_000_000
 RANGE_BITS = 3
 SKETCH_ACCURACY = 20_000
-# Up to this many values one aggregation buffer may hold a whole column.
-BUFFER_VALUES = 200_000
 
 
 def surrogate_key(df: DataFrame, order_cols: Sequence[str], out: str, start: int = 1) -> DataFrame:
@@ -125,18 +123,16 @@ def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[st
                    method: str = "interpolate", keep_empty: bool = False) -> DataFrame:
     """Exact quantile per column (and group): rows (by..., column_name, n, value).
 
-    Groups without any value are left out unless ``keep_empty``. Where every
-    group is counted to be small, one aggregation does it. Otherwise a first
-    pass brackets the wanted rank of every column with a mergeable sketch. Further passes count what lies below the bracket and keep the
-    distinct values inside it, so next to nothing is shuffled. ``method`` is
+    Groups without any value are left out unless ``keep_empty``. A first pass
+    brackets the wanted rank of every column with a mergeable sketch. Further
+    passes count what lies below the bracket and keep the distinct values inside
+    it, so next to nothing is shuffled; a small group's bracket holds all of it. ``method`` is
     ``interpolate`` (linear between neighbours) or ``element`` (the lower one).
     """
     by, cols = list(by), list(cols)
     keys = by + ["column_name"]
     wide = df.select(*by, *[
         F.expr(f"nullif(cast(`{c}` AS double), double('NaN'))").alias(c) for c in cols])
-    if _largest_column(wide, cols, by) <= BUFFER_VALUES and (method == "interpolate" or q == 0.5):
-        return _buffered_quantile(wide, cols, q, by, method, keep_empty)
     brackets = _brackets(wide, cols, q, by)
     if by:
         bracketed = wide.join(brackets, _same_keys(by)).drop(*[f"_{c}" for c in by])
@@ -225,26 +221,6 @@ def _brackets(wide: DataFrame, cols: Sequence[str], q: float, by: Sequence[str])
         f"if(`_n_{c}` * {slack}D < 4, `_max_{c}`, `_b_{c}`[1]) AS `_hi_{c}`")])
 
 
-def _largest_column(wide: DataFrame, cols: Sequence[str], by: Sequence[str]) -> int:
-    """Most values any column has in any group."""
-    counts = wide.groupBy(*by).agg(*[F.count(c).alias(c) for c in cols])
-    return counts.agg(F.max(F.greatest(*cols, F.lit(0)))).first()[0] or 0
-
-
-def _buffered_quantile(wide: DataFrame, cols: Sequence[str], q: float, by: Sequence[str],
-                       method: str, keep_empty: bool) -> DataFrame:
-    """Exact quantiles of groups already known to be small, in one aggregation."""
-    if method == "interpolate":
-        value = f"percentile(`{{c}}`, {q}D)"
-    else:
-        value = f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{{c}}`)"
-    row = wide.groupBy(*by).agg(*[F.expr(
-        f"struct('{c}' AS column_name, count(`{c}`) AS n, {value.format(c=c)} AS value) AS `{c}`")
-        for c in cols])
-    rows = row.select(*by, F.inline(F.array(*cols)))
-    return rows if keep_empty else rows.filter("n > 0")
-
-
 def one_row(quantiles: DataFrame, cols: Sequence[str], prefix: str = "") -> DataFrame:
     """Turn global (column_name, value) rows into one row with a column each."""
     return quantiles.agg(*[

@@ -54,11 +54,9 @@ def test_running_sums(skewed, descending):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-@pytest.mark.parametrize("limit,accuracy,q", [
-    (0, 20_000, 0.5), (0, 100, 0.5), (0, 100, 0.99), (0, 100, 0.0), (0, 100, 1.0),
-    (200_000, 20_000, 0.99)])
-def test_exact_quantile(monkeypatch, skewed, limit, accuracy, q):
-    monkeypatch.setattr(ordered, "BUFFER_VALUES", limit)
+@pytest.mark.parametrize("accuracy,q", [
+    (20_000, 0.5), (100, 0.5), (100, 0.99), (100, 0.0), (100, 1.0), (20_000, 0.99)])
+def test_exact_quantile(monkeypatch, skewed, accuracy, q):
     monkeypatch.setattr(ordered, "SKETCH_ACCURACY", accuracy)
     pdf = skewed.toPandas()
     whole = ordered.exact_quantile(skewed, ["value", "label"], q).collect()
@@ -72,9 +70,7 @@ def test_exact_quantile(monkeypatch, skewed, limit, accuracy, q):
         assert r["value"] == pytest.approx(want[r["key"] or "<null>"], rel=1e-12)
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_median_element_and_empty_groups(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "BUFFER_VALUES", limit)
+def test_median_element_and_empty_groups(spark):
     df = spark.createDataFrame([("a", float(i)) for i in (1, 2, 3, 4)] + [("b", None)],
                                "k string, v double")
     fitted = aggregates.fit_median(df, ["v"], method="element").first()
