@@ -69,14 +69,13 @@ def _leaves(nodes: dict[int, tuple], weight: float) -> Iterator[Leaf]:
             stack.append((child, {**path, feature: (lo, hi, share * nodes[child][1] / rows)}))
 
 
-def model_leaves(model: PipelineModel, spark) -> list[Leaf]:
-    """Leaves of a saved tree ensemble (bounded by trees x 2**depth, never by data)."""
+def model_trees(model: PipelineModel, spark) -> list[dict[int, tuple]]:
+    """Nodes of a saved tree ensemble, per tree {id: (value, rows, left, right, feature,
+    threshold)}; bounded by trees x 2**depth, never by data."""
     ensemble = model.stages[-1]
     path = scratch_path(spark, "trees")
     ensemble.write().overwrite().save(path)
     forest = "RandomForest" in type(ensemble).__name__
-    weights = list(ensemble.treeWeights)
-    total = sum(weights) if forest else 1.0
     trees: dict[int, dict[int, tuple]] = {}
     for tree, node in spark.read.parquet(f"{path}/data").select("treeID", "nodeData").collect():
         stats = node["impurityStats"]
@@ -85,8 +84,15 @@ def model_leaves(model: PipelineModel, spark) -> list[Leaf]:
         trees.setdefault(tree, {})[node["id"]] = (
             value, node["rawCount"], node["leftChild"], node["rightChild"],
             split["featureIndex"], (list(split["leftCategoriesOrThreshold"]) or [np.nan])[0])
-    return [leaf for tree, nodes in sorted(trees.items())
-            for leaf in _leaves(nodes, weights[tree] / total)]
+    return [nodes for _, nodes in sorted(trees.items())]
+
+
+def model_leaves(model: PipelineModel, spark) -> list[Leaf]:
+    """Leaves of all trees, each worth its share of the ensemble's score."""
+    weights = list(model.stages[-1].treeWeights)
+    total = sum(weights) if "RandomForest" in type(model.stages[-1]).__name__ else 1.0
+    return [leaf for weight, nodes in zip(weights, model_trees(model, spark))
+            for leaf in _leaves(nodes, weight / total)]
 
 
 def base_value(leaves: Sequence[Leaf]) -> float:

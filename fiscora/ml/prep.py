@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscora.functions import numeric
 from fiscora.operators import aggregates, columns
@@ -14,6 +15,7 @@ TRAIN_YEARS, VAL_YEARS, TEST_YEARS = (2011, 2018), (2019, 2020), (2021, 2022)
 # Features clipped at the 99th percentile.
 WINSORIZED = ("medicaid_pct", "current_ratio")
 WINSOR_QUANTILE = 0.99
+PREPARATION = "kind string, column_name string, value double"
 
 
 def temporal_split(df: DataFrame, year: str, train: tuple[int, int] = TRAIN_YEARS,
@@ -70,9 +72,44 @@ def standardize_apply(df: DataFrame, fitted: DataFrame, cols: Sequence[str]) ->
         c: numeric.standardize(c, p[f"{c}__mean"], p[f"{c}__std"]) for c in cols})
 
 
+@dataclass(frozen=True)
+class Preparation:
+    """Caps and medians fitted on training rows, kept to treat any later rows alike."""
+    caps: Mapping[str, float | None]
+    medians: Mapping[str, float | None]
+
+    @staticmethod
+    def fit(df: DataFrame, features: Sequence[str] = numeric.FEATURE_COLUMNS,
+            winsorized: Sequence[str] = WINSORIZED,
+            where: str | Column | None = None) -> Preparation:
+        """Medians are those of the capped rows."""
+        caps = winsorize_fit(df, winsorized, where).first().asDict() if winsorized else {}
+        capped = Preparation(caps, {}).apply(df)
+        return Preparation(caps, impute_fit(capped, features, where).first().asDict())
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Cap, then fill; a projection without join or shuffle. Values become doubles."""
+        def value(v: float | None) -> Column:
+            return F.lit(v).cast("double")
+
+        capped = df.withColumns({c: numeric.cap_upper(c, value(v)) for c, v in self.caps.items()})
+        return capped.withColumns(
+            {c: numeric.fill_with(c, value(v)) for c, v in self.medians.items()})
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(kind, c, None if v is None else float(v))
+                for kind, values in (("cap", self.caps), ("median", self.medians))
+                for c, v in values.items()]
+        spark.createDataFrame(rows, PREPARATION).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Preparation:
+        rows = spark.read.schema(PREPARATION).parquet(path).collect()
+        return Preparation(*({r["column_name"]: r["value"] for r in rows if r["kind"] == kind}
+                             for kind in ("cap", "median")))
+
+
 def prepare(df: DataFrame, features: Sequence[str] = numeric.FEATURE_COLUMNS,
             winsorized: Sequence[str] = WINSORIZED, split: str = "split") -> DataFrame:
     """Winsorize and impute all splits with values fitted on the training rows."""
-    train = F.col(split) == "train"
-    capped = winsorize_apply(df, winsorize_fit(df, winsorized, train), winsorized)
-    return impute_apply(capped, impute_fit(capped, features, train), features)
+    return Preparation.fit(df, features, winsorized, F.col(split) == "train").apply(df)

@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fiscora.functions.numeric import FEATURE_COLUMNS, risk_tier, round_score
+from fiscora.ml.prep import Preparation
+from fiscora.ml.train import load_model, save_model
 
 # Smallest and largest sensible input per feature.
 FEATURE_DOMAIN = {
@@ -36,6 +38,23 @@ def score_batch(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> Dat
         *keep, round_score("_p").alias("risk_score"), risk_tier("_p").alias("risk_tier"))
 
 
+def save_scorer(spark: SparkSession, model: PipelineModel, preparation: Preparation,
+                path: str) -> None:
+    """Keep a model together with the caps and medians its rows were prepared with."""
+    save_model(model, f"{path}/model")
+    preparation.save(spark, f"{path}/preparation")
+
+
+def load_scorer(spark: SparkSession, path: str) -> tuple[PipelineModel, Preparation]:
+    return load_model(f"{path}/model"), Preparation.load(spark, f"{path}/preparation")
+
+
+def score_saved(spark: SparkSession, path: str, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Score raw rows, gaps included, with what ``save_scorer`` kept."""
+    model, preparation = load_scorer(spark, path)
+    return score_batch(model, preparation.apply(df), keep)
+
+
 def validate_input(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
                    domain: Mapping[str, tuple[float, float]] | None = None,
                    ) -> tuple[DataFrame, DataFrame]:

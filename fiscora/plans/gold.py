@@ -105,7 +105,10 @@ def build(spark: SparkSession, silver: DataFrame, out: GoldPaths, fmt: str = "pa
 
 
 def verify(tables: dict[str, DataFrame]) -> DataFrame:
-    """Long report (section, item, value) on the written star schema."""
+    """Long report (section, item, value) on the written star schema.
+
+    Schema items are "column type" with the place as value, feature items "column measure".
+    """
     fact = tables["fact"]
 
     def section(name: str, frame: DataFrame, item: Column, value: Column) -> DataFrame:
@@ -122,5 +125,13 @@ def verify(tables: dict[str, DataFrame]) -> DataFrame:
         section("label_rate", aggregates.rate(fact, "distress_label"), F.lit("rate"), F.col("rate")),
         section("years", aggregates.count_by(fact, ["fiscal_year"], order=False),
                 F.col("fiscal_year"), F.col("count")),
+        section("schema", fact.sparkSession.createDataFrame(
+            [(f"{c} {t}", i) for i, (c, t) in enumerate(fact.dtypes, 1)], "item string, at int"),
+            F.col("item"), F.col("at")),
     ]
+    summary = aggregates.describe(fact, numeric.FEATURE_COLUMNS).unpivot(
+        ["column_name"], [F.col(c).cast("double").alias(c) for c in ("count", "mean", "stddev", "min", "max")],
+        "measure", "value")
+    parts.append(section("features", summary, F.concat_ws(" ", "column_name", "measure"),
+                         F.col("value")))
     return windows.union_all(parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fiscora.functions.numeric import FEATURE_COLUMNS, apply_threshold
-from fiscora.ml import explain, metrics, oversample, prep, runs, score, train
+from fiscora.ml import explain, metrics, oversample, prep, rounds, runs, score, train
 from fiscora.operators import aggregates, joins, windows
 from fiscora.session import hand_over
 
@@ -19,6 +20,10 @@ LABEL = "distress_label"
 @dataclass
 class Outcome:
     models: dict[str, PipelineModel]
+    preparation: prep.Preparation
+    paths: dict[str, str]
+    splits: DataFrame
+    rounds: DataFrame
     comparison: DataFrame
     best: str
     test_scores: DataFrame
@@ -54,9 +59,16 @@ def run(spark: SparkSession, fact: DataFrame, dim_geography: DataFrame, run_log:
         features: Sequence[str] = FEATURE_COLUMNS, label: str = LABEL,
         key: Sequence[str] = ("ccn_key", "fiscal_year"), years: Mapping[str, tuple] | None = None,
         settings: Mapping[str, Mapping] | None = None, best: str | None = None) -> Outcome:
-    """The whole study. ``best`` fixes the final model, otherwise validation decides."""
-    split = prep.temporal_split(model_rows(fact, dim_geography), "fiscal_year", **(years or {}))
-    ready = hand_over(prep.prepare(split, features), "prepared")
+    """The whole study. ``best`` fixes the final model, otherwise validation decides.
+
+    Every model is saved with its caps and medians next to the run log, in a folder the log
+    names; ``score.score_saved`` scores new rows from there.
+    """
+    split = hand_over(prep.temporal_split(
+        model_rows(fact, dim_geography), "fiscal_year", **(years or {})), "split")
+    winsorized = [c for c in prep.WINSORIZED if c in features]
+    preparation = prep.Preparation.fit(split, features, winsorized, "split = 'train'")
+    ready = hand_over(preparation.apply(split), "prepared")
     aggregates.require_no_nulls(ready, features)
     parts = {s: ready.filter(F.col("split") == s) for s in ("train", "val", "test")}
     balanced = hand_over(oversample.smote(parts["train"], features, label), "balanced")
@@ -66,12 +78,14 @@ def run(spark: SparkSession, fact: DataFrame, dim_geography: DataFrame, run_log:
     val_scores = hand_over(score_long(models, parts["val"], keep), "val-scores")
     comparison = metrics.compare_models(val_scores, "model", "score", label)
     results = {r["model"]: r for r in comparison.collect()}
-    run_ids = {}
+    run_ids, paths = {}, {}
     for name in models:
+        paths[name] = f"{run_log.rstrip('/')}-models/{name}-{uuid.uuid4().hex}"
+        score.save_scorer(spark, models[name], preparation, paths[name])
         run_ids[name] = runs.log_run(
             spark, run_log, name,
             {"model_type": name, "smote": True, "features": list(features),
-             **dict((settings or {}).get(name, {}))},
+             "model_path": paths[name], **dict((settings or {}).get(name, {}))},
             {"val_roc_auc": results[name]["roc_auc"],
              "val_pr_auc": results[name]["average_precision"]} if name in results else {})
     best = best or max(results, key=lambda m: results[m]["average_precision"] or 0.0)
@@ -87,8 +101,11 @@ def run(spark: SparkSession, fact: DataFrame, dim_geography: DataFrame, run_log:
     long = explain.shap_long(phi, features, key)
     top = windows.top_1(test_scores, "score", key)
     top_long = long.join(top.select(*key), list(key), "left_semi")
+    splits = aggregates.rate(ready, label, ["split"])
+    watched = hand_over(rounds.metrics_per_round(models["BoostedTrees"], parts["val"], label),
+                        "rounds")
     return Outcome(
-        models, comparison, best, test_scores, test_metrics,
+        models, preparation, paths, splits, watched, comparison, best, test_scores, test_metrics,
         metrics.classification_report(test_scores, "pred", label),
         metrics.fairness_by_group(test_scores, "rural_level", "score", "pred", label),
         explain.shap_summary(long), explain.shap_waterfall(top_long, key))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fiscora.functions import numeric, text
 from fiscora.ml.prep import impute_apply, impute_by_group, impute_fit
 from fiscora.operators import columns, joins
+from fiscora.operators.aggregates import require_no_nulls
 from fiscora.session import hand_over
 
 # Fixed value: lowest rurality code that counts as rural.
@@ -83,7 +84,8 @@ def build(filings: DataFrame, rurality: DataFrame, closures: DataFrame,
     ``impute`` is ``global``, ``state_year`` (global where a group has no
     value) or None. ``fit_where`` limits the rows medians are fitted on.
     ``score_completeness`` adds the number of amounts present before imputing,
-    so that deduplication can still tell amended filings apart.
+    so that deduplication can still tell amended filings apart. Imputing fails
+    where an amount has no value at all, because a gap would remain.
     """
     rows = clean(filings, rurality, closures, closure_filter)
     if score_completeness:
@@ -94,9 +96,11 @@ def build(filings: DataFrame, rurality: DataFrame, closures: DataFrame,
         # Medians take several passes; the joins above should run once.
         rows = hand_over(rows, "clean")
     if impute == "global":
-        return impute_apply(rows, impute_fit(rows, amounts, fit_where, method), amounts)
+        return require_no_nulls(
+            impute_apply(rows, impute_fit(rows, amounts, fit_where, method), amounts), amounts)
     if impute == "state_year":
-        return impute_by_group(rows, amounts, ["state_code", "fiscal_year"], fit_where, method)
+        return require_no_nulls(impute_by_group(
+            rows, amounts, ["state_code", "fiscal_year"], fit_where, method), amounts)
     if impute is not None:
         raise ValueError(f"unknown imputation {impute!r}")
     return rows

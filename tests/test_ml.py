@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fiscora.functions.numeric import FEATURE_COLUMNS
-from fiscora.ml import explain, metrics, neighbors, oversample, prep, runs, score, train
+from fiscora.ml import explain, metrics, neighbors, oversample, prep, rounds, runs, score, train
 from fiscora.plans import modeling
 
 FEATURES = ["a", "b", "c"]
@@ -249,6 +249,46 @@ def test_save_load_watch_and_score(rows, tmp_path):
     assert len(losses) == 5 and losses[-1] < losses[0]
 
 
+def test_saved_scorer_treats_raw_rows_as_in_training(spark, rows, tmp_path):
+    gaps = rows.withColumns({"b": F.when(F.col("id") % 7 != 0, F.col("b")),
+                             "a": F.when(F.col("id") == 3, 1e9).otherwise(F.col("a"))})
+    fitted = prep.Preparation.fit(gaps, FEATURES, ["a"], "id % 2 = 0")
+    even = gaps.filter("id % 2 = 0").toPandas()
+    assert fitted.caps["a"] == pytest.approx(np.quantile(even["a"], 0.99))
+    assert fitted.medians["b"] == pytest.approx(even["b"].median())
+    ready = fitted.apply(gaps)
+    model = train.train_logistic(ready, FEATURES, "y")
+    path = str(tmp_path / "scorer")
+    score.save_scorer(spark, model, fitted, path)
+    assert prep.Preparation.load(spark, path + "/preparation") == fitted
+    got = score.score_saved(spark, path, gaps, ["id"]).orderBy("id").collect()
+    assert got == score.score_batch(model, ready, ["id"]).orderBy("id").collect()
+    assert len(got) == rows.count() and all(r["risk_score"] is not None for r in got)
+
+
+def test_preparation_without_values(spark, tmp_path):
+    """A column without any value has no median: rows stay as they are."""
+    empty = spark.createDataFrame([(None, None)], "current_ratio double, a double")
+    fitted = prep.Preparation.fit(empty, ["a"], ["current_ratio"])
+    assert fitted.caps == {"current_ratio": None} and fitted.medians == {"a": None}
+    assert fitted.apply(empty).collect() == empty.collect()
+    fitted.save(spark, str(tmp_path / "p"))
+    assert prep.Preparation.load(spark, str(tmp_path / "p")) == fitted
+
+
+def test_metrics_per_round(spark, rows):
+    """Each round ranks as a model of so many rounds does."""
+    model = train.train_boosted(rows, FEATURES, "y", rounds=6, depth=2)
+    got = {r["round"]: r for r in rounds.metrics_per_round(model, rows, "y").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    for n in (1, 3, 6):
+        short = train.train_boosted(rows, FEATURES, "y", rounds=n, depth=2)
+        want = metrics.ranking_metrics(
+            score.probability(short, rows, ["y"]), "probability", "y").first()
+        assert got[n]["average_precision"] == pytest.approx(want["average_precision"])
+        assert got[n]["roc_auc"] == pytest.approx(want["roc_auc"])
+
+
 def test_validate_input(spark):
     good = {f: "0.1" for f in FEATURE_COLUMNS}
     data = [good, {**good, "total_margin": None}, {**good, "current_ratio": "much"},
@@ -297,6 +337,13 @@ def test_study_end_to_end(spark, tmp_path):
     assert out.importance.first()["feature"] == "operating_margin"
     steps = out.waterfall.orderBy("position").collect()
     assert len(steps) == 10 and len({s["ccn_key"] for s in steps}) == 1
+    assert {r["split"]: r["rows"] for r in out.splits.collect()} == {
+        "train": 280, "val": 70, "test": 70}
+    assert [r["round"] for r in out.rounds.orderBy("round").collect()] == [1, 2, 3]
+    raw = modeling.model_rows(fact, geography)
+    assert raw.filter("current_ratio IS NULL").count() > 0
+    assert score.score_saved(spark, out.paths[out.best], raw, ["ccn_key"]).filter(
+        "risk_score IS NULL").count() == 0
     logged = runs.latest_values(runs.read_runs(spark, str(tmp_path / "runs")))
     assert {"test_roc_auc", "val_pr_auc"} <= {
         r["key"] for r in logged.filter(F.col("name") == out.best).collect()}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fiscora.functions import numeric
-from fiscora.ml import explain, metrics, oversample, prep, runs, score, train
-from fiscora.operators import windows
+from fiscora.ml import explain, metrics, oversample, prep, rounds, runs, score, train
+from fiscora.operators import aggregates, windows
 from fiscora.session import hand_over, scratch_path
 from workload.binding import RATED, YEARS, rated_accounts, rounded_sql, with_
 from workload.registry import query, rounded, table
@@ -97,29 +97,75 @@ def smote(spark, sf_dir):
         F.count("*").alias("rows"), F.every(inside).alias("inside"))
 
 
-# Smaller than the library's defaults (300 trees or rounds), on all rows.
-SETTINGS = {"RandomForest": {"trees": 20, "depth": 6}, "BoostedTrees": {"rounds": 10}}
+#: Least ROC-AUC on the rows a model was trained on, in hundredths.
+FLOORS = {"logistic": 50, "forest": 90, "boosted": 80}
+_FACTS = """
+SELECT ccn_key, fiscal_year, distress_label, TRUE AS in_range, TRUE AS fits FROM ready WHERE split <> 'train'"""
 
 
-def _scored(spark, sf_dir, maker, **settings):
+def study_rows(spark, sf_dir):
+    """(prepared rows, training rows with both classes equally large), both written."""
     ready = hand_over(ready_rows(spark, sf_dir), "ready")
-    model = maker(ready.filter("split = 'train'"), FEATURES, LABEL, **settings)
-    return score.probability(model, ready.filter("split <> 'train'"), [*KEY, LABEL], "score")
+    balanced = oversample.smote(ready.filter("split = 'train'"), FEATURES, LABEL)
+    return ready, hand_over(balanced, "balanced")
 
 
-@query("m5_train_logistic")
+def _facts(model, ready, fits):
+    """Held-out keys with the label; ``in_range`` if the row has a probability."""
+    return score.probability(model, ready.filter("split <> 'train'"), [*KEY, LABEL], "_p").select(
+        *KEY, LABEL, (F.col("_p").isNotNull() & F.col("_p").between(0, 1)).alias("in_range"),
+        F.lit(bool(fits)).alias("fits"))
+
+
+def _reaches(model, balanced, floor):
+    """Whether the trained rows are ranked at least as well as the floor says."""
+    ranked = score.probability(model, balanced, [LABEL], "_p")
+    return metrics.roc_auc(ranked, "_p", LABEL).first()["roc_auc"] * 100 >= FLOORS[floor]
+
+
+def _steepest(model, balanced):
+    """Largest part of the gradient of the balanced, penalised mean loss."""
+    rows = aggregates.class_weights(balanced, LABEL, "_w")
+    n = rows.count()
+    last, scale = model.stages[-1], model.stages[1].getScalingVec()
+    error = F.col("_w") * (F.col("_p") - F.col(LABEL))
+    sums = score.probability(model, rows, [LABEL, "_w", *FEATURES], "_p").agg(
+        F.sum(error).alias("_intercept"), *[F.sum(error * F.col(f)).alias(f) for f in FEATURES]).first()
+    slopes = [abs(sums[f] * scale[i] + last.coefficients[i]) / n for i, f in enumerate(FEATURES)]
+    return max(slopes + [abs(sums["_intercept"]) / n])
+
+
+@query("m5_train_logistic", with_(READY_SQL, _FACTS))
 def train_logistic(spark, sf_dir):
-    return _scored(spark, sf_dir, train.train_logistic)
+    """``fits`` if the gradient of the loss vanishes at the fitted weights."""
+    ready, balanced = study_rows(spark, sf_dir)
+    model = train.train_logistic(balanced, FEATURES, LABEL)
+    return _facts(model, ready, _steepest(model, balanced) < 1e-4)
 
 
-@query("m6_train_forest")
+@query("m6_train_forest", with_(READY_SQL, _FACTS))
 def train_forest(spark, sf_dir):
-    return _scored(spark, sf_dir, train.train_forest, **SETTINGS["RandomForest"])
+    ready, balanced = study_rows(spark, sf_dir)
+    model = train.train_forest(balanced, FEATURES, LABEL)
+    return _facts(model, ready, _reaches(model, balanced, "forest"))
 
 
-@query("m7_train_boosted")
+@query("m7_train_boosted", with_(READY_SQL, _FACTS + """
+UNION ALL SELECT NULL, CAST(unnest(range(1, 301)) AS INTEGER), NULL, TRUE, TRUE"""))
 def train_boosted(spark, sf_dir):
-    return _scored(spark, sf_dir, train.train_boosted, **SETTINGS["BoostedTrees"])
+    """Also one row per round (as ``fiscal_year``) with the validation metrics in range; the
+    last round's must be those of the model's own probabilities."""
+    ready, balanced = study_rows(spark, sf_dir)
+    model = train.train_boosted(balanced, FEATURES, LABEL)
+    val = ready.filter("split = 'val'")
+    whole = metrics.average_precision(score.probability(model, val, [LABEL], "_p"), "_p", LABEL).first()
+    watched = rounds.metrics_per_round(model, val, LABEL)
+    precision = F.col("average_precision")
+    per_round = watched.select(
+        F.lit(None).cast("string").alias(KEY[0]), F.col("round").alias(KEY[1]),
+        F.lit(None).cast("int").alias(LABEL), precision.between(0, 1).alias("in_range"),
+        ((F.col("round") < 300) | (F.abs(precision - whole["average_precision"]) < 1e-9)).alias("fits"))
+    return _facts(model, ready, _reaches(model, balanced, "boosted")).unionByName(per_round)
 
 
 def _returned(spark, sf_dir):
@@ -254,12 +300,24 @@ def log_run(spark, sf_dir):
     return runs.latest_values(runs.read_runs(spark, path)).drop("run_id")
 
 
-@query("m15_shap_values")
+@query("m15_shap_values", with_(READY_SQL, """
+SELECT ccn_key, fiscal_year, TRUE AS adds_up, TRUE AS same_base FROM ready WHERE split <> 'train'"""))
 def shap_values(spark, sf_dir):
-    """Tree attributions of every held-out row."""
-    ready = hand_over(ready_rows(spark, sf_dir), "ready")
-    model = train.train_boosted(ready.filter("split = 'train'"), FEATURES, LABEL, rounds=5)
-    return explain.shap_values(model, ready.filter("split <> 'train'"), FEATURES, KEY)
+    """Tree attributions of every held-out row; with the base value they add up to the margin,
+    and the base value is the mean margin of the trained rows."""
+    ready, balanced = study_rows(spark, sf_dir)
+    model = train.train_boosted(balanced, FEATURES, LABEL)
+    rows = score.probability(model, ready.filter("split <> 'train'"), [*KEY, *FEATURES], "_p")
+    phi = explain.shap_values(model, rows, FEATURES, [*KEY, "_p"])
+    total = F.col("base_value")
+    for f in FEATURES:
+        total = total + F.col(f"phi_{f}")
+    # The margin is half the log-odds.
+    off = F.abs(F.lit(1.0) / (1 + F.exp(-2 * total)) - F.col("_p"))
+    margin = F.ln(F.col("_p") / (1 - F.col("_p"))) / 2
+    mean = score.probability(model, balanced, [], "_p").agg(F.avg(margin).alias("m")).first()["m"]
+    return phi.select(*KEY, (off < 1e-9).alias("adds_up"),
+                      (F.abs(F.col("base_value") - mean) < 1e-6).alias("same_base"))
 
 
 _WEIGHTS = {"l_quantity": 0.5, "l_extendedprice": -0.001, "l_discount": 20.0, "l_tax": -30.0}
@@ -309,11 +367,28 @@ def shap_waterfall(spark, sf_dir):
                    ["phi", "start_value", "end_value"], 4)
 
 
-@query("m18_score_batch")
+@query("m18_score_batch", with_(SPLIT_SQL, """
+SELECT ccn_key, fiscal_year, TRUE AS rounded, TRUE AS tiered, TRUE AS as_prepared FROM split"""))
 def score_batch(spark, sf_dir):
-    ready = hand_over(ready_rows(spark, sf_dir), "ready")
-    model = train.train_logistic(ready.filter("split = 'train'"), FEATURES, LABEL)
-    return score.score_batch(model, ready, KEY)
+    """Raw rows, gaps included, scored by a saved model with the caps and medians kept with it.
+
+    ``rounded`` and ``tiered`` hold if score and tier follow from the probability that the
+    model gives the prepared row.
+    """
+    raw = hand_over(split_rows(spark, sf_dir), "split")
+    fitted = prep.Preparation.fit(raw, FEATURES, prep.WINSORIZED, "split = 'train'")
+    ready = hand_over(fitted.apply(raw), "ready")
+    balanced = hand_over(oversample.smote(ready.filter("split = 'train'"), FEATURES, LABEL), "balanced")
+    model = train.train_logistic(balanced, FEATURES, LABEL)
+    path = scratch_path(spark, "scorer")
+    score.save_scorer(spark, model, fitted, path)
+    given = score.score_saved(spark, path, raw, list(KEY))
+    known = score.probability(model, ready, list(KEY), "_p")
+    tier = F.when(F.col("_p") >= 0.6, "HIGH").when(F.col("_p") >= 0.35, "ELEVATED").otherwise("LOW")
+    return given.join(known, list(KEY)).select(
+        *KEY, (F.col("risk_score") == F.round("risk_score", 4)).alias("rounded"),
+        (F.col("risk_tier") == tier).alias("tiered"),
+        (F.col("risk_score") == F.round("_p", 4)).alias("as_prepared"))
 
 
 _DOMAIN = {"l_quantity": (1.0, 45.0), "l_discount": (0.0, 0.08)}
@@ -351,7 +426,7 @@ SELECT split, CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) AS BIGINT) AS sa
 def save_load(spark, sf_dir):
     """A reloaded model gives every row the score the trained one gave."""
     ready = hand_over(ready_rows(spark, sf_dir), "ready")
-    model = train.train_forest(ready.filter("split = 'train'"), FEATURES, LABEL, trees=5, depth=4)
+    model = train.train_forest(ready.filter("split = 'train'"), FEATURES, LABEL)
     path = scratch_path(spark, "model")
     train.save_model(model, path)
     again = train.load_model(path)
