@@ -153,34 +153,17 @@ def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[st
     inside = bracketed.select(*by, *[
         F.when(F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")), F.col(c)).alias(c)
         for c in cols])
-    # Small for big groups and read more than once below.
-    counted = hand_over(
-        inside.unpivot(by, cols, "column_name", "value").filter(F.col("value").isNotNull())
-        .groupBy(*keys, "value").agg(F.count("*").alias("_c")), "counted")
+    # Small for big groups. The distinct values are ordered in as many ranges as they need.
+    ordered = running_sums(
+        inside.unpivot(by, cols, "column_name", "value").filter(F.col("value").isNotNull()),
+        "value", {"_c": F.count("*")}, keys)
     if not by:
         # One row per column.
         facts = F.broadcast(facts)
     same = _same_keys(keys)
-    # 64 slices of the bracket, so that a huge group is ordered by many tasks.
-    width = F.col("_hi") - F.col("_lo")
-    piece = F.when(width > 0, F.least(F.lit(63), F.floor(
-        (F.col("value") - F.col("_lo")) / width * 64))).otherwise(0).cast("int")
-    placed = counted.join(facts, same, "inner").select(
-        *keys, "n", "_below", "value", "_c", piece.alias("_piece"))
-    pieces = placed.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_c"))
-    earlier = (Window.partitionBy(*keys).orderBy("_piece")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = pieces.select(
-        *[F.col(c).alias(f"_{c}") for c in keys], F.col("_piece").alias("_offset_piece"),
-        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_offset"))
-    if not by:
-        offsets = F.broadcast(offsets)
-    within = (Window.partitionBy(*keys, "_piece").orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    through = (placed.withColumn("_through", F.sum("_c").over(within))
-               .join(offsets, same & (F.col("_piece") == F.col("_offset_piece")), "left")
-               .withColumn("_last", F.col("_below") + F.col("_offset") + F.col("_through") - 1)
-               .withColumn("_first", F.col("_last") - F.col("_c") + 1))
+    first = F.col("_below") + F.col("_c_before")
+    through = ordered.join(facts, same, "inner").select(
+        *keys, "n", "value", first.alias("_first"), (first + F.col("_c") - 1).alias("_last"))
     rank = (F.col("n") - 1) * F.lit(float(q))
     low, high = F.floor(rank), F.ceil(rank)
 
