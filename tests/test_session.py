@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlparse
+
 import pytest
 
-from fiscora.session import hand_over, scratch_path, shared_dir
+from fiscora.session import hand_over, scratch_path, scratch_scope, shared_dir
 
 
 class Context:
@@ -41,3 +44,22 @@ def test_hand_over_keeps_schema_and_rows(spark):
     again = hand_over(df, "pair")
     assert again.schema == df.schema and sorted(again.collect(), key=str) == sorted(df.collect(), key=str)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_scope_removes_only_its_own_tables(spark):
+    def there(path):
+        return os.path.exists(urlparse(path).path)
+
+    before = scratch_path(spark, "before")
+    spark.range(3).write.parquet(before)
+    with pytest.raises(ZeroDivisionError):
+        with scratch_scope(spark):
+            outer = scratch_path(spark, "outer")
+            spark.range(3).write.parquet(outer)
+            with scratch_scope(spark):
+                inner = scratch_path(spark, "inner")
+                spark.range(3).write.parquet(inner)
+                scratch_path(spark, "never-written")
+            assert there(outer) and not there(inner)
+            1 / 0
+    assert there(before) and not there(outer)
