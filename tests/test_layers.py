@@ -131,6 +131,12 @@ def test_silver_imputation(snake):
         silver.build(snake["filings"], snake["rurality"], snake["closures"], impute="mean")
 
 
+def test_silver_fails_on_a_gap_that_remains(snake):
+    unknown = snake["filings"].withColumn("net_income", F.lit(None).cast("string"))
+    with pytest.raises(ValueError, match="net_income"):
+        silver.build(unknown, snake["rurality"], snake["closures"])
+
+
 def test_closure_filter(snake):
     kept = silver.build(snake["filings"], snake["rurality"], snake["closures"], impute=None,
                         closure_filter="hospital_name NOT LIKE 'Saint%'")
