@@ -20,14 +20,17 @@ Two kinds of fingerprint:
   distinct texts a member meets about n / 2**16 strangers per segment; for more
   than some 10**8 texts segments should be wider.
 
-Documents with equal fingerprints are one class, so copies are never paired.
+Documents with equal fingerprints are one class, so copies are never paired. All
+pairs of a table entry are compared: one that is too large for a task is cut into
+blocks, and each pair of blocks goes to a task (work grows with its square), or for
+``exact`` into balls around its members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, floor, pi, sqrt
+from math import acos, floor, inf, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +49,8 @@ NEAR_SIMILARITY = 0.8
 NEAR_WORDS = 4              # 64-bit words of a near fingerprint
 SEGMENTS, SEGMENT_BITS = 12, 20
 WEAK_BITS = 2               # of each segment, for near fingerprints
-# A table entry with more distinct fingerprints is split further instead of compared.
+# A table entry with more distinct fingerprints is cut up before its members are compared.
 MAX_BUCKET = 1 << 14
-BALL = 65                   # points within one bit: the most an exact entry holds once split
 SMALL = 8                   # members of an entry up to which all its pairs are compared
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
@@ -190,12 +192,8 @@ def _segments(words: list[np.ndarray]) -> list[np.ndarray]:
     return found
 
 
-def _near_buckets(words: list[np.ndarray], masks: list[np.ndarray], inside: np.ndarray | None = None
-                  ) -> np.ndarray:
-    """Entries of the balls of all segments; ``inside`` an entry, those of later segments only.
-
-    The last four bits of an entry are its segment.
-    """
+def _near_buckets(words: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarray:
+    """Entries of the balls of all segments."""
     columns = []
     for k, (value, weak) in enumerate(zip(_segments(words), _segments(masks))):
         points = value[:, None]
@@ -204,26 +202,34 @@ def _near_buckets(words: list[np.ndarray], masks: list[np.ndarray], inside: np.n
             bit = rest & (~rest + np.uint64(1))     # lowest set bit
             rest = rest ^ bit
             points = np.concatenate([points, points ^ bit[:, None]], axis=1)
-        outer = () if inside is None else (inside[:, None],)
-        entry = _bucket(10 + k, points, *outer) << np.uint64(4) | np.uint64(k)
-        if inside is not None:
-            entry[(inside & np.uint64(15)) >= k] = 0
-        columns.append(entry)
+        columns.append(_bucket(10 + k, points))
     return np.concatenate(columns, axis=1)
 
 
-def _split_exact(bucket: np.ndarray, words: list[np.ndarray], _masks) -> np.ndarray:
+def _split_exact(words: list[np.ndarray], _masks) -> np.ndarray:
     """Entries of balls of one bit: fingerprints within 2 bits share one, none holds over 65."""
     balls = _bucket(4, words[0][:, None] ^ _flips(64, 1))
     return np.concatenate([_bucket(4, words[0])[:, None], balls], axis=1)
 
 
-def _split_near(bucket: np.ndarray, words: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarray:
-    """Entries that also meet in a later segment; the last segment ends it."""
-    return _near_buckets(words, masks, bucket)
-
+def _block_pairs(crowded: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Each crowded entry as one entry per pair of its blocks, which hold about ``most`` / 2 members.
 
-def _enter(batches: Iterator[pa.RecordBatch], width: int, entries, split: bool) -> Iterator[pa.RecordBatch]:
+    Two members of an entry are together in at least one of these, whichever blocks
+    they are in, so all pairs are compared. A member gets a row per other block.
+    """
+    size = hand_over(crowded.groupBy(F.col("bucket").alias("_bucket")).agg(
+        F.ceil(F.count("*") / max(most // 2, 1)).alias("_blocks")), "crowded")
+    own, other = F.pmod(F.xxhash64("_a"), F.col("_blocks")), F.col("_other")
+    rows = crowded.join(size, F.col("bucket") == F.col("_bucket")).select(
+        "_a", "bucket", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    ).filter("_own <> _other").select(
+        "_a", F.xxhash64("bucket", F.least("_own", other), F.greatest("_own", other)).alias("bucket"))
+    return rows.join(classes, F.col("_a") == F.col("node")).select(
+        "bucket", "node", *[c for c in classes.columns if c.startswith("w")])
+
+
+def _enter(batches: Iterator[pa.RecordBatch], width: int, entries) -> Iterator[pa.RecordBatch]:
     """One row per fingerprint and table entry."""
     names = [f"w{k}" for k in range(width)]
     schema = pa.schema([(c, pa.int64()) for c in ("bucket", "node", *names)])
@@ -236,7 +242,7 @@ def _enter(batches: Iterator[pa.RecordBatch], width: int, entries, split: bool)
 
             words = [column(c) for c in names]
             masks = [column(f"m{k}") for k in range(width)]
-            keys = entries(column("bucket"), words, masks) if split else entries(words, masks)
+            keys = entries(words, masks)
             row, col = np.nonzero(keys)
             yield record(schema, keys[row, col].view(np.int64), column("node")[row].view(np.int64),
                          *[w[row].view(np.int64) for w in words])
@@ -262,12 +268,12 @@ def _forest(words: np.ndarray, limit: int) -> Iterator[np.ndarray]:
         yield np.array(group)
 
 
-def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: int) -> Iterator[pa.RecordBatch]:
+def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: float) -> Iterator[pa.RecordBatch]:
     """Links within table entries of a partition sorted by entry and fingerprint.
 
     Rows (a, b) join each member to the smallest of its connected group in the
     entry. Members of an entry that grows beyond ``most`` come out unlinked,
-    as (a, NULL, bucket), to be split further.
+    as (a, NULL, bucket), to be cut up.
     """
     names = ["node", *[f"w{k}" for k in range(width)]]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64())])
@@ -368,24 +374,27 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool
     classes = hand_over(prints.filter("doc_id IS NOT NULL").groupBy(*words).agg(
         F.min("doc_id").alias("node"), *[F.min(m).alias(m) for m in masks]), "classes")
     entry_schema = "bucket long, node long, " + ", ".join(f"{w} long" for w in words)
-    entries, split = (_near_buckets, _split_near) if near else (_exact_buckets, _split_exact)
 
-    def link(rows: DataFrame, limit: int) -> DataFrame:
+    def enter(rows: DataFrame, entries) -> DataFrame:
+        return rows.mapInArrow(lambda it: _enter(it, width, entries), entry_schema)
+
+    def link(rows: DataFrame, limit: float) -> DataFrame:
         placed = rows.repartition("bucket").sortWithinPartitions("bucket", *words)
         return placed.mapInArrow(lambda it: _link(it, width, distance, limit),
                                  "a long, b long, bucket long")
 
-    found = hand_over(link(classes.mapInArrow(
-        lambda it: _enter(it, width, entries, False), entry_schema), most), "links")
+    found = hand_over(link(enter(classes, _near_buckets if near else _exact_buckets), most), "links")
     links = found.filter("b IS NOT NULL").select("a", "b")
-    # Crowded entries are split until they are small; exact ones are after one step.
+    # Crowded entries are cut so that all of their pairs still meet; what is cut is not cut again.
     crowded = found.filter("b IS NULL").select(F.col("a").alias("_a"), "bucket").distinct()
-    while not crowded.isEmpty():
-        rows = crowded.join(classes, F.col("_a") == F.col("node")).drop("_a")
-        found = hand_over(link(rows.mapInArrow(
-            lambda it: _enter(it, width, split, True), entry_schema), max(most, BALL)), "links")
-        links = links.union(found.filter("b IS NOT NULL").select("a", "b"))
-        crowded = found.filter("b IS NULL").select(F.col("a").alias("_a"), "bucket").distinct()
+    if not crowded.isEmpty():
+        if near:
+            rows = _block_pairs(crowded, classes, most)
+        else:
+            rows = enter(classes.join(crowded.select("_a").distinct(), F.col("_a") == F.col("node")).drop("_a"),
+                         _split_exact)
+        found = hand_over(link(rows, inf), "links")
+        links = links.union(found.select("a", "b"))
     roots = components(links).withColumnRenamed("node", "_node")
     labels = hand_over(classes.join(roots, F.col("node") == F.col("_node"), "left").select(
         *[F.col(w).alias(f"_{w}") for w in words], F.coalesce("root", "node").alias("component_id")), "labels")

@@ -366,6 +366,29 @@ def test_near_groups(spark, most):
     assert {r.doc_id for r in simhash.keep_one(frame(spark, docs)).collect()} == {g * 100 for g in range(8)}
 
 
+@pytest.mark.parametrize("segment", [0, 5, 11])
+@pytest.mark.parametrize("most", [1 << 14, 3])
+def test_crowded_entries_are_compared_whole(spark, monkeypatch, segment, most):
+    rng = random.Random(segment)
+    shift = lambda k: 256 - simhash.SEGMENT_BITS * (k + 1)
+    field = (1 << simhash.SEGMENT_BITS) - 1
+    rows = []
+    for g in range(20):
+        # All agree in one segment; the two of a pair differ by one bit in each other one.
+        first = rng.getrandbits(256) & ~(field << shift(segment)) | 12345 << shift(segment)
+        second = first
+        for k in set(range(simhash.SEGMENTS)) - {segment}:
+            second ^= 1 << shift(k) + rng.randrange(simhash.SEGMENT_BITS)
+        for c, value in enumerate((first, second)):
+            words = np.array([value >> 192 - 64 * w & (1 << 64) - 1 for w in range(4)], np.uint64)
+            rows.append((2 * g + c, *words.view(np.int64).tolist(), 0, 0, 0, 0))
+    names = ["doc_id", *[f"{c}{k}" for c in "wm" for k in range(4)]]
+    prints = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    got = {r.doc_id: r.component_id for r in simhash.groups(prints, near=True, most=most).collect()}
+    assert got == {d: d // 2 * 2 for d in range(40)}
+
+
 def test_simhash_odd(spark, odd, empty):
     got = simhash.groups(odd).collect()
     by = {r.doc_id: r.component_id for r in got}
