@@ -48,8 +48,9 @@ DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4",
 
 _WORD = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(
-    rf"(?<![A-Za-z])(?:plus\s+)?(?:(?:{_WORD})(?![A-Za-z])[\s,;/-]*(?:(?:dot|point)\s+(?={_WORD}))?){{{DIGIT_RUN},}}", re.I)
-_SPELLED_PART = re.compile(rf"(plus)|({_WORD})|(dot|point)|[\s,;/-]+", re.I)
+    rf"(?<![A-Za-z])(?:(?ai:plus)\s+)?(?:(?ai:{_WORD})(?![A-Za-z])[\s,;/-]*"
+    rf"(?:(?ai:dot|point)\s+(?=(?ai:{_WORD})))?){{{DIGIT_RUN},}}")
+_SPELLED_PART = re.compile(rf"((?ai:plus))|((?ai:{_WORD}))|((?ai:dot|point))|[\s,;/-]+")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s+dot\s+)(?=[A-Za-z0-9])", re.I)
 _AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*(?=[A-Za-z0-9])", re.I)
@@ -61,7 +62,11 @@ _ODD = np.zeros(256, bool)
 _ODD[[0xC2, *range(0xCD, 0xD5), 0xE2, 0xEF]] = True
 _ODD_NEXT = np.zeros(256, bool)
 _ODD_NEXT[0xAD] = True      # after 0xC2: the soft hyphen
-_BREAK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c-,;./()[]{}<>"))
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# A bracketed sign or word of _DOT and _AT in UTF-8, with all that \s is between; in \s are also these:
+_BLANK = rb"(?:[\s\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)*+"
+_BRACKETED = re.compile(_OPEN.encode() + _BLANK + rb"(?:at|dot|[@.])" + _BLANK + _CLOSE.encode(), re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -169,7 +174,11 @@ def disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 
 def _suspects(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
-    """Which texts can hold a plain identifier, and which a disguise."""
+    """Which texts can hold a plain identifier, and which a disguise.
+
+    Every pattern of ``normalise`` needs a disguised character, three spelled digits,
+    the word "dot" or a bracketed sign, so no text without one of these is changed by it.
+    """
     data = slab.data
 
     def any_(mask: np.ndarray) -> np.ndarray:
@@ -181,8 +190,8 @@ def _suspects(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
     soft = data == 0xC2
     odd[:-1] &= ~soft[:-1] | _ODD_NEXT[data[1:]]
     strange = any_(odd)
-    # Words between any punctuation: "dot", and runs of spelled digits.
-    solid = ~_BREAK[data]
+    # Runs of letters between anything else: "dot", and spelled digits.
+    solid = _LETTER[data]
     turn = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     first, last = turn[::2], turn[1::2]
     size = last - first
@@ -197,7 +206,11 @@ def _suspects(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
     text_of = np.searchsorted(slab.end, first)
     digit = np.bincount(text_of[np.isin(code, known)], minlength=len(slab)) >= DIGIT_RUN
     dotted = np.bincount(text_of[code == dot], minlength=len(slab)) > 0
-    return sign, strange | digit | dotted
+    bracketed = np.zeros(len(slab), bool)
+    for m in _BRACKETED.finditer(slab.raw):
+        # One that spans two texts is in neither; it counts for the later one.
+        bracketed[np.searchsorted(slab.end, m.end() - 1)] = True
+    return sign, strange | digit | dotted | bracketed
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

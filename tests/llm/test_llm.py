@@ -250,6 +250,21 @@ def test_disguises_map_back(text, found):
     assert [text[s:e] for s, _, e in spans] == ([found] if found else [])
 
 
+def test_disguises_pass_the_gate(spark):
+    found = ["jоhn [at] exаmple [dot] com", "jane at mail dot example dot org", "john [at] example.com", "john(at)example.com",
+             "john [@] example [.] com", "a.b {at} mail.org", "JOHN < AT > example.com", "a.b (\u00a0at\u3000) mail.org",
+             "plus one five five five, one two three four five six", "４５３９１４８８０３４３６４６７", "john@example(.)com",
+             "plus\u00a0one\u00a0five\u00a0five\u00a0five\u00a0one\u00a0two\u00a0three\u00a0four\u00a0five\u00a0six",
+             "one\u3000nine\u3000two dot one\u3000six\u3000eight dot zero dot one"]
+    # Quoted, so that no blank is next to the words either.
+    docs = [(i, f'é "{t}" up') for i, t in enumerate(found)] + [
+        (100, "met (at the station) one two, a [list] of <at least> ten"), (101, "oпe ſix ſix ſix nıne nıne four four four")]
+    got = {r.doc_id: [docs[r.doc_id][1][s.start:s.stop] for s in r.spans if s.band == 0]
+           for r in pii.find(frame(spark, docs)).filter("doc_id < 100").collect()}
+    assert got == {i: [t] for i, t in enumerate(found)}
+    assert [list(r.spans) for r in pii.find(frame(spark, docs)).filter("doc_id >= 100").collect()] == [[], []]
+
+
 def test_randomness_battery(spark):
     rng = random.Random(9)
     b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
