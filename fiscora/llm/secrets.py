@@ -3,9 +3,11 @@
 Strings without a known form are judged by a battery of tests. The encoding is
 inferred from the characters used; chi-squared uniformity over its alphabet, the
 number of runs of character classes and the serial correlation of neighbouring
-symbols each say how likely written text is to look that random. The combined
+symbols each say how likely written text is to look that random. Runs of token
+characters are cut at inner equals signs (NAME=value, a=b), and every part of
+MIN_LENGTH or more that has a letter is tested, with or without digits. The combined
 evidence of all candidates of the corpus goes through false-discovery control in
-bands of length, because short strings are many and carry little evidence.
+bands of length and families of form, because short strings are many and carry little evidence.
 """
 
 from __future__ import annotations
@@ -33,13 +35,16 @@ ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 
 MIN_LENGTH = 20             # of a string that is tested
 BANDS = (20, 32, 64)        # lengths from which a band of its own begins
+FAMILIES = 3                # of strings, with bands of their own
 DISCOVERY_RATE = 1e-3
 LEVEL_STEP, LEVELS = 0.05, 400      # evidence -log10(p), in steps
 
 # Written text: share of neighbours of different class, their correlation, and how far
 # its symbols are from uniform (chi-squared per symbol) in each encoding.
 SWITCHES, CORRELATION = 0.12, 0.3
-UNEVEN = {"hex": 0.5, "base32": 1.0, "base36": 1.2, "base64": 1.6}
+UNEVEN = {"hex": 0.5, "base26": 0.7, "base32": 1.0, "base36": 1.2, "base52": 1.4, "base64": 1.6}
+CAMEL_SWITCHES = 0.35       # of names written in both cases without digits
+_MARKS = b"+/-_"
 
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _TOKEN = np.isin(np.arange(256), list(
@@ -56,22 +61,47 @@ def _runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return first[long], last[long]
 
 
-def infer_encoding(token: bytes) -> tuple[str, int] | None:
-    """Encoding by the characters used, and the size of its alphabet; None if it is words."""
+def _cases(token: bytes) -> tuple[bool, bool, bool]:
+    return (any(65 <= c <= 90 for c in token), any(97 <= c <= 122 for c in token),
+            any(48 <= c <= 57 for c in token))
+
+
+def _body(token: bytes) -> bytes:
+    """The symbols that are tested: no padding; signs only where they are symbols, not where they part groups."""
     body = token.rstrip(b"=")
-    upper = any(65 <= c <= 90 for c in body)
-    lower = any(97 <= c <= 122 for c in body)
-    digit = any(48 <= c <= 57 for c in body)
-    marks = any(c in b"+/_-" for c in body)
-    if not digit or not (upper or lower) or b"=" in body:
+    return body if all(_cases(body)) else body.translate(None, _MARKS)
+
+
+def infer_encoding(token: bytes) -> tuple[str, int] | None:
+    """Encoding by the characters used, and the size of its alphabet; None if there is no letter.
+
+    Signs belong to the alphabet of strings with digits and both cases. In all
+    others (UUIDs, prefixed keys, words, paths) they part groups.
+    """
+    body = _body(token)
+    upper, lower, digit = _cases(body)
+    if not (upper or lower):
         return None
-    if not marks and not (upper and lower) and all(c in b"0123456789abcdefABCDEF" for c in body):
+    if not digit:
+        return ("base52", 52) if upper and lower else ("base26", 26)
+    if upper and lower:
+        return "base64", 64
+    if all(c in b"0123456789abcdefABCDEF" for c in body):
         return "hex", 16
-    if not marks and not lower and all(65 <= c <= 90 or 50 <= c <= 55 for c in body):
+    if not lower and all(65 <= c <= 90 or 50 <= c <= 55 for c in body):
         return "base32", 32
-    if not marks and not (upper and lower):
-        return "base36", 36
-    return ("base64", 64) if upper and lower else None
+    return "base36", 36
+
+
+def family(token: bytes) -> int:
+    """Strings that are judged together: with digits, with digits and parted by signs, or without digits.
+
+    Words and slugs are many; they do not weigh on the limits of keys.
+    """
+    body = token.rstrip(b"=")
+    if not _cases(body)[2]:
+        return 2
+    return int(len(_body(token)) < len(body))
 
 
 def evidence(token: bytes) -> float | None:
@@ -80,8 +110,10 @@ def evidence(token: bytes) -> float | None:
     if not found:
         return None
     encoding, k = found
-    body = np.frombuffer(token.rstrip(b"="), np.uint8)
+    body = np.frombuffer(_body(token), np.uint8)
     n = len(body)
+    if n < 3:
+        return 0.0
     counts = np.bincount(body, minlength=256)
     expected = n / k
     chi = float(((counts[counts > 0] - expected) ** 2 / expected).sum() + expected * (k - np.count_nonzero(counts)))
@@ -89,19 +121,35 @@ def evidence(token: bytes) -> float | None:
     uniform = (chi - (k - 1) - shift) / math.sqrt(2 * (k - 1) + 4 * shift)
     group = np.select([body < 58, body < 91, body < 123], [0, 1, 2], 3)
     changes = np.count_nonzero(group[1:] != group[:-1])
-    spread = math.sqrt((n - 1) * SWITCHES * (1 - SWITCHES))
-    switching = ((n - 1) * SWITCHES - changes + 0.5) / spread
+    rate = CAMEL_SWITCHES if encoding == "base52" else SWITCHES
+    spread = math.sqrt((n - 1) * rate * (1 - rate))
+    switching = ((n - 1) * rate - changes + 0.5) / spread
     value = body.astype(float)
     a, b = value[:-1] - value[:-1].mean(), value[1:] - value[1:].mean()
     scale = math.sqrt(float((a * a).sum() * (b * b).sum()))
     serial = (abs(float((a * b).sum()) / scale) if scale else 1.0)
     drift = (serial - CORRELATION) * math.sqrt(n)
     # Weighted sum of the three scores; each is low where text would rarely be.
-    z = (2 * uniform + 2 * switching + drift) / 3
+    # Letters of one case are one class: their runs say nothing.
+    z = ((2 * uniform + drift) / math.sqrt(5) if encoding == "base26"
+         else (2 * uniform + 2 * switching + drift) / 3)
     p = max(_normal.cdf(z), 10.0 ** -(LEVEL_STEP * LEVELS))
     return -math.log10(p)
 
 
+def _parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of token characters, cut at inner equals signs; those at the end of a run are padding."""
+    first, last = _runs(_TOKEN[data], MIN_LENGTH)
+    solid_first, solid_last = _runs(_TOKEN[data] & (data != 61), 1)
+    run = np.searchsorted(first, solid_first, "right") - 1
+    inside = (run >= 0) & (solid_last <= last[run]) if len(first) else np.zeros(len(run), bool)
+    begin, end, run = solid_first[inside], solid_last[inside], run[inside]
+    final = np.append(run[1:] != run[:-1], True)[:len(run)]
+    end = np.where(final, last[run], end)
+    long = end - begin >= MIN_LENGTH
+    return begin[long], end[long]
+
+
 def _spans(slab: Slab) -> list[list[tuple]]:
     """Spans of every text of a slab: known forms, then tested strings with band and level."""
     data, raw = slab.data, slab.raw
@@ -114,7 +162,7 @@ def _spans(slab: Slab) -> list[list[tuple]]:
                 hits.append((m.start(), 0, m.end()))
     hits += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(raw) if m.end() - m.start() >= ACCESS_LENGTH]
     hits += [(s, 2, e) for s, e in zip(*(x.tolist() for x in _runs(_HEX[data], HEX_LENGTH)))]
-    first, last = _runs(_TOKEN[data], MIN_LENGTH)
+    first, last = _parts(data)
     if not hits and not len(first):
         return found
     hits.sort()
@@ -136,7 +184,7 @@ def _spans(slab: Slab) -> list[list[tuple]]:
             continue                        # it overlaps a known form
         level = evidence(raw[s:e])
         if level is not None:
-            band = sum(e - s >= b for b in BANDS) - 1
+            band = family(raw[s:e]) * len(BANDS) + sum(e - s >= b for b in BANDS) - 1
             add(s, 3, e, band, level)
     return found
 
@@ -158,14 +206,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def limits(found: DataFrame, rate: float = DISCOVERY_RATE) -> list[float]:
     """Evidence from which a string of each band counts (Benjamini-Hochberg over the corpus).
 
-    Only counts per band and step of evidence are gathered, at most
-    3 x (LEVELS + 1) numbers. A band in which nothing is significant gets infinity.
+    Each family of strings has bands of its own. Only counts per band and step of
+    evidence are gathered, at most 9 x (LEVELS + 1) numbers. A band in which nothing is significant gets infinity.
     """
     step = F.least(F.floor(F.col("s.level") / LEVEL_STEP), F.lit(LEVELS)).cast("int")
     rows = (found.select(F.explode("spans").alias("s")).filter("s.band IS NOT NULL")
             .groupBy(F.col("s.band").alias("band"), step.alias("step")).count().collect())
     out = []
-    for band in range(len(BANDS)):
+    for band in range(FAMILIES * len(BANDS)):
         counts = np.zeros(LEVELS + 1, np.int64)
         for r in rows:
             if r.band == band:

@@ -277,6 +277,34 @@ def test_randomness_battery(spark):
     assert masked[0] == f"{PROSE} [secret] {PROSE}" and masked[21] == docs[21][1]
 
 
+def test_every_form_of_string_is_tested(spark):
+    rng = random.Random(21)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def key(alphabet, n=40):
+        return "".join(rng.choices(alphabet, k=n))
+    forms = [
+        lambda: ("AWS_KEY=", key(letters + digits + "+/"), ""), lambda: ("a=1&sig=", key(letters + digits), "&b=2"),
+        lambda: ("=", key(letters + digits, 42) + "==", ""), lambda: ("x=y=", key(digits + letters[26:]), "=z"),
+        lambda: ("", "-".join(key(digits + letters[26:], 12) for _ in range(4)), ""),
+        lambda: ("", "xoxb-" + key(digits, 12) + "-" + key(digits + letters[26:]), ""),
+        lambda: ("", "_".join(key("234567" + letters[:26], 30) for _ in range(4)), ""),
+        lambda: ("", key(letters, 80), ""), lambda: ("", key(letters[:26], 300), "")]
+    keys = [form() for form in forms for _ in range(6)]
+    words = ["SomeTitleCasedPathOfWordsInARow", "some/Path/With/Many/Title/Words", "this-is-a-long-slug-of-words-in-a-url",
+             "donaudampfschifffahrtsgesellschaft", "SOME_LONG_CONSTANT_NAME_OF_WORDS", "name_of_a_thing=name_of_another_thing",
+             "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "/usr/lib/python3/dist-packages/module"]
+    docs = [(i, f"{PROSE} {''.join(k)} {PROSE}") for i, k in enumerate(keys)] + [
+        (100 + i, f"{PROSE} {w} {PROSE}") for i, w in enumerate(words)]
+    masked = {r.doc_id: r.text for r in secrets.redact(frame(spark, docs)).collect()}
+    for i, (before, _, after) in enumerate(keys):
+        assert masked[i] == f"{PROSE} {before}[secret]{after} {PROSE}", keys[i]
+    assert all(masked[d] == t for d, t in docs if d >= 100)
+    # Short ones are judged too, though little evidence is in them.
+    for token in (b"qzkxvjwpfhgqzmxkvbwy", b"QZKXVJWPFHGQZMXKVBWY", b"qzKXvjWPfhGQzmXKvbWY", b"ab12-cd34-ef56-ab78-cd"):
+        assert secrets.evidence(token) is not None
+
+
 def test_scans_odd(spark, odd, empty):
     for find in (pii.find, secrets.scan):
         assert find(odd).count() == len(ODD) and find(empty).count() == 0
