@@ -23,8 +23,7 @@ from fiscora.session import hand_over
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400     # bound of the sample that the classifier is fitted on
-BYTES_PER_DOC = 16_000      # only of texts that are fitted on; scored texts are whole
-MAX_LANGUAGES = 64
+LANGUAGE_BLOCK = 64         # languages whose trees share tables
 UNDETERMINED = "und"
 SLOT_BITS = 22
 
@@ -128,7 +127,7 @@ class Trees:
         """Code length of every text of a slab in every language."""
         total = np.zeros((len(slab), len(self.languages)))
         if not len(self.key[-1]):
-            return total
+            return total + 8.0 * (slab.end - slab.start)[:, None]     # order -1
         gram, owner = _grams(slab, ORDER)
         slot = self._slot(gram)
         at = np.where(self.slot_key[slot] == gram, self.slot_at[slot], -1)
@@ -147,6 +146,18 @@ class Trees:
         return total
 
 
+class Forest:
+    """Trees of any number of languages, in blocks: tables grow with the languages, not with their square."""
+
+    def __init__(self, parts: list[Trees]):
+        self.parts = parts
+        self.languages = [name for p in parts for name in p.languages]
+
+    def bits(self, slab: Slab) -> np.ndarray:
+        """Code length of every text of a slab in every language."""
+        return np.concatenate([p.bits(slab) for p in self.parts], axis=1)
+
+
 _GRAM = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
@@ -162,37 +173,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-        per_language: int = DOCS_PER_LANGUAGE) -> Trees:
+        per_language: int = DOCS_PER_LANGUAGE) -> Forest:
     """Trees from a bounded sample: per language about ``per_language`` texts, drawn by key hash.
 
-    Of a sampled text the first BYTES_PER_DOC bytes count. At most
-    MAX_LANGUAGES languages, the commonest. Rows without text or language are left out.
+    Sampled texts count whole, and every language is learned. Rows without text or
+    language are left out.
     """
     rows = labelled.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                            F.col(lang).cast("string").alias("lang")).filter(
         "lang IS NOT NULL AND text IS NOT NULL")
-    common = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(
-        F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    common = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not common:
-        return Trees([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0))
+        return Forest([])
     # Per language the share of the hash range that holds the wanted number: nothing is sorted.
-    limits = {name: min(-(1 << 63) + int((1 << 64) * min(1.0, per_language / n)), (1 << 63) - 1)
-              for name, n in common.items()}
-    chosen = F.lit(False)
-    for name, most in limits.items():
-        chosen = chosen | ((F.col("lang") == name) & (F.col("_order") <= F.lit(most)))
-    sample = rows.withColumn("_order", F.xxhash64("doc_id", "lang")).filter(chosen).select(
-        "lang", F.expr(f"left(text, {BYTES_PER_DOC})").alias("text"))
+    limits = [(name, min(-(1 << 63) + int((1 << 64) * min(1.0, per_language / n)), (1 << 63) - 1))
+              for name, n in common.items()]
+    limits = labelled.sparkSession.createDataFrame(limits, "_lang string, _most long")
+    sample = rows.join(F.broadcast(limits), F.col("lang") == F.col("_lang")).filter(
+        F.xxhash64("doc_id", "lang") <= F.col("_most")).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(common))
+    languages = sorted(common)
     index = {name: i for i, name in enumerate(languages)}
     language = np.array([index[x] for x in counts.column("lang").to_pylist()], np.int64)
-    return Trees(languages, counts.column("gram").to_numpy().astype(np.uint32), language,
-                 counts.column("n").to_numpy().astype(float))
+    gram, n = counts.column("gram").to_numpy().astype(np.uint32), counts.column("n").to_numpy().astype(float)
+    parts = []
+    for at in range(0, len(languages), LANGUAGE_BLOCK):
+        own = (language >= at) & (language < at + LANGUAGE_BLOCK)
+        parts.append(Trees(languages[at:at + LANGUAGE_BLOCK], gram[own], language[own] - at, n[own]))
+    return Forest(parts)
 
 
-def _guess(batches: Iterator[pa.RecordBatch], trees: Trees) -> Iterator[pa.RecordBatch]:
+def _guess(batches: Iterator[pa.RecordBatch], trees: Forest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         letters = fields(batch, "has_letter").to_numpy(zero_copy_only=False)
         for slab in slabs(batch):
@@ -217,7 +229,7 @@ def _guess(batches: Iterator[pa.RecordBatch], trees: Trees) -> Iterator[pa.Recor
                        "lang_pred", "score", "bits_per_byte"])
 
 
-def predict(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, trees: Forest, text: str = "text") -> DataFrame:
     """Add lang_pred, score and bits_per_byte to the other columns of ``docs`` (not ``text``).
 
     The language with the shortest code wins, the first in name order at a tie;

@@ -482,6 +482,21 @@ def test_language_of_held_out_texts(spark):
     assert got.filter("lang = lang_pred").count() / got.count() > 0.99
 
 
+def test_every_language_and_whole_texts_are_learned(spark):
+    rng = random.Random(7)
+    names = [f"l{i:02}" for i in range(70)]
+    alphabets = {n: "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6)) for n in names}
+
+    def words(name, n):
+        return " ".join("".join(rng.choices(alphabets[name], k=5)) for _ in range(n))
+    # Where two learned texts are long, what is typical of the language comes late in them.
+    head = "same in all of them " * 1000
+    known = [(i, words(n, 400) if i % 10 else head + words(n, 400), n, "s") for i, n in enumerate(names)]
+    asked = [(1000 + i, words(n, 40), None, "s") for i, n in enumerate(names)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, known + asked), F.col("doc_id") < 1000).collect()}
+    assert [got[1000 + i] for i in range(70)] == names
+
+
 def test_language_odd(spark, odd, empty):
     rows = {r.doc_id: r for r in langid.identify(odd).collect()}
     for d in (3, 4, 5, 9):
