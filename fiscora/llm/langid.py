@@ -23,9 +23,10 @@ from fiscora.session import hand_over
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400     # bound of the sample that the classifier is fitted on
-LANGUAGE_BLOCK = 64         # languages whose trees share tables
+BYTES_PER_LANGUAGE = 8 << 20    # and its bytes, if the texts of a language are long
+LANGUAGE_BLOCK = 8          # languages whose trees share tables: an entry costs a number for each
 UNDETERMINED = "und"
-SLOT_BITS = 22
+SLAB_BYTES = 256 << 10
 
 _LETTER = r"\p{L}"
 
@@ -86,23 +87,22 @@ class Trees:
     def _slots(self) -> None:
         """Direct table of the longest strings; those that share a slot are searched for."""
         key = self.key[-1]
-        self.slot_key = np.zeros(1 << SLOT_BITS, np.uint32)
-        self.slot_at = np.full(1 << SLOT_BITS, -1, np.int32)
-        self.slot_key[self._slot(key)] = key
+        bits = max(int(np.ceil(np.log2(max(len(key), 1)))) + 2, 8)
+        self.shift = np.uint32(32 - min(bits, 24))
+        self.slot_at = np.full(1 << min(bits, 24), -1, np.int32)
         self.slot_at[self._slot(key)] = np.arange(len(key), dtype=np.int32)
         self.code32 = self.code[-1].astype(np.float32)
 
     def __getstate__(self) -> dict:
         """The direct table is made anew where the trees arrive; it need not travel."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("slot_key", "slot_at", "code32")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("slot_at", "shift", "code32")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._slots()
 
-    @staticmethod
-    def _slot(key: np.ndarray) -> np.ndarray:
-        return (key * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * np.uint32(2654435761)) >> self.shift
 
     def _lookup(self, order: int, gram: np.ndarray) -> np.ndarray:
         """Code lengths of the last byte of each string after at most ``order`` bytes."""
@@ -129,9 +129,8 @@ class Trees:
         if not len(self.key[-1]):
             return total + 8.0 * (slab.end - slab.start)[:, None]     # order -1
         gram, owner = _grams(slab, ORDER)
-        slot = self._slot(gram)
-        at = np.where(self.slot_key[slot] == gram, self.slot_at[slot], -1)
-        hit = at >= 0
+        at = self.slot_at[self._slot(gram)]
+        hit = (at >= 0) & (self.key[-1][at] == gram)
         # Sums over runs of one text; float64 sums of float32 entries.
         codes = self.code32[np.maximum(at, 0)]
         codes[~hit] = 0
@@ -164,7 +163,7 @@ _GRAM = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64()
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(fields(batch, "lang").to_pylist(), object)
-        for slab in slabs(batch):
+        for slab in slabs(batch, limit=SLAB_BYTES):
             gram, owner = _grams(slab, ORDER)
             own = langs[slab.rows][owner]
             for lang in sorted(set(own)):
@@ -173,21 +172,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-        per_language: int = DOCS_PER_LANGUAGE) -> Forest:
+        per_language: int = DOCS_PER_LANGUAGE, most_bytes: int = BYTES_PER_LANGUAGE) -> Forest:
     """Trees from a bounded sample: per language about ``per_language`` texts, drawn by key hash.
 
-    Sampled texts count whole, and every language is learned. Rows without text or
-    language are left out.
+    Where these would hold more than ``most_bytes`` on average, fewer are drawn. Sampled
+    texts count whole, and every language is learned. Rows without text or language are
+    left out; a NULL key is a key like any other.
     """
     rows = labelled.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                            F.col(lang).cast("string").alias("lang")).filter(
         "lang IS NOT NULL AND text IS NOT NULL")
-    common = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    common = {r.lang: min(1.0, per_language / r.n, most_bytes / max(r.size, 1)) for r in rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
     if not common:
         return Forest([])
     # Per language the share of the hash range that holds the wanted number: nothing is sorted.
-    limits = [(name, min(-(1 << 63) + int((1 << 64) * min(1.0, per_language / n)), (1 << 63) - 1))
-              for name, n in common.items()]
+    limits = [(name, min(-(1 << 63) + int((1 << 64) * share), (1 << 63) - 1)) for name, share in common.items()]
     limits = labelled.sparkSession.createDataFrame(limits, "_lang string, _most long")
     sample = rows.join(F.broadcast(limits), F.col("lang") == F.col("_lang")).filter(
         F.xxhash64("doc_id", "lang") <= F.col("_most")).select("lang", "text")
@@ -207,7 +207,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def _guess(batches: Iterator[pa.RecordBatch], trees: Forest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         letters = fields(batch, "has_letter").to_numpy(zero_copy_only=False)
-        for slab in slabs(batch):
+        for slab in slabs(batch, limit=SLAB_BYTES):
             n = len(slab)
             name = np.full(n, UNDETERMINED, object)
             score, rate = np.zeros(n), np.zeros(n)
@@ -234,11 +234,14 @@ def predict(docs: DataFrame, trees: Forest, text: str = "text") -> DataFrame:
 
     The language with the shortest code wins, the first in name order at a tie;
     score is its share of the languages' probabilities. ``und`` with score 0 if
-    the text is NULL or has no letter, or if nothing was learned.
+    the text is NULL or has no letter, or if nothing was learned. Columns named like an
+    added one are replaced; an empty table stays empty. A task holds a slab of texts, or,
+    of a longer one, some 30 bytes per byte and language of a block.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(trees)
-    others = [f for f in docs.schema.fields if f.name != text]
+    others = [f for f in docs.schema.fields
+              if f.name not in (text, "text", "has_letter", "lang_pred", "score", "bits_per_byte")]
     letter = F.coalesce(F.col(text).cast("string").rlike(_LETTER), F.lit(False))
     frame = docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(text).cast("string").alias("text"),
                         letter.alias("has_letter"))
@@ -277,7 +280,7 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
         for batch in batches:
             keep = fields(batch, flag).to_numpy(zero_copy_only=False).astype(bool)
             if known.languages:
-                for slab in slabs(batch, text):
+                for slab in slabs(batch, text, SLAB_BYTES):
                     bits = known.bits(slab)
                     share = 1 / np.exp2(np.minimum(bits.min(1)[:, None] - bits, 0)).sum(1)
                     keep[slab.rows] &= share >= least

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,13 @@ _SPELLED_PART = re.compile(rf"((?ai:plus))|((?ai:{_WORD}))|((?ai:dot|point))|[\s
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:\s*{_OPEN}\s*(?:dot|\.)\s*{_CLOSE}\s*|\s+dot\s+)(?=[A-Za-z0-9])", re.I)
 _AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*(?=[A-Za-z0-9])", re.I)
-# Without brackets "at" is a common word: the domain behind it must be disguised too.
-_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+\x00)", re.I)
+
+
+@lru_cache
+def _bare_at(mark: str) -> re.Pattern:
+    """Without brackets "at" is a common word: the domain behind it must have a marked dot."""
+    return re.compile(rf"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+{mark})", re.I)
+
 
 # First bytes of UTF-8 sequences that can hold a disguised character.
 _ODD = np.zeros(256, bool)
@@ -147,28 +153,28 @@ def normalise(text: str) -> Rewritten:
             sign = "+" if p[1] else "." if p[3] else ""
             edits.append((p.start(), p.end(), DIGIT_WORDS[p[2].lower()] if p[2] else sign))
     out.apply(edits)
-    # A dot read from a disguise is marked until the at-signs before it are judged.
-    out.substitute(_DOT, "\x00")
+    # A dot read from a disguise is marked, by a character that the text does not have,
+    # until the at-signs before it are judged.
+    mark = next(c for c in map(chr, range(0xF0000, 0x110000)) if c not in out.text)
+    out.substitute(_DOT, mark)
     out.substitute(_AT, "@")
-    out.substitute(_BARE_AT, "@")
-    out.text = out.text.replace("\x00", ".") if "\x00" not in text else out.text
+    out.substitute(_bare_at(mark), "@")
+    out.text = out.text.replace(mark, ".")
     return out
 
 
 def disguised(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of identifiers that appear only after rewriting, apart from the known ones."""
+    """Spans of identifiers that appear only after rewriting, apart from known ones of their kind."""
     out = normalise(text)
     fresh = np.concatenate([[0], np.cumsum(out.fresh)])
     gaps = np.concatenate([[0, 0], np.cumsum(out.begin[1:] != out.end[:-1])]) if len(out.text) else fresh
-    taken = sorted((s, e) for s, _, e in known)
-    starts, stops = (np.array([t[k] for t in taken], np.int64) for k in (0, 1))
+    starts, kinds, stops = np.array(known, np.int64).reshape(-1, 3).T
     found = []
     for start, kind, stop in plain(out.text):
         if fresh[stop] == fresh[start] and gaps[stop] == gaps[start + 1]:
             continue                        # nothing in it was rewritten
         a, z = int(out.begin[start]), int(out.end[stop - 1])
-        # Known spans of one kind do not overlap, so few begin before z and end after a.
-        if not np.any((starts < z) & (stops > a)):
+        if not np.any((starts < z) & (stops > a) & (kinds == kind)):
             found.append((a, kind, z))
     return found
 

@@ -1,36 +1,24 @@
 """Near-duplicates by SimHash fingerprints and multi-index hashing.
 
-A fingerprint is cut into segments, each with its own table. Small
-Hamming balls around a segment are enumerated, members that meet in a table are
-verified over the complete fingerprint, and links are joined into components.
-
-Two kinds of fingerprint:
-
-* ``exact``: 64 bits over XXH64 of word shingles, links at 2 or fewer differing
-  bits. If two fingerprints differ in 2 bits or fewer, their lower segments are
-  equal, or their upper ones are equal, or the uppers differ in one bit and the
-  lowers in one. So equal segments and a ball of one bit on the upper segment
-  miss nothing. Two values that differ in one bit have different parity, so only
-  even ones enumerate the ball.
-* ``near``: 256 bits over five-word shingles for a similarity (Jaccard, through
-  the angle) of 0.8 or more, in twelve 20-bit segments. No ball could guarantee
-  the distance that goes with it, so each segment's ball spans its two bits of
-  smallest margin, those which an edit flips first. By simulation, pairs of
-  similarity 0.8, 0.85 and 0.9 meet with probability 0.96, 0.99 and 1. Among n
-  distinct texts a member meets about n / 2**16 strangers per segment; for more
-  than some 10**8 texts segments should be wider.
-
-Documents with equal fingerprints are one class, so copies are never paired. All
-pairs of a table entry are compared: one that is too large for a task is cut into
-blocks, and each pair of blocks goes to a task (work grows with its square), or for
-``exact`` into balls around its members.
+A fingerprint has 64 bits over XXH64 of word shingles; documents link at 2 or fewer
+differing bits. It is cut into two segments of 32 bits, each with its own table. If two
+fingerprints differ in 2 bits or fewer, their lower segments are equal, or their upper
+ones are, or the uppers differ in one bit and the lowers in one. So equal segments
+and a Hamming ball of one bit on the upper segment miss nothing. Two values that
+differ in one bit have different parity, so only even ones enumerate the ball. Members
+that meet in a table are verified over the complete fingerprint, and links are joined
+into components.
+
+Documents with equal fingerprints are one class, so copies are never paired. All pairs
+of a table entry are compared; an entry that is too large for a task is cut up by balls
+of one bit around its whole members, of which none holds more than 65.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, floor, inf, pi, sqrt
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +27,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fiscora.llm.graph import components
 from fiscora.llm.registry import query, table
-from fiscora.llm.slabs import LOWER, SPACE, fields, mix, record, slabs, starts_of, windows
+from fiscora.llm.slabs import LOWER, SPACE, fields, mix, record, slabs, starts_of
 from fiscora.session import hand_over
 
-MAX_DISTANCE = 2            # of exact fingerprints
+MAX_DISTANCE = 2
 SHINGLE = 3
-NEAR_SHINGLE = 5
-NEAR_SIMILARITY = 0.8
-NEAR_WORDS = 4              # 64-bit words of a near fingerprint
-SEGMENTS, SEGMENT_BITS = 12, 20
-WEAK_BITS = 2               # of each segment, for near fingerprints
+SLAB_BYTES = 512 << 10
 # A table entry with more distinct fingerprints is cut up before its members are compared.
 MAX_BUCKET = 1 << 14
-SMALL = 8                   # members of an entry up to which all its pairs are compared
+SMALL = 8                   # members of an entry up to which all its pairs are compared at once
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 
 
-def near_distance(similarity: float, bits: int = 64 * NEAR_WORDS) -> int:
-    """Hamming distance of a Jaccard similarity of shingle sets: expectation and one deviation."""
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return floor(bits * p + sqrt(bits * p * (1 - p)))
-
-
 def _column_sums(bits: np.ndarray) -> np.ndarray:
     """Sums of 0/1 columns; runs of 255 rows are added as bytes."""
     whole = len(bits) // 255 * 255
@@ -72,30 +50,22 @@ def _column_sums(bits: np.ndarray) -> np.ndarray:
     return total
 
 
-def _majority(bits: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint bits of each owner, and by how much each bit missed a tie."""
+def _majority(bits: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprint bits of each owner: set in over half of its rows."""
     at = starts_of(owner, n)
     count = np.diff(at)
     sums = np.zeros((n, bits.shape[1]), np.int32)
     for i in np.flatnonzero(count):
         sums[i] = _column_sums(bits[at[i]:at[i + 1]])
-    twice = 2 * sums - count[:, None].astype(np.int32)
-    return twice > 0, np.abs(twice)
-
+    return 2 * sums > count[:, None]
 
-def _words64(bits: np.ndarray) -> list[np.ndarray]:
-    """Bit columns, most significant first, as 64-bit values."""
-    packed = np.packbits(bits, axis=1)
-    return [np.ascontiguousarray(packed[:, k:k + 8]).view(">u8")[:, 0].astype(np.uint64)
-            for k in range(0, packed.shape[1], 8)]
 
-
-def _exact_prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("w0", pa.int64())])
     digest = xxhash.xxh64_digest
     for batch in batches:
         out = []
-        for slab in slabs(batch):
+        for slab in slabs(batch, limit=SLAB_BYTES):
             n = len(slab)
             first, last, owner = slab.words()
             # Words joined by one space each, lower-cased.
@@ -114,50 +84,12 @@ def _exact_prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
             whole = (place + shingle <= at[owner + 1]) | (place == at[owner])
             grams = zip(begin[whole].tolist(), finish[until[whole]].tolist())
             hashes = np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in grams]), np.uint8)
-            bits, _ = _majority(np.unpackbits(hashes.reshape(-1, 8), axis=1), owner[whole], n)
-            out.append(_words64(bits)[0])
+            bits = _majority(np.unpackbits(hashes.reshape(-1, 8), axis=1), owner[whole], n)
+            out.append(np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64))
         if out:
             yield record(schema, fields(batch, "doc_id"), np.concatenate(out).view(np.int64))
 
 
-def _near_prints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    names = [f"{c}{k}" for c in "wm" for k in range(NEAR_WORDS)]
-    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in names]])
-    for batch in batches:
-        out = []
-        for slab in slabs(batch):
-            n = len(slab)
-            first, last, owner = slab.words()
-            word = slab.hashes(first, last, True)
-            grams, at = windows(word, owner, shingle)
-            owners = owner[at]
-            count = np.bincount(owner, minlength=n)
-            # Shorter texts: the whole sequence is their shingle.
-            short = np.flatnonzero((count > 0) & (count < shingle))
-            edge = starts_of(owner, n)
-            total = np.zeros(len(word) + 1, np.uint64)
-            np.cumsum(mix(word ^ np.arange(len(word), dtype=np.uint64)
-                          - edge[owner].astype(np.uint64)), out=total[1:])
-            grams = np.concatenate([grams, mix(total[edge[short + 1]] - total[edge[short]])])
-            owners = np.concatenate([owners, short])
-            order = np.argsort(owners, kind="stable")
-            grams, owners = grams[order], owners[order]
-            parts = np.stack([mix(grams + np.uint64(k * 0x5851F42D4C957F2D & (1 << 64) - 1))
-                              for k in range(NEAR_WORDS)], axis=1).astype(">u8")
-            bits, margin = _majority(np.unpackbits(parts.view(np.uint8), axis=1), owners, n)
-            used = SEGMENTS * SEGMENT_BITS
-            shape = (n, SEGMENTS, SEGMENT_BITS)
-            weak = np.argsort(margin[:, :used].reshape(shape), axis=2, kind="stable")[:, :, :WEAK_BITS]
-            mask = np.zeros(shape, bool)
-            np.put_along_axis(mask, weak, True, axis=2)
-            whole = np.zeros(bits.shape, bool)
-            whole[:, :used] = mask.reshape(n, used)
-            out.append([*_words64(bits), *_words64(whole)])
-        if out:
-            yield record(schema, fields(batch, "doc_id"),
-                         *[np.concatenate(c).view(np.int64) for c in zip(*out)])
-
-
 def _flips(width: int, weight: int) -> np.ndarray:
     """All masks of ``weight`` bits among ``width``."""
     return np.array([sum(1 << b for b in c) for c in combinations(range(width), weight)], np.uint64)
@@ -170,9 +102,9 @@ def _bucket(tag: int, *values: np.ndarray) -> np.ndarray:
     return h
 
 
-def _exact_buckets(words: list[np.ndarray], _masks) -> np.ndarray:
+def _buckets(word: np.ndarray) -> np.ndarray:
     """Table entries of each fingerprint; 0 where there is none."""
-    high, low = words[0] >> HALF, words[0] & LOW
+    high, low = word >> HALF, word & LOW
     even = np.bitwise_count(high) % 2 == 0
     ball = _bucket(3, high[:, None] ^ _flips(32, 1))
     ball[~even, 1:] = 0
@@ -180,76 +112,26 @@ def _exact_buckets(words: list[np.ndarray], _masks) -> np.ndarray:
     return np.concatenate([_bucket(1, low)[:, None], _bucket(2, high)[:, None], ball], axis=1)
 
 
-def _segments(words: list[np.ndarray]) -> list[np.ndarray]:
-    found = []
-    for k in range(SEGMENTS):
-        word, bit = divmod(k * SEGMENT_BITS, 64)
-        # From a 64-bit window that begins at the segment.
-        value = words[word] << np.uint64(bit)
-        if bit + SEGMENT_BITS > 64:
-            value = value | words[word + 1] >> np.uint64(64 - bit)
-        found.append(value >> np.uint64(64 - SEGMENT_BITS))
-    return found
-
-
-def _near_buckets(words: list[np.ndarray], masks: list[np.ndarray]) -> np.ndarray:
-    """Entries of the balls of all segments."""
-    columns = []
-    for k, (value, weak) in enumerate(zip(_segments(words), _segments(masks))):
-        points = value[:, None]
-        rest = weak.copy()
-        for _ in range(WEAK_BITS):
-            bit = rest & (~rest + np.uint64(1))     # lowest set bit
-            rest = rest ^ bit
-            points = np.concatenate([points, points ^ bit[:, None]], axis=1)
-        columns.append(_bucket(10 + k, points))
-    return np.concatenate(columns, axis=1)
-
-
-def _split_exact(words: list[np.ndarray], _masks) -> np.ndarray:
+def _split(word: np.ndarray) -> np.ndarray:
     """Entries of balls of one bit: fingerprints within 2 bits share one, none holds over 65."""
-    balls = _bucket(4, words[0][:, None] ^ _flips(64, 1))
-    return np.concatenate([_bucket(4, words[0])[:, None], balls], axis=1)
-
+    balls = _bucket(4, word[:, None] ^ _flips(64, 1))
+    return np.concatenate([_bucket(4, word)[:, None], balls], axis=1)
 
-def _block_pairs(crowded: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Each crowded entry as one entry per pair of its blocks, which hold about ``most`` / 2 members.
 
-    Two members of an entry are together in at least one of these, whichever blocks
-    they are in, so all pairs are compared. A member gets a row per other block.
-    """
-    size = hand_over(crowded.groupBy(F.col("bucket").alias("_bucket")).agg(
-        F.ceil(F.count("*") / max(most // 2, 1)).alias("_blocks")), "crowded")
-    own, other = F.pmod(F.xxhash64("_a"), F.col("_blocks")), F.col("_other")
-    rows = crowded.join(size, F.col("bucket") == F.col("_bucket")).select(
-        "_a", "bucket", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    ).filter("_own <> _other").select(
-        "_a", F.xxhash64("bucket", F.least("_own", other), F.greatest("_own", other)).alias("bucket"))
-    return rows.join(classes, F.col("_a") == F.col("node")).select(
-        "bucket", "node", *[c for c in classes.columns if c.startswith("w")])
-
-
-def _enter(batches: Iterator[pa.RecordBatch], width: int, entries) -> Iterator[pa.RecordBatch]:
+def _enter(batches: Iterator[pa.RecordBatch], entries) -> Iterator[pa.RecordBatch]:
     """One row per fingerprint and table entry."""
-    names = [f"w{k}" for k in range(width)]
-    schema = pa.schema([(c, pa.int64()) for c in ("bucket", "node", *names)])
+    schema = pa.schema([(c, pa.int64()) for c in ("bucket", "node", "w0")])
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
-
-            def column(name: str) -> np.ndarray:
-                return fields(part, name).to_numpy().view(np.uint64)
-
-            words = [column(c) for c in names]
-            masks = [column(f"m{k}") for k in range(width)]
-            keys = entries(words, masks)
+            word, node = fields(part, "w0").to_numpy(), fields(part, "node").to_numpy()
+            keys = entries(word.view(np.uint64))
             row, col = np.nonzero(keys)
-            yield record(schema, keys[row, col].view(np.int64), column("node")[row].view(np.int64),
-                         *[w[row].view(np.int64) for w in words])
+            yield record(schema, keys[row, col].view(np.int64), node[row], word[row])
 
 
 def _forest(words: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """Groups of rows of ``words`` (n, width) connected by distances up to ``limit``.
+    """Groups of places in ``words`` connected by distances up to ``limit``.
 
     Walks the graph; each row is compared only with rows not yet reached.
     """
@@ -259,7 +141,7 @@ def _forest(words: np.ndarray, limit: int) -> Iterator[np.ndarray]:
         left = left[1:]
         while todo and len(left):
             here = todo.pop()
-            near = np.bitwise_count(words[left] ^ words[here]).sum(axis=1, dtype=np.int32) <= limit
+            near = np.bitwise_count(words[left] ^ words[here]) <= limit
             if near.any():
                 found = left[near]
                 group.extend(found.tolist())
@@ -268,21 +150,20 @@ def _forest(words: np.ndarray, limit: int) -> Iterator[np.ndarray]:
         yield np.array(group)
 
 
-def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: float) -> Iterator[pa.RecordBatch]:
+def _link(batches: Iterator[pa.RecordBatch], limit: int, most: float) -> Iterator[pa.RecordBatch]:
     """Links within table entries of a partition sorted by entry and fingerprint.
 
     Rows (a, b) join each member to the smallest of its connected group in the
     entry. Members of an entry that grows beyond ``most`` come out unlinked,
     as (a, NULL, bucket), to be cut up.
     """
-    names = ["node", *[f"w{k}" for k in range(width)]]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64())])
     held: list[np.ndarray] = []      # members of the entry that is still open
     held_bucket, held_rows, over = None, 0, False
 
     def finish() -> Iterator[pa.RecordBatch]:
         nonlocal held, held_rows, over
-        rows = np.concatenate(held) if held else np.zeros((0, width + 1), np.int64)
+        rows = np.concatenate(held) if held else np.zeros((0, 2), np.int64)
         held, held_rows = [], 0
         if over:
             yield record(schema, rows[:, 0], pa.nulls(len(rows), pa.int64()),
@@ -293,7 +174,7 @@ def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: float
     def linked(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = np.unique(rows, axis=0) if len(rows) > 2 else rows
         a, b = [], []
-        for group in _forest(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), limit):
+        for group in _forest(np.ascontiguousarray(rows[:, 1]).view(np.uint64), limit):
             if len(group) > 1:
                 nodes = rows[group, 0]
                 root = nodes.min()
@@ -306,7 +187,7 @@ def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: float
 
     for batch in batches:
         bucket = fields(batch, "bucket").to_numpy()
-        rows = np.stack([fields(batch, c).to_numpy() for c in names], axis=1)
+        rows = np.stack([fields(batch, c).to_numpy() for c in ("node", "w0")], axis=1)
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         size = np.diff(edge)
         # Entries wholly inside the batch: most hold one member and need no look, and all
@@ -314,12 +195,12 @@ def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: float
         inner = np.ones(len(size), bool)
         inner[[0, -1]] = False
         small = np.repeat(inner & (size <= SMALL), size)
-        values = rows[:, 1:].view(np.uint64)
+        values = np.ascontiguousarray(rows[:, 1]).view(np.uint64)
         for lag in range(1, SMALL):
             one = np.flatnonzero(small[:-lag] & (bucket[lag:] == bucket[:-lag])) if len(small) > lag else []
             if not len(one):
                 break
-            near = np.bitwise_count(values[one] ^ values[one + lag]).sum(axis=1, dtype=np.int32) <= limit
+            near = np.bitwise_count(values[one] ^ values[one + lag]) <= limit
             if near.any():
                 a, b = rows[one[near], 0], rows[one[near] + lag, 0]
                 yield record(schema, a, b, pa.nulls(len(a), pa.int64()))
@@ -337,89 +218,78 @@ def _link(batches: Iterator[pa.RecordBatch], width: int, limit: int, most: float
     yield from finish()
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False,
-                 shingle: int | None = None) -> DataFrame:
-    """Rows (doc_id, w0, m0) or, for ``near``, with w0 to w3 and m0 to m3: m has the weak bits.
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Rows (doc_id, w0): the fingerprint as a signed number.
 
     A text of fewer words than a shingle is one shingle; a text without words,
     or NULL, has fingerprint zero.
     """
-    frame = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if near:
-        n = shingle or NEAR_SHINGLE
-        ddl = ", ".join(["doc_id long", *[f"{c}{k} long" for c in "wm" for k in range(NEAR_WORDS)]])
-        return frame.mapInArrow(lambda it: _near_prints(it, n), ddl)
-    n = shingle or SHINGLE
-    return frame.mapInArrow(lambda it: _exact_prints(it, n), "doc_id long, w0 long").select(
-        "*", F.lit(0).cast("long").alias("m0"))
-
-
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", near: bool = False,
-           shingle: int | None = None, distance: int | None = None,
-           most: int = MAX_BUCKET) -> DataFrame:
-    """Each document's fingerprint words and component: (doc_id, w0..., component_id).
-
-    The component id is the smallest key reachable over links, itself
-    included. Documents without words have fingerprint zero and are linked like
-    any other. A row without a key takes part in no class of its own: it gets
-    the component of its fingerprint, or NULL. Repeated rows and ties fall into one class; an empty table gives
-    no rows; other columns are not read.
+    frame = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"),
+                        F.col(f"`{text}`").cast("string").alias("text"))
+    return frame.mapInArrow(lambda it: _prints(it, shingle), "doc_id long, w0 long")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+           distance: int = MAX_DISTANCE, most: int = MAX_BUCKET) -> DataFrame:
+    """Each document's fingerprint and component: (doc_id, w0, component_id).
+
+    ``distance`` is at most 2, which the tables are made for. The component id is the
+    smallest key reachable over links, itself included. Documents without words have
+    fingerprint zero and are linked like any other. A row without a key takes part in no
+    class of its own: it gets the component of its fingerprint, or NULL. Repeated rows and
+    ties fall into one class; an empty table gives no rows; other columns are not read. A
+    task holds a slab of texts, or some 100 bytes per word of a single longer text.
     """
-    width = NEAR_WORDS if near else 1
-    words = [f"w{k}" for k in range(width)]
-    masks = [f"m{k}" for k in range(width)]
-    if distance is None:
-        distance = near_distance(NEAR_SIMILARITY) if near else MAX_DISTANCE
-    prints = hand_over(fingerprints(docs, key, text, near, shingle), "prints")
-    classes = hand_over(prints.filter("doc_id IS NOT NULL").groupBy(*words).agg(
-        F.min("doc_id").alias("node"), *[F.min(m).alias(m) for m in masks]), "classes")
-    entry_schema = "bucket long, node long, " + ", ".join(f"{w} long" for w in words)
+    if not 0 <= distance <= MAX_DISTANCE:
+        raise ValueError(f"fingerprints link at up to {MAX_DISTANCE} differing bits")
+    prints = hand_over(fingerprints(docs, key, text, shingle), "prints")
+    classes = hand_over(prints.filter("doc_id IS NOT NULL").groupBy("w0").agg(
+        F.min("doc_id").alias("node")), "classes")
 
     def enter(rows: DataFrame, entries) -> DataFrame:
-        return rows.mapInArrow(lambda it: _enter(it, width, entries), entry_schema)
+        return rows.select("w0", "node").mapInArrow(lambda it: _enter(it, entries), "bucket long, node long, w0 long")
 
     def link(rows: DataFrame, limit: float) -> DataFrame:
-        placed = rows.repartition("bucket").sortWithinPartitions("bucket", *words)
-        return placed.mapInArrow(lambda it: _link(it, width, distance, limit),
-                                 "a long, b long, bucket long")
+        placed = rows.repartition("bucket").sortWithinPartitions("bucket", "w0")
+        return placed.mapInArrow(lambda it: _link(it, distance, limit), "a long, b long, bucket long")
 
-    found = hand_over(link(enter(classes, _near_buckets if near else _exact_buckets), most), "links")
+    found = hand_over(link(enter(classes, _buckets), most), "links")
     links = found.filter("b IS NOT NULL").select("a", "b")
-    # Crowded entries are cut so that all of their pairs still meet; what is cut is not cut again.
-    crowded = found.filter("b IS NULL").select(F.col("a").alias("_a"), "bucket").distinct()
+    # Crowded entries are cut so that all of their close pairs still meet; what is cut is not cut again.
+    crowded = found.filter("b IS NULL").select(F.col("a").alias("_a")).distinct()
     if not crowded.isEmpty():
-        if near:
-            rows = _block_pairs(crowded, classes, most)
-        else:
-            rows = enter(classes.join(crowded.select("_a").distinct(), F.col("_a") == F.col("node")).drop("_a"),
-                         _split_exact)
-        found = hand_over(link(rows, inf), "links")
-        links = links.union(found.select("a", "b"))
+        again = classes.join(crowded, F.col("_a") == F.col("node"))
+        links = links.union(hand_over(link(enter(again, _split), inf), "links").select("a", "b"))
     roots = components(links).withColumnRenamed("node", "_node")
     labels = hand_over(classes.join(roots, F.col("node") == F.col("_node"), "left").select(
-        *[F.col(w).alias(f"_{w}") for w in words], F.coalesce("root", "node").alias("component_id")), "labels")
-    same = F.lit(True)
-    for w in words:
-        same = same & (F.col(w) == F.col(f"_{w}"))
-    return prints.join(labels, same, "left").select("doc_id", *words, "component_id")
+        F.col("w0").alias("_w0"), F.coalesce("root", "node").alias("component_id")), "labels")
+    return prints.join(labels, F.col("w0") == F.col("_w0"), "left").select("doc_id", "w0", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_BUCKET) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that with the smallest key.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+             distance: int = MAX_DISTANCE, most: int = MAX_BUCKET) -> DataFrame:
+    """``docs`` with one document of each group of ``groups``, that with the smallest key.
 
-    Texts without words are near-duplicates of each other. Rows that share a
-    key count as one document and leave one row; rows with a NULL key stay. All
-    columns stay.
+    Texts without words are near-duplicates of each other. Rows that share a key and
+    whose group keeps that key count as one document and leave one row; rows with a NULL
+    key stay. All columns stay, whatever their names. An empty table stays empty.
     """
-    found = groups(docs, key, text, near=True, most=most)
-    gone = hand_over(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
-    shared = hand_over(docs.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("_key")).agg(
-        F.count("*").alias("_n")).filter("_n > 1").select("_key"), "shared")
+    def fresh(name: str) -> str:
+        while name in docs.columns:
+            name += "_"
+        return name
+
+    gone_key, shared_key = fresh("_gone"), fresh("_shared")
+    found = groups(docs, key, text, shingle, distance, most)
+    gone = hand_over(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone_key)).distinct(), "gone")
+    kept = docs.join(gone, F.col(f"`{key}`") == F.col(gone_key), "left_anti")
+    shared = hand_over(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(shared_key)).agg(
+        F.count("*").alias("n")).filter("n > 1").select(shared_key), "shared")
     if shared.isEmpty():
         return kept
-    once = kept.join(shared, F.col(f"`{key}`") == F.col("_key"), "left_semi").dropDuplicates([key])
-    return kept.join(shared, F.col(f"`{key}`") == F.col("_key"), "left_anti").unionByName(once)
+    same = F.col(f"`{key}`") == F.col(shared_key)
+    once = kept.join(shared, same, "left_semi").dropDuplicates([key])
+    return kept.join(shared, same, "left_anti").unionByName(once)
 
 
 @query("op7_simhash_groups")

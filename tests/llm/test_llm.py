@@ -244,6 +244,9 @@ def test_scans_of_the_table(spark, name, fn, kinds):
     ("host one nine two dot one six eight dot zero dot one up", "one nine two dot one six eight dot zero dot one"),
     ("pay ４５３９１４８８０３４３６４６７ today", "４５３９１４８８０３４３６４６７"),
     ("pay 4539​1488​0343​6467 today", "4539​1488​0343​6467"),
+    ("\x00 mail john dot smith [at] example [dot] com now", "john dot smith [at] example [dot] com"),
+    ("\x00\U000f0000 jane at mail dot example dot org.", "jane at mail dot example dot org"),
+    ("write bob (at) 10.20.30.40.example.com", "bob (at) 10.20.30.40.example.com"),
     ("we met at the station one two three dots", None), ("he looked at example.com once", None)])
 def test_disguises_map_back(text, found):
     spans = pii.disguised(text, pii.plain(text))
@@ -343,9 +346,11 @@ def test_segmentation_is_best(vocabulary):
 
 
 def test_pieces_round_trip(spark, odd, empty, vocabulary):
-    coded = pieces.encode(odd.drop("ids"), vocabulary)
+    coded = pieces.encode(odd, vocabulary)
     assert coded.schema["ids"].dataType.simpleString() == "array<int>" and "text" not in coded.columns
-    back = pieces.decode(coded, vocabulary)
+    assert coded.columns.count("ids") == 1
+    back = pieces.decode(coded.withColumn("text", F.lit("x")), vocabulary)
+    assert back.columns.count("text") == 1
     key = lambda r: (r.doc_id is None, r.doc_id, r.text or "")
     assert [(r.doc_id, r.text) for r in sorted(back.collect(), key=key)] == \
         [(r.doc_id, r.text) for r in sorted(odd.collect(), key=key)]
@@ -394,42 +399,16 @@ def test_simhash_groups(spark, most):
     assert {r.doc_id: (r.f, r.component_id) for r in got} == want
 
 
-@pytest.mark.parametrize("most", [1 << 14, 3])
-def test_near_groups(spark, most):
+def test_keep_one_with_clashing_names(spark):
     rng = random.Random(4)
     docs = []
     for g in range(8):
         words = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(300)]
-        for c in range(6):
-            copy = list(words)
-            copy[rng.randrange(300)] = "edited"
-            docs.append((g * 100 + c, " ".join(copy)))
-    got = {r.doc_id: r.component_id for r in simhash.groups(frame(spark, docs), near=True, most=most).collect()}
-    assert all(c == d // 100 * 100 for d, c in got.items())
-    assert {r.doc_id for r in simhash.keep_one(frame(spark, docs)).collect()} == {g * 100 for g in range(8)}
-
-
-@pytest.mark.parametrize("segment", [0, 5, 11])
-@pytest.mark.parametrize("most", [1 << 14, 3])
-def test_crowded_entries_are_compared_whole(spark, monkeypatch, segment, most):
-    rng = random.Random(segment)
-    shift = lambda k: 256 - simhash.SEGMENT_BITS * (k + 1)
-    field = (1 << simhash.SEGMENT_BITS) - 1
-    rows = []
-    for g in range(20):
-        # All agree in one segment; the two of a pair differ by one bit in each other one.
-        first = rng.getrandbits(256) & ~(field << shift(segment)) | 12345 << shift(segment)
-        second = first
-        for k in set(range(simhash.SEGMENTS)) - {segment}:
-            second ^= 1 << shift(k) + rng.randrange(simhash.SEGMENT_BITS)
-        for c, value in enumerate((first, second)):
-            words = np.array([value >> 192 - 64 * w & (1 << 64) - 1 for w in range(4)], np.uint64)
-            rows.append((2 * g + c, *words.view(np.int64).tolist(), 0, 0, 0, 0))
-    names = ["doc_id", *[f"{c}{k}" for c in "wm" for k in range(4)]]
-    prints = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
-    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
-    got = {r.doc_id: r.component_id for r in simhash.groups(prints, near=True, most=most).collect()}
-    assert got == {d: d // 2 * 2 for d in range(40)}
+        docs += [(g * 100 + c, " ".join(words).title() if c % 2 else " ".join(words)) for c in range(6)]
+    named = frame(spark, docs).withColumns({"_gone": F.lit("x"), "_shared": F.lit(1), "n": F.lit(2)})
+    kept = simhash.keep_one(named.unionByName(named))
+    assert kept.columns == named.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [g * 100 for g in range(8)]
 
 
 def test_simhash_odd(spark, odd, empty):
@@ -465,6 +444,51 @@ def test_probabilities_add_up():
         assert math.isclose((2.0 ** -trees._lookup(langid.ORDER, grams)).sum(), 1, rel_tol=1e-6)
 
 
+def brute_ppm(train, text, order=3):
+    """Code length in bits, byte by byte, with counts of every context kept in dictionaries."""
+    seen = {}
+    for t in train:
+        padded = b"\n" * order + t
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                seen.setdefault(padded[i - k:i], Counter())[padded[i]] += 1
+
+    def order0(byte):
+        counts = seen.get(b"", Counter())
+        total = sum(counts.values()) + len(counts)
+        if byte in counts:
+            return counts[byte] / total
+        return len(counts) / total / 256 / (1 - len(counts) / 256)
+
+    def full(context, byte):
+        if not context:
+            return order0(byte)
+        counts = seen.get(context)
+        if not counts:
+            return full(context[1:], byte)
+        total = sum(counts.values()) + len(counts)
+        if byte in counts:
+            return counts[byte] / total
+        return len(counts) / total * full(context[1:], byte) / (1 - sum(full(context[1:], b) for b in counts))
+
+    padded = b"\n" * order + text
+    return -sum(math.log2(full(padded[i - order:i], padded[i])) for i in range(order, len(padded)))
+
+
+def test_code_lengths_against_plain_version(spark):
+    rng = random.Random(5)
+    train = {n: [" ".join("".join(rng.choices(a, k=4)) for _ in range(30)).encode() for _ in range(3)]
+             for n, a in (("x", "abcde"), ("y", "cdefé"))}
+    rows = frame(spark, [(10 * i + k, t.decode(), n, "s") for i, (n, ts) in enumerate(train.items())
+                         for k, t in enumerate(ts)])
+    trees = langid.fit(rows)
+    asked = [b"abcd ecd", "fé de cab zz".encode(), b"", b"\n", train["x"][0] + b"q"]
+    bits = trees.bits(slabs.Slab(asked, np.arange(len(asked))))
+    for i, text in enumerate(asked):
+        for k, name in enumerate(trees.languages):
+            assert math.isclose(bits[i, k], brute_ppm(train[name], text), rel_tol=1e-5, abs_tol=1e-6)
+
+
 def test_code_lengths_by_slots_and_by_search(monkeypatch):
     slab = slabs.Slab([b"the cat sat on the mat", b"", b"zzz", "naïve".encode()], np.arange(4))
     gram, _ = langid._grams(slab, langid.ORDER)
@@ -585,7 +609,7 @@ def test_pipeline(spark, odd):
     assert [n for n, _ in cp.STAGES] == ["language_id", "near_duplicates", "decontamination", "secrets", "sentencepiece"]
     out = cp.run(spark, SF)
     assert "ids" in out.columns and out.count() > 0
-    docs = odd.drop("ids")
+    docs = odd
     for _, stage in cp.STAGES:
         before, docs = docs, stage(spark, docs, SF)
         if "text" in docs.columns:
@@ -596,7 +620,7 @@ def test_pipeline(spark, odd):
 
 def test_pipeline_on_an_empty_table(spark, empty):
     import corpus_pipeline as cp
-    docs = empty.drop("ids")
+    docs = empty
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
