@@ -1,7 +1,8 @@
 """From raw documents to training sequences, in five stages.
 
 1. Language identification: texts without an identifiable language go.
-2. Near-duplicates by SimHash over five-word shingles: one document of each group stays.
+2. Near-duplicates by SimHash over three-word shingles, at most two differing bits: one document of
+   each group stays.
 3. Decontamination: texts that hold a copy of a benchmark item go.
 4. Secrets are masked in the text.
 5. Texts become SentencePiece ids.
