@@ -24,7 +24,7 @@ HEADLINE = (
     "w1_dedup_best", "w2_lag_within", "w2_lag_within_3", "w7_verify_unique",
     "x10_revenue_yoy_change", "f3_normalize_name", "m3_impute_fit_apply", "m4_smote",
     "m5_train_logistic", "m7_train_boosted", "m8_roc_auc", "m9_average_precision",
-    "m13_compare_models", "m16_shap_summary", "m19_validate_input",
+    "m13_compare_models", "m15_shap_values", "m15_shap_trees", "m16_shap_summary", "m19_validate_input",
     "k5_append_bronze_stream", "l2_silver", "l3_gold",
 )
 

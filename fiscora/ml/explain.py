@@ -1,16 +1,9 @@
-"""Per-row attributions of a score to its features.
-
-Trees use the path-dependent Shapley value: a feature outside the known set
-follows both branches in proportion to their training rows. Per leaf only the
-pattern "which features on its path agree with the row" matters, so the
-effects of all patterns are tabulated once and rows look them up.
-"""
+"""Per-row attributions of a score to its features: path-dependent Shapley values of trees
+(``trees``), and weight times distance from the mean for linear models."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -18,156 +11,91 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from fiscora.ml.boost import BoostedModel
+from fiscora.ml.train import Model
+from fiscora.ml.trees import Tree, attributions
 from fiscora.session import scratch_path
 
-# Up to this many features on a path all patterns are tabulated (2**n entries).
-TABLE_FEATURES = 6
-
-
-@dataclass(frozen=True)
-class Leaf:
-    """A leaf as conditions low < x[feature] <= high, with each one's row share."""
-    features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    share: np.ndarray
-    value: float
-
-
-def leaf_effects(agree: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Shapley value of each condition for a leaf of value 1; ``agree`` is patterns x d."""
-    n, d = agree.shape
-    weights = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
-    effects = np.empty((n, d))
-    for i in range(d):
-        # Coefficient s sums, over sets of s other known conditions, the leaf's reach.
-        poly = np.zeros((n, d))
-        poly[:, 0] = 1.0
-        for j in range(d):
-            if j != i:
-                known = np.zeros_like(poly)
-                known[:, 1:] = poly[:, :-1] * agree[:, j, None]
-                poly = poly * share[j] + known
-        effects[:, i] = (poly @ weights) * (agree[:, i] - share[i])
-    return effects
-
-
-def _leaves(nodes: dict[int, tuple], weight: float) -> Iterator[Leaf]:
-    """All leaves of one tree given {id: (value, rows, left, right, feature, threshold)}."""
-    stack = [(0, {})]
-    while stack:
-        at, path = stack.pop()
-        value, rows, left, right, feature, threshold = nodes[at]
-        if left < 0:
-            keys = sorted(path)
-            yield Leaf(np.array(keys, dtype=np.int64),
-                       np.array([path[k][0] for k in keys]), np.array([path[k][1] for k in keys]),
-                       np.array([path[k][2] for k in keys]), value * weight)
-            continue
-        low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-        for child, lo, hi in ((left, low, min(high, threshold)), (right, max(low, threshold), high)):
-            stack.append((child, {**path, feature: (lo, hi, share * nodes[child][1] / rows)}))
-
-
-def model_trees(model: PipelineModel, spark) -> list[dict[int, tuple]]:
-    """Nodes of a saved tree ensemble, per tree {id: (value, rows, left, right, feature,
-    threshold)}; bounded by trees x 2**depth, never by data."""
+ROWS_AT_ONCE = 1 << 14      # rows of a task for which every tree is walked once
+
+
+def model_trees(model: PipelineModel, spark) -> list[Tree]:
+    """The trees of an MLlib forest, each worth its share of the probability; bounded by trees x
+    2**depth, never by data."""
     ensemble = model.stages[-1]
     path = scratch_path(spark, "trees")
     ensemble.write().overwrite().save(path)
-    forest = "RandomForest" in type(ensemble).__name__
-    trees: dict[int, dict[int, tuple]] = {}
+    weights = list(ensemble.treeWeights)
+    total = sum(weights)
+    found: dict[int, list] = {}
     for tree, node in spark.read.parquet(f"{path}/data").select("treeID", "nodeData").collect():
-        stats = node["impurityStats"]
-        value = stats[1] / sum(stats) if forest else node["prediction"]
-        split = node["split"]
-        trees.setdefault(tree, {})[node["id"]] = (
-            value, node["rawCount"], node["leftChild"], node["rightChild"],
-            split["featureIndex"], (list(split["leftCategoriesOrThreshold"]) or [np.nan])[0])
-    return [nodes for _, nodes in sorted(trees.items())]
-
-
-def model_leaves(model: PipelineModel, spark) -> list[Leaf]:
-    """Leaves of all trees, each worth its share of the ensemble's score."""
-    weights = list(model.stages[-1].treeWeights)
-    total = sum(weights) if "RandomForest" in type(model.stages[-1]).__name__ else 1.0
-    return [leaf for weight, nodes in zip(weights, model_trees(model, spark))
-            for leaf in _leaves(nodes, weight / total)]
-
-
-def base_value(leaves: Sequence[Leaf]) -> float:
-    """Mean score over the training rows of every tree."""
-    return float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
-
-
-def _pattern_table(leaf: Leaf) -> np.ndarray | None:
-    d = len(leaf.features)
-    if d > TABLE_FEATURES:
-        return None
-    bits = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
-    return leaf_effects(bits.astype(float), leaf.share) * leaf.value
-
-
-def attribute(x: np.ndarray, leaves: Sequence[Leaf],
-              tables: Sequence[np.ndarray | None]) -> np.ndarray:
-    """rows x features attributions."""
-    phi = np.zeros_like(x)
-    for leaf, table in zip(leaves, tables):
-        if not len(leaf.features):
-            continue
-        own = x[:, leaf.features]
-        agree = (own > leaf.low) & (own <= leaf.high)
-        code = agree @ (1 << np.arange(len(leaf.features)))
-        if table is not None:
-            phi[:, leaf.features] += table[code]
-        else:
-            seen, first, back = np.unique(code, return_index=True, return_inverse=True)
-            effects = leaf_effects(agree[first].astype(float), leaf.share) * leaf.value
-            phi[:, leaf.features] += effects[back]
-    return phi
+        stats, split = node["impurityStats"], node["split"]
+        value = stats[1] / sum(stats)
+        found.setdefault(tree, []).append((
+            node["id"], split["featureIndex"], (list(split["leftCategoriesOrThreshold"]) or [np.nan])[0],
+            node["leftChild"], node["rightChild"], value * weights[tree] / total, node["rawCount"]))
+    out = []
+    for _, nodes in sorted(found.items()):
+        ids, *columns = zip(*sorted(nodes))
+        place = {i: k for k, i in enumerate(ids)}
+        feature, threshold, left, right, value, cover = columns
+        out.append(Tree(np.array(feature), np.array(threshold, float),
+                        np.array([place.get(i, -1) for i in left]), np.array([place.get(i, -1) for i in right]),
+                        np.array(value, float), np.array(cover, float)))
+    return out
 
 
 def _phi(feature: str) -> str:
     return f"phi_{feature}"
 
 
-def shap_values(model: PipelineModel, df: DataFrame, features: Sequence[str],
+def shap_values(model: Model, df: DataFrame, features: Sequence[str],
                 keep: Sequence[str] = (), background: DataFrame | None = None) -> DataFrame:
     """``keep`` columns, ``base_value`` and ``phi_<feature>`` for every row.
 
     Linear models need ``background``, the rows they were trained on: a row's
     attributions must not depend on what it is explained together with.
 
-    base_value plus the attributions is the margin (boosted trees, half the
-    log-odds; logistic, the log-odds) or the probability (forest).
+    base_value plus the attributions is the log-odds (boosted trees, logistic) or the
+    probability (forest).
     """
     features = list(features)
-    last = model.stages[-1]
-    if hasattr(last, "coefficients"):
+    if isinstance(model, BoostedModel):
+        if features != list(model.features):
+            raise ValueError("features must be those of the model, in its order")
+    elif hasattr(model.stages[-1], "coefficients"):
         if background is None:
             raise ValueError("a linear model is explained against background rows")
         return _linear_shap(model, df, features, keep, background)
     spark = df.sparkSession
-    leaves = model_leaves(model, spark)
-    base = base_value(leaves)
-    shared = spark.sparkContext.broadcast(
-        (leaves, [_pattern_table(leaf) for leaf in leaves]))
-    kept = df.select(*keep).schema
-    schema = StructType(kept.fields + [StructField("base_value", DoubleType())] + [
+    ensemble = model.trees if isinstance(model, BoostedModel) else model_trees(model, spark)
+    base = sum(tree.mean() for tree in ensemble)
+    shared = spark.sparkContext.broadcast(ensemble)
+    schema = StructType(df.select(*keep).schema.fields + [StructField("base_value", DoubleType())] + [
         StructField(_phi(f), DoubleType()) for f in features])
     inputs = df.select(*keep, *[F.col(f).cast("double").alias(f"_x{i}")
                                 for i, f in enumerate(features)])
     places = [f"_x{i}" for i in range(len(features))]
 
+    def explained(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        phi = attributions(rows[places].to_numpy(dtype=float), shared.value)
+        out = rows.drop(columns=places)
+        out["base_value"] = base
+        for i, f in enumerate(features):
+            out[_phi(f)] = phi[:, i]
+        return out
+
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, tables = shared.value
+        held, size = [], 0
         for batch in batches:
-            phi = attribute(batch[places].to_numpy(dtype=float), own, tables)
-            out = batch.drop(columns=places)
-            out["base_value"] = base
-            for i, f in enumerate(features):
-                out[_phi(f)] = phi[:, i]
-            yield out
+            held.append(batch)
+            size += len(batch)
+            if size >= ROWS_AT_ONCE:
+                yield explained(held)
+                held, size = [], 0
+        if size:
+            yield explained(held)
 
     return inputs.mapInPandas(explain, schema)
 

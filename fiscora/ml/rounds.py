@@ -2,48 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from fiscora.ml.explain import model_trees
+from fiscora.ml.boost import BoostedModel, staged_margins
 from fiscora.ml.metrics import ranking_metrics
 
 
-def staged_margins(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns and ``margins``, the score after each round."""
-    spark = df.sparkSession
-    booster = model.stages[-1].copy()
-    booster.setLeafCol("_leaves")
-    placed = PipelineModel([*model.stages[:-1], booster]).transform(df).select(
-        *keep, vector_to_array("_leaves").alias("_leaves"))
-    weights = list(booster.treeWeights)
-    # Node ids ascend from left to right, as leaf numbers do.
-    steps = spark.sparkContext.broadcast([
-        weight * np.array([nodes[i][0] for i in sorted(nodes) if nodes[i][2] < 0])
-        for weight, nodes in zip(weights, model_trees(model, spark))])
-    schema = StructType(placed.select(*keep).schema.fields + [
-        StructField("margins", ArrayType(DoubleType()))])
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            leaf = np.array(batch["_leaves"].tolist(), dtype=np.int64)
-            each = np.stack([values[leaf[:, t]] for t, values in enumerate(steps.value)], axis=1)
-            out = batch.drop(columns="_leaves")
-            out["margins"] = list(np.cumsum(each, axis=1))
-            yield out
-
-    return placed.mapInPandas(add_up, schema)
-
-
-def metrics_per_round(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
+def metrics_per_round(model: BoostedModel, df: DataFrame, label: str) -> DataFrame:
     """(round, roc_auc, average_precision) on the watched rows, for every round from 1."""
     staged = staged_margins(model, df, [label]).select(
         label, F.posexplode("margins").alias("_at", "_margin"))

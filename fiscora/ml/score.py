@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fiscora.functions.numeric import FEATURE_COLUMNS, risk_tier, round_score
+from fiscora.ml.boost import BoostedModel, boosted_margin
 from fiscora.ml.prep import Preparation
-from fiscora.ml.train import load_model, save_model
+from fiscora.ml.train import Model, load_model, save_model
 
 # Smallest and largest sensible input per feature.
 FEATURE_DOMAIN = {
@@ -22,14 +22,17 @@ FEATURE_DOMAIN = {
 }
 
 
-def probability(model: PipelineModel, df: DataFrame, keep: Sequence[str],
+def probability(model: Model, df: DataFrame, keep: Sequence[str],
                 out: str = "probability") -> DataFrame:
     """Probability of the positive class next to the ``keep`` columns."""
+    if isinstance(model, BoostedModel):
+        margin = boosted_margin(model, df, keep, "_margin")
+        return margin.select(*keep, (F.lit(1.0) / (1 + F.exp(-F.col("_margin")))).alias(out))
     scored = model.transform(df)
     return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
 
-def score_batch(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def score_batch(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns, ``risk_score`` (4 decimals) and ``risk_tier``.
 
     The tier is taken from the unrounded probability.
@@ -38,14 +41,14 @@ def score_batch(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> Dat
         *keep, round_score("_p").alias("risk_score"), risk_tier("_p").alias("risk_tier"))
 
 
-def save_scorer(spark: SparkSession, model: PipelineModel, preparation: Preparation,
+def save_scorer(spark: SparkSession, model: Model, preparation: Preparation,
                 path: str) -> None:
     """Keep a model together with the caps and medians its rows were prepared with."""
     save_model(model, f"{path}/model")
     preparation.save(spark, f"{path}/preparation")
 
 
-def load_scorer(spark: SparkSession, path: str) -> tuple[PipelineModel, Preparation]:
+def load_scorer(spark: SparkSession, path: str) -> tuple[Model, Preparation]:
     return load_model(f"{path}/model"), Preparation.load(spark, f"{path}/preparation")
 
 

@@ -1,19 +1,22 @@
-"""The three classifiers as MLlib pipelines on raw feature columns."""
+"""The three classifiers on raw feature columns: MLlib pipelines, and boosted trees (``boost``)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fiscora.ml.boost import (
+    BoostedModel, fit_boosted, load_boosted, save_boosted, staged_margins)
 from fiscora.operators import aggregates
 from fiscora.session import shared_dir
 
+Model = PipelineModel | BoostedModel
+
 VECTOR = "_features"
 # Node ids are kept with the rows and checkpointed, and deep levels get room for their
 # histograms, so a level takes few passes over the data.
@@ -62,31 +65,30 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int
 
 
 def train_boosted(df: DataFrame, features: Sequence[str], label: str, rounds: int = 300,
-                  rate: float = 0.05, depth: int = 5, seed: int = 42,
-                  bins: int = 64) -> PipelineModel:
+                  rate: float = 0.05, depth: int = 5, bins: int = 64) -> BoostedModel:
     """Gradient-boosted trees with positives weighted by negatives / positives."""
-    shared_dir(df.sparkSession)
-    labelled = _as_label(df, label)
-    fitted = aggregates.fit_class_weights(labelled, label).select("pos_weight").scalar()
-    weighted = labelled.withColumn("_weight", F.when(F.col(label) == 1, fitted).otherwise(1.0))
-    return Pipeline(stages=[
-        _assembler(features),
-        GBTClassifier(featuresCol=VECTOR, labelCol=label, weightCol="_weight",
-                      maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, maxBins=bins,
-                      **TREES),
-    ]).fit(weighted)
+    return fit_boosted(df, features, label, rounds, rate, depth, bins)
 
 
-def watch_boosted(model: PipelineModel, df: DataFrame, label: str) -> list[float]:
-    """Loss on a watched set after each round; it never stops the training."""
-    plain = _as_label(df, label).withColumn("_weight", F.lit(1.0))
-    ready = PipelineModel(model.stages[:-1]).transform(plain)
-    return model.stages[-1].evaluateEachIteration(ready)
+def watch_boosted(model: BoostedModel, df: DataFrame, label: str) -> list[float]:
+    """Mean log loss on a watched set after each round; it never stops the training."""
+    # log(1 + e**-m) of the margin towards the label, without overflow.
+    towards = F.when(F.col(label) == 1, F.col("_margin")).otherwise(-F.col("_margin"))
+    loss = F.greatest(-towards, F.lit(0.0)) + F.log1p(F.exp(-F.abs("_margin")))
+    rows = staged_margins(model, df, [label]).select(label, F.posexplode("margins").alias("_round", "_margin"))
+    return [r["loss"] for r in rows.groupBy("_round").agg(F.avg(loss).alias("loss")).orderBy("_round").collect()]
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model, path: str) -> None:
+    if isinstance(model, BoostedModel):
+        save_boosted(SparkSession.getActiveSession(), model, path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> Model:
+    spark = SparkSession.getActiveSession()
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return load_boosted(spark, path)
     return PipelineModel.load(path)

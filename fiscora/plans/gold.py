@@ -61,11 +61,15 @@ def dim_hospital(filings: DataFrame) -> DataFrame:
         "bed_size_category", numeric.bed_size("avg_beds"))
 
 
+def numbered(filings: DataFrame) -> DataFrame:
+    """Filings with the ``payer_id`` that dimension and fact share: a filing has one payer row."""
+    return ordered.surrogate_key(filings, KEY, "payer_id")
+
+
 def dim_payer(filings: DataFrame) -> DataFrame:
+    """From filings that have their ``payer_id``."""
     ratios = numeric.ratio_columns()
-    mix = filings.select(*KEY, *[ratios[c].alias(c) for c in numeric.PAYER_RATIOS])
-    return ordered.surrogate_key(mix, KEY, "payer_id").select(
-        "payer_id", *KEY, *numeric.PAYER_RATIOS)
+    return filings.select("payer_id", *KEY, *[ratios[c].alias(c) for c in numeric.PAYER_RATIOS])
 
 
 def features(filings: DataFrame, require_gap: int | None = None) -> DataFrame:
@@ -80,9 +84,10 @@ def build(spark: SparkSession, silver: DataFrame, out: GoldPaths, fmt: str = "pa
     """Write and return dimensions and fact.
 
     Deduplicated filings and dimensions are written first and read back, so
-    every consumer sees the same ids and reads only its own columns.
+    every consumer sees the same ids and reads only its own columns. Filings carry
+    their payer id, so the fact is joined with small dimensions only.
     """
-    write_layer(dedup(silver), out.filings, fmt)
+    write_layer(numbered(dedup(silver)), out.filings, fmt)
     filings = read_layer(spark, out.filings, fmt)
     tables = {}
     for name, make in (("dim_time", dim_time), ("dim_geography", dim_geography),
@@ -94,7 +99,6 @@ def build(spark: SparkSession, silver: DataFrame, out: GoldPaths, fmt: str = "pa
         (tables["dim_time"], ["fiscal_year"], "time_id"),
         (tables["dim_geography"], ["fips", "state_code", "rucc_2013"], "geo_id"),
         (tables["dim_hospital"], ["ccn_key"], "hospital_id"),
-        (tables["dim_payer"], list(KEY), "payer_id"),
     ])
     fact = keyed.select("hospital_id", "time_id", "geo_id", "payer_id", *KEY,
                         *numeric.FEATURE_COLUMNS, "distress_label")

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fiscora.functions.numeric import FEATURE_COLUMNS, apply_threshold
@@ -19,7 +18,7 @@ LABEL = "distress_label"
 
 @dataclass
 class Outcome:
-    models: dict[str, PipelineModel]
+    models: dict[str, train.Model]
     preparation: prep.Preparation
     paths: dict[str, str]
     splits: DataFrame
@@ -39,7 +38,7 @@ def model_rows(fact: DataFrame, dim_geography: DataFrame) -> DataFrame:
 
 
 def train_all(rows: DataFrame, features: Sequence[str], label: str,
-              settings: Mapping[str, Mapping] | None = None) -> dict[str, PipelineModel]:
+              settings: Mapping[str, Mapping] | None = None) -> dict[str, train.Model]:
     settings = settings or {}
     makers = {"LogisticRegression": train.train_logistic, "RandomForest": train.train_forest,
               "BoostedTrees": train.train_boosted}
@@ -47,7 +46,7 @@ def train_all(rows: DataFrame, features: Sequence[str], label: str,
             for name, make in makers.items()}
 
 
-def score_long(models: Mapping[str, PipelineModel], rows: DataFrame,
+def score_long(models: Mapping[str, train.Model], rows: DataFrame,
                keep: Sequence[str]) -> DataFrame:
     """(model, keep..., score) for every model."""
     return windows.union_all([

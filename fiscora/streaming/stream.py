@@ -10,10 +10,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from fiscora.operators.columns import sanitize_columns_basic
+from fiscora.operators.windows import union_all
 
 MESSAGE = StructType([StructField("key", StringType()), StructField("value", StringType())])
 CORRUPT = "_corrupt_record"
 BATCH = "micro_batch"
+COMPACT_EVERY = 50          # micro-batches that are folded into a snapshot
 
 
 @dataclass(frozen=True)
@@ -96,14 +98,70 @@ def batch_folder(path: str, number: int) -> str:
     return f"{path}/{BATCH}={number}"
 
 
-def stream_counts(rows: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+def _numbers(spark: SparkSession, path: str, complete: bool = False) -> list[int]:
+    """Numbers of the micro-batch folders right under ``path``, ascending; ``complete`` ones only."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
+    found = sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{BATCH}="))
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return [n for n in found if not complete or files.exists(done(f"{batch_folder(path, n)}/_SUCCESS"))]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _snapshots(path: str) -> str:
+    """Beside the batches, under a name that readers of ``path`` skip."""
+    return f"{path}/_snapshots"
+
+
+def _after(spark: SparkSession, path: str, keys: Sequence[str], base: int | None,
+           until: int | None = None) -> DataFrame:
+    """Newest count of every key in snapshot ``base`` and the batches after it, up to ``until``."""
+    last = [n for n in _numbers(spark, path)
+            if (base is None or n > base) and (until is None or n <= until)]
+    parts = [spark.read.parquet(batch_folder(path, n)).withColumn(BATCH, F.lit(n)) for n in last]
+    if base is not None:
+        parts.append(spark.read.parquet(batch_folder(_snapshots(path), base)).withColumn(BATCH, F.lit(base)))
+    return union_all(parts).groupBy(*keys).agg(F.max_by("records", BATCH).alias("records"))
+
+
+def compact_counts(spark: SparkSession, path: str, keys: Sequence[str], number: int) -> None:
+    """Fold everything up to micro-batch ``number`` into one snapshot that is named by it.
+
+    A snapshot counts once it is whole, and only what the one before it covers is removed
+    then. So a reader that has begun keeps its files until the next compaction, and a
+    crash at any point, or doing the same batch again, loses and doubles nothing.
+    """
+    place = _snapshots(path)
+    before = [n for n in _numbers(spark, place, complete=True) if n < number]
+    base = before[-1] if before else None
+    _after(spark, path, keys, base, number).write.mode("overwrite").parquet(batch_folder(place, number))
+    if base is None:
+        return
+    for old in before[:-1]:
+        _remove(spark, batch_folder(place, old))
+    for old in _numbers(spark, path):
+        if old <= base:
+            _remove(spark, batch_folder(path, old))
+
+
+def stream_counts(rows: DataFrame, keys: Sequence[str], path: str, checkpoint: str,
+                  compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Running count per key; each micro-batch adds the keys it changed.
 
-    Read with ``latest_counts``. Nothing written before is touched, so readers
-    and restarts always find a whole table.
+    Read with ``latest_counts``. Every ``compact_every`` batches are folded into a
+    snapshot, so a read opens a bounded number of folders however long the stream runs.
     """
     def add(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(batch_folder(path, number))
+        if (number + 1) % compact_every == 0:
+            compact_counts(batch.sparkSession, path, keys, number)
 
     return bounded_run(rows.groupBy(*keys).agg(F.count("*").alias("records"))
                        .writeStream.outputMode("update").foreachBatch(add)
@@ -112,5 +170,5 @@ def stream_counts(rows: DataFrame, keys: Sequence[str], path: str, checkpoint: s
 
 def latest_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Newest count of every key written by ``stream_counts``."""
-    return spark.read.parquet(path).groupBy(*keys).agg(
-        F.max_by("records", BATCH).alias("records"))
+    whole = _numbers(spark, _snapshots(path), complete=True)
+    return _after(spark, path, keys, whole[-1] if whole else None)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fiscora.functions.numeric import FEATURE_COLUMNS
-from fiscora.ml import explain, metrics, neighbors, oversample, prep, rounds, runs, score, train
+from fiscora.ml import boost, explain, metrics, neighbors, oversample, prep, rounds, runs, score, train, trees
 from fiscora.plans import modeling
 
 FEATURES = ["a", "b", "c"]
@@ -152,32 +152,123 @@ def test_report_and_fairness(spark):
     assert {r["class_name"]: r["precision"] for r in never.collect()}["Distress"] == 0.0
 
 
-def test_leaf_effects_against_all_subsets():
-    rng = np.random.default_rng(0)
-    d = 4
-    share = rng.random(d)
-    patterns = np.array(list(itertools.product([0.0, 1.0], repeat=d)))
-    got = explain.leaf_effects(patterns, share)
-    for o, row in zip(patterns, got):
-        reach = lambda known: math.prod(o[j] if j in known else share[j] for j in range(d))
-        for i in range(d):
-            others = [j for j in range(d) if j != i]
-            want = sum(
-                math.factorial(n) * math.factorial(d - n - 1) / math.factorial(d)
-                * (reach({*s, i}) - reach(set(s)))
-                for n in range(d) for s in itertools.combinations(others, n))
-            assert row[i] == pytest.approx(want, abs=1e-12)
-
-
-@pytest.mark.parametrize("table_features", [6, 1])
-def test_tree_attributions_add_up(rows, monkeypatch, table_features):
-    monkeypatch.setattr(explain, "TABLE_FEATURES", table_features)
+def subset_value(tree, x, known, node=0):
+    """The tree's value if only the ``known`` features of a row are."""
+    if tree.left[node] < 0:
+        return tree.value[node]
+    f, children = tree.feature[node], (tree.left[node], tree.right[node])
+    if f in known:
+        return subset_value(tree, x, known, children[int(x[f] > tree.threshold[node])])
+    return sum(tree.cover[c] / tree.cover[node] * subset_value(tree, x, known, c) for c in children)
+
+
+def shapley(tree, x):
+    d = len(x)
+    return [sum(math.factorial(n) * math.factorial(d - 1 - n) / math.factorial(d)
+                * (subset_value(tree, x, {*s, i}) - subset_value(tree, x, set(s)))
+                for n in range(d) for s in itertools.combinations([j for j in range(d) if j != i], n))
+            for i in range(d)]
+
+
+def random_tree(rng, depth, width, rows=300):
+    """A tree that may split on a feature again and again along a path."""
+    x = rng.normal(size=(rows, width))
+    nodes = []
+
+    def grow(own, left):
+        at = len(nodes)
+        nodes.append([0, np.nan, -1, -1, rng.normal(), len(own)])
+        f = int(rng.integers(width))
+        limit = float(rng.choice(own[:, f]))
+        low = own[:, f] <= limit
+        if left and 0 < low.sum() < len(own):
+            nodes[at][:2] = f, limit
+            nodes[at][2] = grow(own[low], left - 1)
+            nodes[at][3] = grow(own[~low], left - 1)
+        return at
+    grow(x, depth)
+    return trees.Tree(*map(np.array, zip(*nodes)))
+
+
+@pytest.mark.parametrize("bits", [9, 3, 0])
+@pytest.mark.parametrize("depth, width", [(0, 2), (1, 2), (4, 3), (7, 5)])
+def test_tree_attributions_against_all_subsets(monkeypatch, bits, depth, width):
+    monkeypatch.setattr(trees, "TABLE_BITS", bits)
+    monkeypatch.setattr(trees, "TABLE_ENTRIES", 8)
+    monkeypatch.setattr(trees, "ROWS", 5)
+    rng = np.random.default_rng(depth)
+    ensemble = [random_tree(rng, depth, width) for _ in range(2)]
+    x = rng.normal(size=(12, width))
+    got = trees.attributions(x, ensemble)
+    want = np.sum([[shapley(t, row) for row in x] for t in ensemble], axis=0)
+    assert np.allclose(got, want, atol=1e-9)
+    assert np.allclose(got.sum(axis=1) + sum(t.mean() for t in ensemble), trees.margins(x, ensemble))
+
+
+def test_boosted_attributions_add_up(rows):
     model = train.train_boosted(rows, FEATURES, "y", rounds=6, depth=4)
     phi = explain.shap_values(model, rows, FEATURES, ["id"]).toPandas().sort_values("id")
-    raw = model.transform(rows.withColumn("y", F.col("y").cast("double"))).select(
-        "id", "rawPrediction").toPandas().sort_values("id")
+    raw = boost.boosted_margin(model, rows, ["id"]).toPandas().sort_values("id")
     total = phi["base_value"] + phi[[f"phi_{f}" for f in FEATURES]].sum(axis=1)
-    assert np.allclose(total.to_numpy(), [v[1] for v in raw["rawPrediction"]], atol=1e-9)
+    assert np.allclose(total.to_numpy(), raw["margin"].to_numpy(), atol=1e-9)
+    # The base value is the mean margin of the trained rows.
+    assert phi["base_value"].iloc[0] == pytest.approx(raw["margin"].mean())
+    with pytest.raises(ValueError):
+        explain.shap_values(model, rows, FEATURES[::-1], ["id"])
+
+
+def plain_boosting(x, y, weight, cuts, rounds, rate, depth):
+    """Newton boosting by trying every limit on every node; the margins after each round."""
+    margin, out = np.zeros(len(y)), []
+
+    def grow(own, left):
+        p = 1 / (1 + np.exp(-margin[own]))
+        g, h = weight[own] * (p - y[own]), weight[own] * p * (1 - p)
+        best, gain = None, 1e-9
+        for f in range(x.shape[1]) if left else ():
+            for limit in cuts[f]:
+                low = x[own, f] <= limit
+                if h[low].sum() < 1 or h[~low].sum() < 1:
+                    continue
+                got = (g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1)
+                       - g.sum() ** 2 / (h.sum() + 1))
+                if got > gain + 1e-12:
+                    best, gain = low, got
+        if best is None:
+            step[own] = -rate * g.sum() / (h.sum() + 1)
+        else:
+            grow(own[best], left - 1)
+            grow(own[~best], left - 1)
+    for _ in range(rounds):
+        step = np.zeros(len(y))
+        grow(np.arange(len(y)), depth)
+        margin = margin + step
+        out.append(margin)
+    return np.array(out).T
+
+
+@pytest.mark.parametrize("task_rows, block_rows, every", [(1 << 14, 1 << 16, 20), (50, 20, 2)])
+def test_boosting_against_a_plain_version(rows, monkeypatch, task_rows, block_rows, every):
+    for name, value in (("TASK_ROWS", task_rows), ("BLOCK_ROWS", block_rows), ("WRITE_EVERY", every)):
+        monkeypatch.setattr(boost, name, value)
+    model = train.train_boosted(rows, FEATURES, "y", rounds=5, depth=3, rate=0.3)
+    pdf = rows.orderBy("id").toPandas()
+    y = pdf["y"].to_numpy()
+    weight = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    want = plain_boosting(pdf[FEATURES].to_numpy(), y, weight, boost._cuts(rows, FEATURES, 64), 5, 0.3, 3)
+    got = boost.staged_margins(model, rows, ["id"]).orderBy("id").toPandas()["margins"]
+    assert np.allclose(np.stack(got.to_list()), want, atol=1e-9)
+
+
+def test_boosting_on_odd_tables(rows):
+    none = boost.fit_boosted(rows.limit(0), FEATURES, "y", rounds=3)
+    assert none.trees == () and score.probability(none, rows, ["id"]).filter("probability <> 0.5").count() == 0
+    one = boost.fit_boosted(rows.filter("y = 1"), FEATURES, "y", rounds=3)
+    assert score.probability(one, rows, ["id"]).filter("probability <= 0.5").count() == 0
+    same = boost.fit_boosted(rows.withColumns({f: F.lit(1.0) for f in FEATURES}), FEATURES, "y", rounds=2)
+    assert all(len(t.value) == 1 for t in same.trees)
+    with pytest.raises(ValueError):
+        boost.fit_boosted(rows.withColumn("a", F.when(F.col("id") > 3, F.col("a"))), FEATURES, "y", rounds=1)
 
 
 def test_forest_and_linear_attributions_add_up(rows):
@@ -193,27 +284,6 @@ def test_forest_and_linear_attributions_add_up(rows):
     assert np.allclose(total.sort_index(), np.log(p / (1 - p)).sort_index(), atol=1e-8)
 
 
-def test_tree_attribution_of_one_tree_against_subsets(rows):
-    model = train.train_boosted(rows, FEATURES, "y", rounds=1, depth=3)
-    leaves = explain.model_leaves(model, rows.sparkSession)
-
-    def value(x, known):
-        return sum(leaf.value * math.prod(
-            float(leaf.low[j] < x[f] <= leaf.high[j]) if f in known else leaf.share[j]
-            for j, f in enumerate(leaf.features)) for leaf in leaves)
-
-    x = rows.orderBy("id").limit(20).toPandas()[FEATURES].to_numpy()
-    tables = [explain._pattern_table(leaf) for leaf in leaves]
-    got = explain.attribute(x, leaves, tables)
-    for row, phi in zip(x, got):
-        for i in range(3):
-            others = [j for j in range(3) if j != i]
-            want = sum(math.factorial(n) * math.factorial(2 - n) / 6
-                       * (value(row, {*s, i}) - value(row, set(s)))
-                       for n in range(3) for s in itertools.combinations(others, n))
-            assert phi[i] == pytest.approx(want, abs=1e-12)
-
-
 def test_waterfall_ends_at_the_score(spark):
     wide = spark.createDataFrame([(1, 0.5, 0.1, -0.4, 0.2)],
                                  "id int, base_value double, phi_a double, phi_b double, phi_c double")

@@ -100,6 +100,34 @@ def test_counts_accumulate(spark, tmp_path):
         spark, out, ["Provider CCN"]).collect()) == [10, 10, 15]
 
 
+def folders(path):
+    return sorted(p.name for p in path.glob("micro_batch=*")) if path.exists() else []
+
+
+def test_counts_are_compacted(spark, tmp_path):
+    """Many batches leave few folders, and every read finds all counts."""
+    out = tmp_path / "counts"
+    for i in range(23):
+        write_messages(tmp_path / "in", [record(i % 4), record(9)], f"{i:03d}.json")
+    source = stream.stream_source(spark, stream.StreamConfig(location=str(tmp_path / "in"), files=1))
+    valid, _ = stream.decode_json(source, SCHEMA)
+    stream.stream_counts(valid, ["Provider CCN"], str(out), str(tmp_path / "progress"), compact_every=4)
+    # Batches 0 to 22; snapshots 15 and 19, and the batches that 15 does not cover.
+    assert folders(out / "_snapshots") == ["micro_batch=15", "micro_batch=19"]
+    assert folders(out) == [f"micro_batch={n}" for n in range(16, 23)]
+    want = {f"{k:06d}": n for k, n in ((0, 6), (1, 6), (2, 6), (3, 5), (9, 23))}
+    def read():
+        return {r[0]: r["records"] for r in stream.latest_counts(spark, str(out), ["Provider CCN"]).collect()}
+    assert read() == want
+    # Doing a batch again, or a crash inside a compaction, changes nothing.
+    stream.compact_counts(spark, str(out), ["Provider CCN"], 19)
+    assert read() == want
+    (out / "_snapshots" / "micro_batch=19" / "_SUCCESS").unlink()
+    assert read() == want
+    stream.compact_counts(spark, str(out), ["Provider CCN"], 22)
+    assert read() == want
+
+
 def test_keyed_json_and_order(spark, tmp_path):
     rows = [(i, "hot" if i % 3 else f"k{i % 7}", float("nan") if i == 4 else float(i))
             for i in range(400)] + [(400, None, 1.0)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fiscora.functions import text
 from fiscora.operators import aggregates, columns, joins, ordered
 from fiscora.plans import silver
+from fiscora.session import hand_over
 from workload.binding import (
     HY, LABELLED, RAW, closures, county_sql, event_sql, filings, name_sql, prefix_sql, rurality,
     with_, yearly_accounts)
@@ -81,11 +82,13 @@ SELECT ccn_key, fiscal_year, time_id, hospital_id, payer_id
 FROM hy LEFT JOIN t USING (fiscal_year) LEFT JOIN h USING (ccn_key)
 LEFT JOIN p USING (ccn_key, fiscal_year)"""))
 def attach_keys(spark, sf_dir):
-    accounts = yearly_accounts(spark, sf_dir).select("ccn_key", "fiscal_year")
+    """A row's own number needs no join: it is given once, to the written accounts."""
+    accounts = hand_over(ordered.surrogate_key(
+        yearly_accounts(spark, sf_dir).select("ccn_key", "fiscal_year"),
+        ["ccn_key", "fiscal_year"], "payer_id"), "accounts")
     dims = [(ordered.surrogate_key(aggregates.distinct_rows(accounts, keys), keys, key_id),
              keys, key_id)
-            for keys, key_id in ((["fiscal_year"], "time_id"), (["ccn_key"], "hospital_id"),
-                                 (["ccn_key", "fiscal_year"], "payer_id"))]
+            for keys, key_id in ((["fiscal_year"], "time_id"), (["ccn_key"], "hospital_id"))]
     return joins.attach_keys(accounts, dims)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fiscora.functions import numeric
 from fiscora.ml import explain, metrics, oversample, prep, rounds, runs, score, train
+from fiscora.ml.boost import BoostedModel
+from fiscora.ml.trees import Tree
 from fiscora.operators import aggregates, windows
 from fiscora.session import hand_over, scratch_path
 from workload.binding import RATED, YEARS, rated_accounts, rounded_sql, with_
@@ -54,7 +57,7 @@ def temporal_split(spark, sf_dir):
 @query("m2_winsorize_fit_apply", with_(CAPPED_SQL, f"""
 SELECT ccn_key, fiscal_year, {rounded_sql(prep.WINSORIZED)} FROM capped"""))
 def winsorize(spark, sf_dir):
-    rows = split_rows(spark, sf_dir)
+    rows = hand_over(split_rows(spark, sf_dir), "split")
     caps = prep.winsorize_fit(rows, prep.WINSORIZED, "split = 'train'")
     return rounded(prep.winsorize_apply(rows, caps, prep.WINSORIZED), prep.WINSORIZED).select(
         *KEY, *prep.WINSORIZED)
@@ -312,14 +315,80 @@ def shap_values(spark, sf_dir):
     total = F.col("base_value")
     for f in FEATURES:
         total = total + F.col(f"phi_{f}")
-    # The margin is half the log-odds.
-    off = F.abs(F.lit(1.0) / (1 + F.exp(-2 * total)) - F.col("_p"))
-    margin = F.ln(F.col("_p") / (1 - F.col("_p"))) / 2
+    off = F.abs(F.lit(1.0) / (1 + F.exp(-total)) - F.col("_p"))
+    margin = F.ln(F.col("_p") / (1 - F.col("_p")))
     mean = score.probability(model, balanced, [], "_p").agg(F.avg(margin).alias("m")).first()["m"]
     return phi.select(*KEY, (off < 1e-9).alias("adds_up"),
                       (F.abs(F.col("base_value") - mean) < 1e-6).alias("same_base"))
 
 
+#: Trees of two levels over order lines: root column and limit, second column and its limits left
+#: and right, then values and training rows of the four leaves from left to right.
+_PAIRS = (
+    ("l_quantity", 24.0, "l_discount", 0.03, 0.07, (0.5, -0.25, 0.75, -1.0), (4000, 9000, 2000, 8000)),
+    ("l_extendedprice", 30000.0, "l_tax", 0.02, 0.05, (-0.375, 0.125, 0.25, 1.5), (100, 700, 300, 50)),
+    ("l_discount", 0.05, "l_quantity", 10.0, 40.0, (1.25, 0.0, -0.5, 0.625), (10, 20, 30, 40)),
+)
+_LINES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _pairs_model():
+    made = []
+    for first, limit, second, low, high, values, rows in _PAIRS:
+        a, b = _LINES.index(first), _LINES.index(second)
+        gap = float("nan")
+        made.append(Tree(*map(np.array, (
+            [a, b, b, -1, -1, -1, -1], [limit, low, high, gap, gap, gap, gap], [1, 3, 5, -1, -1, -1, -1],
+            [2, 4, 6, -1, -1, -1, -1], [0.0, 0.0, 0.0, *values],
+            [float(x) for x in (sum(rows), sum(rows[:2]), sum(rows[2:]), *rows)]))))
+    return BoostedModel(_LINES, tuple(made))
+
+
+def _pair_sql(pair, known):
+    """A tree's value if ``known`` columns are ('', 'a' root's, 'b' second's or 'ab')."""
+    first, limit, second, low, high, v, n = pair
+    def side(k, at):
+        if "b" in known:
+            return f"CASE WHEN {second} <= {at} THEN {v[k]}::DOUBLE ELSE {v[k + 1]}::DOUBLE END"
+        return f"{v[k] * n[k] + v[k + 1] * n[k + 1]}::DOUBLE / {n[k] + n[k + 1]}"
+    left, right = side(0, low), side(2, high)
+    if "a" in known:
+        return f"(CASE WHEN {first} <= {limit} THEN {left} ELSE {right} END)"
+    return f"(({sum(n[:2])} * ({left}) + {sum(n[2:])} * ({right})) / {sum(n)})"
+
+
+def _pair_phi_sql(column):
+    parts = ["0"]
+    for pair in _PAIRS:
+        for own, other, name in (("a", "b", pair[0]), ("b", "a", pair[2])):
+            if name == column:
+                parts.append(f"({_pair_sql(pair, own)} - {_pair_sql(pair, '')} + {_pair_sql(pair, 'ab')}"
+                             f" - {_pair_sql(pair, other)}) / 2")
+    return " + ".join(parts)
+
+
+@query("m15_shap_trees", f"""
+SELECT {', '.join(_LINE_KEY)}, round({' + '.join(_pair_sql(p, '') for p in _PAIRS)}, 9) AS base_value,
+       {', '.join(f'round({_pair_phi_sql(c)}, 9) AS phi_{c}' for c in _LINES)}
+FROM lineitem""")
+def shap_trees(spark, sf_dir):
+    """Attributions of given trees: SQL works out every subset of a tree's two columns."""
+    phi = explain.shap_values(_pairs_model(), table(spark, sf_dir, "lineitem"), _LINES, _LINE_KEY)
+    return rounded(phi, ["base_value", *[f"phi_{c}" for c in _LINES]], 9)
+
+
+@query("m18_score_trees", f"""
+SELECT {', '.join(_LINE_KEY)}, round(p, 4) AS risk_score,
+       CASE WHEN p >= 0.6 THEN 'HIGH' WHEN p >= 0.35 THEN 'ELEVATED' ELSE 'LOW' END AS risk_tier
+FROM (SELECT *, 1 / (1 + exp(-({' + '.join(_pair_sql(p, 'ab') for p in _PAIRS)}))) AS p FROM lineitem)""")
+def score_trees(spark, sf_dir):
+    """Scores and tiers of given trees, saved and loaded again."""
+    path = scratch_path(spark, "given")
+    train.save_model(_pairs_model(), path)
+    return score.score_batch(train.load_model(path), table(spark, sf_dir, "lineitem"), _LINE_KEY)
+
+
 _WEIGHTS = {"l_quantity": 0.5, "l_extendedprice": -0.001, "l_discount": 20.0, "l_tax": -30.0}
 
 
