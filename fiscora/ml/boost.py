@@ -8,7 +8,9 @@ Margins move on with every tree and are written with the blocks every few rounds
 a lost task repeats little.
 
 What reaches the driver has a size of tasks x nodes x columns x bins, never of rows,
-and the number of tasks is bounded: with more rows, each holds more blocks.
+and the number of tasks is bounded: with more rows, each holds more blocks. Where the
+rows are worth one task only, its sums are those of all, so it grows tree after tree
+by the same steps without asking the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -26,7 +29,7 @@ from fiscora.ml.trees import Tree, margins
 from fiscora.session import hand_over
 
 BLOCK_ROWS = 1 << 16
-TASK_ROWS = 1 << 14         # rows that are worth a task of their own
+TASK_ROWS = 1 << 17         # rows that are worth a task: their sums take about as long as a job's start
 MOST_TASKS = 64             # tasks that send sums to the driver, some 10 MB at the deepest level
 WRITE_EVERY = 20            # rounds after which margins are written
 ACCURACY = 10_000           # of the sketch: ranks are off by at most rows / ACCURACY
@@ -178,6 +181,36 @@ def _split(sums: np.ndarray, tree: _Growing, level: int, rate: float) -> None:
             tree.value[child] = -rate * cg[f, k, b] / (ch[f, k, b] + RIDGE)
 
 
+def _grow(total, size: int, depth: int, rate: float) -> _Growing:
+    """One tree; ``total`` sums a function of blocks over all of them."""
+    tree = _Growing.of(depth)
+    for level in range(depth):
+        sums = total(lambda b, level=level: b.histograms(size, tree, level))
+        if level == 0:
+            g, h = sums[:, 0].sum(axis=(1, 2))
+            tree.value[0] = -rate * g / (h + RIDGE)
+        _split(sums, tree, level, rate)
+        if not (tree.feature[(1 << level) - 1:(2 << level) - 1] >= 0).any():
+            break
+    return tree
+
+
+def _covers(block: _Block, grown: Sequence[_Growing]) -> np.ndarray:
+    """Rows in every leaf of every tree."""
+    return np.stack([np.bincount(t.place(block.bins), minlength=len(t.value)) for t in grown])
+
+
+def _grow_alone(blocks: Iterator[_Block], rounds: int, size: int, depth: int, rate: float) -> list[tuple]:
+    """All trees and their covers from a task that holds all rows."""
+    first = list(blocks)
+    held, grown = first, []
+    for _ in range(rounds):
+        tree = _grow(lambda of: sum(map(of, held)), size, depth, rate)
+        held = [b.after(tree) for b in held]
+        grown.append(tree)
+    return list(zip(grown, sum(_covers(b, grown) for b in first)))
+
+
 def fit_boosted(df: DataFrame, features: Sequence[str], label: str, rounds: int = 300, rate: float = 0.05,
                 depth: int = 5, bins: int = 64, pos_weight: float | None = None) -> BoostedModel:
     """Boosted trees on the log loss; positives weigh negatives / positives unless given.
@@ -200,43 +233,47 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, rounds: int
                       F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(1.0).alias("_w"))
     blocks = hand_over(ready.repartition(tasks).mapInArrow(lambda it: _pack(it, cuts), _BLOCK_DDL), "blocks")
     held = blocks.rdd.map(lambda b: _Block.at(*_unpack(b, width))).persist()
-    grown: list[_Growing] = []
-    before = None               # kept until the margins made from it are there
+    if not rounds:
+        found = []
+    elif tasks == 1:
+        found = held.coalesce(1).mapPartitions(lambda it: _grow_alone(it, rounds, size, depth, rate)).collect()
+    else:
+        found = _grow_together(held, rounds, width, size, depth, rate)
+    held.unpersist()
+    out = []
+    for tree, cover in found:
+        for node in range(len(cover) // 2 - 1, -1, -1):
+            cover[node] += cover[2 * node + 1] + cover[2 * node + 2]
+        out.append(tree.freeze(cuts, cover))
+    return BoostedModel(features, tuple(out))
+
+
+def _grow_together(first: RDD, rounds: int, width: int, size: int, depth: int, rate: float) -> list[tuple]:
+    """All trees and their covers: a job per level, margins moved on by the next tree's first job."""
+    spark = SparkSession.getActiveSession()
+    held, before, grown = first, None, []
 
     def total(of) -> np.ndarray:
         """Sums over the blocks of each task, then over the tasks."""
         return sum(held.mapPartitions(lambda it: [sum(map(of, it))]).collect())
 
     for r in range(rounds):
-        tree = _Growing.of(depth)
-        for level in range(depth):
-            sums = total(lambda b, tree=tree, level=level: b.histograms(size, tree, level))
-            if level == 0:
-                g, h = sums[:, 0].sum(axis=(1, 2))
-                tree.value[0] = -rate * g / (h + RIDGE)
-            _split(sums, tree, level, rate)
-            if not (tree.feature[(1 << level) - 1:(2 << level) - 1] >= 0).any():
-                break
+        tree = _grow(total, size, depth, rate)
         grown.append(tree)
-        # The next tree's first job moves the margins on.
         old, held = held, held.map(lambda b, tree=tree: b.after(tree)).persist()
         if (r + 1) % WRITE_EVERY == 0:
             rows = held.map(lambda b: tuple(bytearray(x.tobytes()) for x in (b.bins, b.label, b.weight, b.margin)))
-            blocks = hand_over(df.sparkSession.createDataFrame(rows, _BLOCK_DDL, verifySchema=False), "blocks")
+            blocks = hand_over(spark.createDataFrame(rows, _BLOCK_DDL, verifySchema=False), "blocks")
             held.unpersist()
             held = blocks.rdd.map(lambda b: _Block.at(*_unpack(b, width))).persist()
+        # The last but one is let go: the margins made from it are there by now.
         if before is not None:
             before.unpersist()
         before = old
-    cover = total(lambda b: np.stack([np.bincount(t.place(b.bins), minlength=len(t.value)) for t in grown])) \
-        if grown else []
+    cover = total(lambda b: _covers(b, grown))
     for rdd in (held, before):
-        if rdd is not None:
-            rdd.unpersist()
-    for own in cover:
-        for node in range(len(own) // 2 - 1, -1, -1):
-            own[node] += own[2 * node + 1] + own[2 * node + 2]
-    return BoostedModel(features, tuple(t.freeze(cuts, c) for t, c in zip(grown, cover)))
+        rdd.unpersist()
+    return list(zip(grown, cover))
 
 
 def _apply(model: BoostedModel, df: DataFrame, keep: Sequence[str], out: StructField, values) -> DataFrame:

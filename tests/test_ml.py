@@ -247,7 +247,7 @@ def plain_boosting(x, y, weight, cuts, rounds, rate, depth):
     return np.array(out).T
 
 
-@pytest.mark.parametrize("task_rows, block_rows, every", [(1 << 14, 1 << 16, 20), (50, 20, 2)])
+@pytest.mark.parametrize("task_rows, block_rows, every", [(1 << 17, 1 << 16, 20), (1 << 17, 50, 20), (50, 20, 2)])
 def test_boosting_against_a_plain_version(rows, monkeypatch, task_rows, block_rows, every):
     for name, value in (("TASK_ROWS", task_rows), ("BLOCK_ROWS", block_rows), ("WRITE_EVERY", every)):
         monkeypatch.setattr(boost, name, value)
