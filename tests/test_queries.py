@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
@@ -26,12 +24,6 @@ def test_registration():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-# These fit 300 rounds; SLOW=1 runs them here too, `python -m tests.oracle 0.01 m7 m15 l5` always.
-SLOW = {"m7_train_boosted", "m15_shap_values", "l5_study"}
-
-
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_matches_sql(spark, con, name):
-    if name in SLOW and not os.environ.get("SLOW"):
-        pytest.skip("fits 300 rounds; set SLOW=1")
     assert compare(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) is None
