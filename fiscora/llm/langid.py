@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fiscora.llm.registry import query, table
 from fiscora.llm.slabs import Slab, fields, record, slabs
-from fiscora.session import hand_over
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400     # bound of the sample that the classifier is fitted on

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from math import log
 
 import numpy as np
 import pyarrow as pa

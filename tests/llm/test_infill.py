@@ -6,7 +6,6 @@ import re
 from hashlib import sha256
 
 import numpy as np
-import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
