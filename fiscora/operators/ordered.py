@@ -211,18 +211,8 @@ def one_row(quantiles: DataFrame, cols: Sequence[str], prefix: str = "") -> Data
         for c in cols])
 
 
-def lag_within(df: DataFrame, key: str, order: str, col: str, out: str, n: int = 1,
-               tie_breaks: Sequence[str] = (), bits: int | None = None) -> DataFrame:
-    """Value of ``col`` ``n`` rows earlier in the same ``key``, also for hot keys.
-
-    A key's rows are split at global range limits of the numeric or time
-    column ``order``; the first row of a range looks up the last row of the
-    key's range before it. Rows must be totally ordered by ``order`` and
-    ``tie_breaks`` within a key.
-    """
-    if n < 1:
-        raise ValueError("n must be at least 1")
-    number = "_order"
+def _value_ranges(df: DataFrame, order: str, bits: int) -> DataFrame:
+    """Add the range of the numeric or time column ``order``."""
     dtype = dict(df.dtypes)[order]
     as_number = F.col(order)
     if dtype == "timestamp_ntz":
@@ -231,10 +221,31 @@ def lag_within(df: DataFrame, key: str, order: str, col: str, out: str, n: int =
         as_number = F.unix_micros(order)
     elif dtype == "date":
         as_number = F.unix_date(order)
+    number = as_number.cast("double")
+    return split_ranges(df.withColumn("_order", number), "_order", bits, source=df.select(number.alias("_order")))
+
+
+def lag_within(df: DataFrame, key: str, order: str, col: str, out: str, n: int = 1,
+               tie_breaks: Sequence[str] = (), bits: int | None = None) -> DataFrame:
+    """Value of ``col`` ``n`` rows earlier in the same ``key``, also for hot keys.
+
+    A key's rows are split at global range limits; the first row of a range
+    looks up the last row of the key's range before it. Rows must be totally
+    ordered by ``order`` and ``tie_breaks`` within a key. With tie-breaks a key
+    may have many rows of one ``order`` value, so limits are rows of the whole
+    order, of any types, and each row's range is written with it. Without,
+    ``order`` is a number or time whose limits come from a sketch.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
     if bits is None:
         bits = range_bits(df.select(key).count())
-    ranged = split_ranges(df.withColumn(number, as_number.cast("double")), number, bits,
-                          source=df.select(as_number.cast("double").alias(number)))
+    if tie_breaks:
+        ranged = hand_over(df.repartitionByRange(
+            1 << bits, *[F.col(c).asc_nulls_first() for c in (order, *tie_breaks)])
+            .withColumn("_range", F.spark_partition_id()), "ranges")
+    else:
+        ranged = _value_ranges(df, order, bits)
     sort = [F.col(c).asc() for c in (order, *tie_breaks)]
     within = Window.partitionBy(key, "_range").orderBy(*sort)
     latest = Window.partitionBy("_key", "_tail_range").orderBy(F.desc("_at"))

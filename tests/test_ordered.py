@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fiscora.operators import aggregates, ordered, windows
+from fiscora.session import hand_over
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +96,25 @@ def test_lag_within_hot_key(skewed, n):
                                    check_dtype=False)
 
 
+@pytest.mark.parametrize("n", [1, 2])
+def test_lag_within_one_time_of_a_hot_key(spark, monkeypatch, n):
+    """A key with half of all rows has a third of them at one time, which only the tie-breaks order."""
+    rng = random.Random(8)
+    rows = [("hot" if i % 2 else f"k{rng.randrange(9)}", 500 if i % 3 == 0 else rng.randrange(1000),
+             f"t{rng.randrange(50):02d}", i) for i in range(8000)]
+    df = spark.createDataFrame(rows, "key string, at int, tie string, id int").repartition(5)
+    written = []
+    monkeypatch.setattr(ordered, "hand_over", lambda d, name: written.append(hand_over(d, name)) or written[-1])
+    got = ordered.lag_within(df, "key", "at", "id", "before", n=n, tie_breaks=("tie", "id"), bits=4).toPandas()
+    pdf = df.toPandas().sort_values(["at", "tie", "id"])
+    pdf["before"] = pdf.groupby("key")["id"].shift(n)
+    merged = got.merge(pdf, on="id")
+    assert len(merged) == 8000
+    pd.testing.assert_series_equal(merged["before_x"], merged["before_y"], check_names=False, check_dtype=False)
+    sizes = [r["count"] for r in written[0].groupBy("_range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * np.median(sizes)
+
+
 def test_dedup_prunes_before_the_shuffle(spark, skewed):
     best = windows.dedup_best(skewed, ["key"], ["value"], ["label", "id"])
     plan = best._jdf.queryExecution().executedPlan().toString()
