@@ -9,6 +9,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -69,6 +70,87 @@ def test_decontamination_finds_edited_copies(spark):
     assert kept == set(range(200)) - {d for d, _ in want}
 
 
+def edited(rng, words, every, how):
+    """Every so many words replaced, dropped, followed by another, or one of these at random."""
+    out = []
+    for k, w in enumerate(words):
+        kind = rng.choice(["replace", "drop", "insert"]) if how == "mixed" else how
+        if k % every != every - 1:
+            out.append(w)
+        elif kind == "replace":
+            out.append("zz")
+        elif kind == "insert":
+            out += [w, "zz"]
+    return out
+
+
+def planted(rng, items, words_per_text=60):
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    docs, edits = [], []
+    for item, text in items:
+        for every in (2, 3, 4, 5):
+            for how in ("replace", "drop", "insert", "mixed"):
+                words = rng.choices(vocabulary, k=words_per_text)
+                words[20:20] = edited(rng, text.split(), every, how)
+                edits.append((len(docs), item, every, how))
+                docs.append((len(docs), " ".join(words)))
+    return docs, edits
+
+
+def test_decontamination_equals_aligning_all_pairs(spark):
+    """Common words throughout, so that seeds meet by chance as well."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(30)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 4, 5, 7, 12, 25, 40])))) for i in range(12)]
+    docs, _ = planted(rng, items, 30)
+    docs += [(1000 + i, " ".join(rng.choices(vocabulary, k=80))) for i in range(60)]
+    slab = slabs.Slab([t.encode() for _, t in docs], np.arange(len(docs)))
+    word, owner = decontaminate.item_words(slab)
+    cuts = slabs.starts_of(owner, len(docs))
+    asked = slabs.Slab([t.encode() for _, t in items], np.arange(len(items)))
+    own, of = decontaminate.item_words(asked)
+    for least in (0.5, 0.75):
+        want = {}
+        for d, (doc, _) in enumerate(docs):
+            passages = [word[cuts[d]:cuts[d + 1]]] * len(items)
+            each = [own[of == i] for i in range(len(items))]
+            score, _ = decontaminate.align(each, passages)
+            want.update({(doc, i): s / (2 * len(w)) for i, (s, w) in enumerate(zip(score, each))
+                         if s / (2 * len(w)) >= least})
+        rows = decontaminate.matches(frame(spark, docs), benchmark(spark, items), least=least).collect()
+        assert {(r.doc_id, r.item_id): r.score for r in rows} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("hits", [1 << 20, 64])
+def test_decontamination_recall_of_edited_copies(spark, monkeypatch, hits):
+    """Every copy whose alignment can reach the score is found, also if few hits fit in memory."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=30))) for i in range(25)]
+    docs, edits = planted(rng, items)
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    ids, words = pa.array([i for i, _ in items]), slabs.Slab([t.encode() for _, t in items], np.arange(len(items)))
+    own, of = decontaminate.item_words(words)
+    block = decontaminate.Items(ids, [own[of == i] for i in range(len(items))], {})
+    text, item, share, first, end = block.search(slabs.Slab([t.encode() for _, t in docs], np.arange(len(docs))))
+    found = set(zip(text.tolist(), item.tolist()))
+    for doc, i, every, how in edits:
+        # Matches less errors, at the least: an edit touches one word in ``every``.
+        lost = -(-30 // every) * {"replace": 3, "drop": 3, "insert": 1, "mixed": 3}[how]
+        if 60 - lost >= 30:
+            assert (doc, i) in found, (every, how)
+    assert (share >= 0.5).all() and (first >= 0).all() and (end > first).all()
+
+
+def test_seeds_do_not_depend_on_corpus_size():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 50, n).astype(np.uint64) for n in (3, 8, 30)]
+    counts = {w: int(rng.integers(0, 1000)) for w in range(50)}
+    once = decontaminate.Items(pa.array([1, 2, 3]), words, counts)
+    twice = decontaminate.Items(pa.array([1, 2, 3]), words, {w: 2 * n for w, n in counts.items()})
+    assert (once.seed == twice.seed).all() and (once.entry == twice.entry).all()
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     items = [rng.integers(2, 6, rng.integers(1, 12)).astype(np.uint64) for _ in range(40)]
