@@ -123,64 +123,63 @@ def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[st
                    method: str = "interpolate", keep_empty: bool = False) -> DataFrame:
     """Exact quantile per column (and group): rows (by..., column_name, n, value).
 
-    Groups without any value are left out unless ``keep_empty``. A first pass
-    brackets the wanted rank of every column with a mergeable sketch. Further
-    passes count what lies below the bracket and keep the distinct values inside
-    it, so next to nothing is shuffled; a small group's bracket holds all of it. ``method`` is
+    ``df`` is evaluated once: each distinct (column, group, value) becomes one
+    row with its count, and these rows are sorted by ranges and written. Counts
+    per group and range tell in which range a rank lies, and only such ranges
+    are ordered, so a hot group costs one or two of its ranges. ``method`` is
     ``interpolate`` (linear between neighbours) or ``element`` (the lower one).
+    NULL and NaN are no values; a NULL group is a group. Groups without any
+    value are left out unless ``keep_empty``; without rows there are no groups.
     """
-    by, cols = list(by), list(cols)
-    keys = by + ["column_name"]
-    wide = df.select(*by, *[
-        F.expr(f"nullif(cast(`{c}` AS double), double('NaN'))").alias(c) for c in cols])
-    brackets = _brackets(wide, cols, q, by)
-    if by:
-        bracketed = wide.join(brackets, _same_keys(by)).drop(*[f"_{c}" for c in by])
-    else:
-        row = brackets.first()
-        bracketed = wide.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType)
-                                      for f in brackets.schema.fields})
-
-    def stats(c: str) -> dict[str, Column]:
-        return {"n": F.any_value(f"_n_{c}"), "_lo": F.any_value(f"_lo_{c}"),
-                "_hi": F.any_value(f"_hi_{c}"),
-                "_below": F.count_if(F.col(c) < F.col(f"_lo_{c}"))}
-
-    facts = bracketed.groupBy(*by).agg(*[
-        F.struct(F.lit(c).alias("column_name"), *[v.alias(k) for k, v in stats(c).items()]).alias(c)
-        for c in cols]).select(*by, F.inline(F.array(*cols)))
-    facts = facts.select(*[F.col(c).alias(f"_{c}") for c in keys], "n", "_lo", "_hi", "_below")
-    inside = bracketed.select(*by, *[
-        F.when(F.col(c).between(F.col(f"_lo_{c}"), F.col(f"_hi_{c}")), F.col(c)).alias(c)
-        for c in cols])
-    # Small for big groups. The distinct values are ordered in as many ranges as they need.
-    ordered = running_sums(
-        inside.unpivot(by, cols, "column_name", "value").filter(F.col("value").isNotNull()),
-        "value", {"_c": F.count("*")}, keys)
-    if not by:
-        # One row per column.
-        facts = F.broadcast(facts)
-    same = _same_keys(keys)
-    first = F.col("_below") + F.col("_c_before")
-    through = ordered.join(facts, same, "inner").select(
-        *keys, "n", "value", first.alias("_first"), (first + F.col("_c") - 1).alias("_last"))
+    keys = list(by) + ["column_name"]
+    ranges = _value_counts(df, list(cols), list(by))
+    held = ranges.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in_range"))
+    # One row per group, and one more for each range limit inside a group.
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     rank = (F.col("n") - 1) * F.lit(float(q))
     low, high = F.floor(rank), F.ceil(rank)
+    held = held.withColumns({"n": F.sum("_in_range").over(group),
+                             "_before": F.coalesce(F.sum("_in_range").over(earlier), F.lit(0))})
+    wanted = held.filter((F.col("_before") <= high) & (low < F.col("_before") + F.col("_in_range")))
+    wanted = wanted.select(*[F.col(c).alias(f"_{c}") for c in keys],
+                           F.col("_range").alias("_in"), "n", "_before")
+    inside = (Window.partitionBy(*keys, "_range").orderBy("_v")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = (ranges.filter(F.col("_c") > 0)
+              .join(wanted, _same_keys(keys) & (F.col("_range") == F.col("_in")))
+              .withColumn("_first", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))))
 
     def at(place: Column) -> Column:
-        return F.max(F.when(place.between(F.col("_first"), F.col("_last")), F.col("value")))
+        here = (F.col("_first") <= place) & (place < F.col("_first") + F.col("_c"))
+        return F.max(F.when(here, F.col("_v")))
 
-    found = through.groupBy(*keys, "n").agg(at(low).alias("_v0"), at(high).alias("_v1"))
+    found = placed.groupBy(*keys, "n").agg(at(low).alias("_v0"), at(high).alias("_v1"))
     v0, v1 = F.col("_v0"), F.col("_v1")
     value = v0 if method == "element" else v0 + (v1 - v0) * (rank - low)
-    checked = F.when(v0.isNull() | v1.isNull(), F.raise_error(
-        F.lit("quantile rank outside its sketch bracket"))).otherwise(value)
-    values = found.select(*keys, "n", checked.cast("double").alias("value"))
+    values = found.select(*keys, "n", value.cast("double").alias("value"))
     if not keep_empty:
         return values
-    groups = facts.select(*[f"_{c}" for c in keys], F.col("n").alias("_n"))
-    return groups.join(values, same, "left").select(
-        *[F.col(f"_{c}").alias(c) for c in keys], F.col("_n").alias("n"), "value")
+    empty = held.groupBy(*keys).agg(F.max("n").alias("n")).filter("n = 0")
+    return values.unionByName(empty.withColumn("value", F.lit(None).cast("double")))
+
+
+def _value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Rows (by..., column_name, _v, _c, _range): distinct values with counts, written in order.
+
+    Equal values are merged in the tasks that read them. The merged rows are
+    what the range limits are sampled from, so ``df`` itself is read once. A
+    NULL stands for rows without a value and counts 0.
+    """
+    keys = [*by, "column_name"]
+    entries = F.array(*[F.struct(
+        F.lit(c).alias("column_name"),
+        F.expr(f"nullif(cast(`{c}` AS double), double('NaN'))").alias("_v")) for c in cols])
+    merged = (df.select(*by, F.inline(entries)).groupBy(*keys, "_v")
+              .agg(F.count("_v").alias("_c")))
+    order = [F.col(c).asc_nulls_first() for c in (*keys, "_v")]
+    return hand_over(merged.repartitionByRange(*order)
+                     .withColumn("_range", F.spark_partition_id()), "values")
 
 
 def _same_keys(keys: Sequence[str]) -> Column:
@@ -191,19 +190,6 @@ def _same_keys(keys: Sequence[str]) -> Column:
     return same
 
 
-def _brackets(wide: DataFrame, cols: Sequence[str], q: float, by: Sequence[str]) -> DataFrame:
-    """Count, lower and upper limit of the rank's bracket for every column."""
-    slack = 8.0 / SKETCH_ACCURACY
-    ends = f"array({max(q - slack, 0.0)}D, {min(q + slack, 1.0)}D)"
-    sketch = wide.groupBy(*by).agg(*[F.expr(e) for c in cols for e in (
-        f"count(`{c}`) AS `_n_{c}`", f"min(`{c}`) AS `_min_{c}`", f"max(`{c}`) AS `_max_{c}`",
-        f"percentile_approx(`{c}`, {ends}, {SKETCH_ACCURACY}) AS `_b_{c}`")])
-    # In a small group the slack is less than a few ranks: take all its values.
-    return sketch.selectExpr(*[f"`{c}` AS `_{c}`" for c in by], *[e for c in cols for e in (
-        f"`_n_{c}`", f"if(`_n_{c}` * {slack}D < 4, `_min_{c}`, `_b_{c}`[0]) AS `_lo_{c}`",
-        f"if(`_n_{c}` * {slack}D < 4, `_max_{c}`, `_b_{c}`[1]) AS `_hi_{c}`")])
-
-
 def one_row(quantiles: DataFrame, cols: Sequence[str], prefix: str = "") -> DataFrame:
     """Turn global (column_name, value) rows into one row with a column each."""
     return quantiles.agg(*[

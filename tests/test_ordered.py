@@ -55,10 +55,16 @@ def test_running_sums(skewed, descending):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-@pytest.mark.parametrize("accuracy,q", [
-    (20_000, 0.5), (100, 0.5), (100, 0.99), (100, 0.0), (100, 1.0), (20_000, 0.99)])
-def test_exact_quantile(monkeypatch, skewed, accuracy, q):
-    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", accuracy)
+@pytest.fixture
+def many_ranges(spark):
+    """Small partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("q", [0.0, 0.37, 0.5, 0.99, 1.0])
+def test_exact_quantile(many_ranges, skewed, q):
     pdf = skewed.toPandas()
     whole = ordered.exact_quantile(skewed, ["value", "label"], q).collect()
     for r in whole:
@@ -71,6 +77,37 @@ def test_exact_quantile(monkeypatch, skewed, accuracy, q):
         assert r["value"] == pytest.approx(want[r["key"] or "<null>"], rel=1e-12)
 
 
+def test_quantile_reads_its_input_once_and_splits_a_hot_group(spark, many_ranges, monkeypatch):
+    """One group has nearly all rows: many tasks order it, and every input row is seen once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(0, 40_000, 1, 6).select(
+        F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("k"),
+        F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
+    written = []
+    monkeypatch.setattr(ordered, "hand_over", lambda d, name: written.append(hand_over(d, name)) or written[-1])
+    got = {r["k"]: r["value"] for r in ordered.exact_quantile(
+        df.mapInPandas(count, df.schema), ["v"], 0.5, by=["k"]).collect()}
+    assert seen.value == 40_000
+    assert got == df.toPandas().groupby("k")["v"].median().to_dict()
+    sizes = [r["count"] for r in written[0].groupBy("_range").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 2 * np.median(sizes)
+
+
+def test_quantile_of_nothing(spark):
+    none = spark.createDataFrame([], "k string, v double")
+    assert ordered.exact_quantile(none, ["v"], 0.5, by=["k"], keep_empty=True).count() == 0
+    assert aggregates.fit_median(none, ["v"]).first()["v"] is None
+    gaps = spark.createDataFrame([(None, None), (None, float("nan")), ("a", -0.0), ("a", 0.0)], "k string, v double")
+    kept = ordered.exact_quantile(gaps, ["v"], 0.5, by=["k"], keep_empty=True).collect()
+    assert {r["k"]: (r["n"], r["value"]) for r in kept} == {None: (0, None), "a": (2, 0.0)}
+
+
 def test_median_element_and_empty_groups(spark):
     df = spark.createDataFrame([("a", float(i)) for i in (1, 2, 3, 4)] + [("b", None)],
                                "k string, v double")
