@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fiscora.functions.numeric import FEATURE_COLUMNS
 from fiscora.ml import boost, explain, metrics, neighbors, oversample, prep, rounds, runs, score, train, trees
 from fiscora.plans import modeling
+from fiscora.session import hand_over
 
 FEATURES = ["a", "b", "c"]
 
@@ -45,15 +46,22 @@ def test_prepare_fits_on_train_only(spark):
     assert all(r["medicaid_pct"] is not None for r in got)
 
 
-@pytest.mark.parametrize("cell_points", [8, 64, 10_000])
-def test_neighbors_match_brute_force(spark, monkeypatch, cell_points):
+def clumps():
+    """A dense clump, far outliers and a grid with very many equal distances."""
     rng = np.random.default_rng(1)
-    # A dense clump, far outliers and a grid with very many equal distances.
-    x = np.vstack([rng.normal(size=(150, 3)) * 1e-3, rng.normal(size=(30, 3)) * 100,
-                   np.array(list(itertools.product(range(5), repeat=3)), float)])
+    return np.vstack([rng.normal(size=(150, 3)) * 1e-3, rng.normal(size=(30, 3)) * 100,
+                      np.array(list(itertools.product(range(5), repeat=3)), float)])
+
+
+@pytest.mark.parametrize("cell_points,top,inner", [
+    (8, 12, 11), (64, 12, 11), (10_000, 12, 11), (8, 2, 2), (4, 1, 3)])
+def test_neighbors_match_brute_force(spark, monkeypatch, cell_points, top, inner):
+    """Also with cells cut in many levels."""
+    x = clumps()
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
                                    "id bigint, x array<double>")
-    got = neighbors.nearest_neighbors(points, "id", "x", 3, 5, len(x), cell_points, visit_chunk=20)
+    got = neighbors.nearest_neighbors(points, "id", "x", 3, 5, len(x), cell_points, visit_chunk=20,
+                                      top_depth=top, inner_depth=inner)
     found = {}
     for r in got.collect():
         found.setdefault(r["id"], []).append((r["d2"], r["neighbor"]))
@@ -63,6 +71,33 @@ def test_neighbors_match_brute_force(spark, monkeypatch, cell_points):
         assert sorted(found[i]) == want
 
 
+def test_cells_stay_small_and_few_pairs_are_compared(spark, monkeypatch):
+    """A short top tree leaves crowded cells, which further levels cut."""
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(3000, 4)) * 1e-3, rng.normal(size=(3000, 4))])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    written = {}
+
+    def keep(df, name):
+        written.setdefault(name, []).append(hand_over(df, name))
+        return written[name][-1]
+
+    monkeypatch.setattr(neighbors, "hand_over", keep)
+    near = neighbors.nearest_neighbors(points, "id", "x", 4, 5, len(x), cell_points=32,
+                                       top_depth=3, inner_depth=3).toPandas()
+    assert len(written["trees"]) >= 2
+    sizes = written["cells"][-1].groupBy("cell").count().toPandas()
+    assert sizes["count"].sum() == len(x) and sizes["count"].max() <= 64
+    size_of = sizes.set_index("cell")["count"]
+    visits = [v.select("cell").toPandas()["cell"] for v in written["visits"] if "first" not in v.columns]
+    pairs = (size_of ** 2).sum() + sum(size_of.reindex(v).fillna(0).sum() for v in visits)
+    assert pairs <= 0.1 * len(x) ** 2
+    for i in range(0, len(x), 97):
+        d2 = ((x[i] - x) ** 2).sum(axis=1)
+        d2[i] = np.inf
+        assert sorted(near[near["id"] == i]["neighbor"]) == sorted(np.argsort(d2)[:5])
+
+
 def test_smote_balances_inside_the_class(rows):
     both = oversample.smote(rows, FEATURES, "y", cell_points=16).cache()
     counts = {r["y"]: r["count"] for r in both.groupBy("y").count().collect()}

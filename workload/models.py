@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fiscora.functions import numeric
-from fiscora.ml import explain, metrics, oversample, prep, rounds, runs, score, train
+from fiscora.ml import explain, metrics, neighbors, oversample, prep, rounds, runs, score, train
 from fiscora.ml.boost import BoostedModel
 from fiscora.ml.trees import Tree
 from fiscora.operators import aggregates, windows
 from fiscora.session import hand_over, scratch_path
 from workload.binding import RATED, YEARS, rated_accounts, rounded_sql, with_
-from workload.registry import query, rounded, table
+from workload.registry import query, r, rounded, table
 
 FEATURES = numeric.FEATURE_COLUMNS
 LABEL = "distress_label"
@@ -100,6 +100,25 @@ def smote(spark, sf_dir):
         F.count("*").alias("rows"), F.every(inside).alias("inside"))
 
 
+@query("m4_neighbors", """
+WITH p AS (SELECT CAST(p_retailprice AS DOUBLE) AS price, CAST(p_size AS DOUBLE) AS size,
+             min(p_partkey) AS id FROM part GROUP BY ALL),
+d AS (SELECT a.id, b.id AS neighbor,
+        (a.price - b.price) * (a.price - b.price) + (a.size - b.size) * (a.size - b.size) AS d2
+      FROM p a JOIN p b ON a.id <> b.id)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY d2, neighbor) AS INTEGER) AS nth, neighbor,
+       round(d2, 6) AS d2
+FROM d QUALIFY nth <= 5""")
+def nearest_parts(spark, sf_dir):
+    """The search under oversampling, on its own: nearest other points of every distinct point."""
+    points = hand_over(
+        table(spark, sf_dir, "part")
+        .groupBy(F.col("p_retailprice").cast("double").alias("price"), F.col("p_size").cast("double").alias("size"))
+        .agg(F.min("p_partkey").alias("id")).select("id", F.array("price", "size").alias("x")), "points")
+    near = neighbors.nearest_neighbors(points, "id", "x", 2, 5, points.count(), cell_points=128)
+    return near.select("id", "nth", "neighbor", r("d2").alias("d2"))
+
+
 #: Least ROC-AUC on the rows a model was trained on, in hundredths.
 FLOORS = {"logistic": 50, "forest": 90, "boosted": 80}
 _FACTS = """
