@@ -1,13 +1,13 @@
 """Quality rules per document, judged together with the record of its host.
 
-Documents are measured and checked against rules; failures are summed per host;
-host rates are shrunk with a beta prior fitted to all hosts by moments; the
-verdict on a host is joined back to its documents.
+Documents are measured and checked against rules; failures of every rule are
+summed per host; each rule's host rates are shrunk with a beta prior fitted to
+all hosts by moments; the verdict on a host is joined back to its documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,14 @@ from fiscora.session import hand_over
 
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 50       # percent of words in repeated windows
-MAX_HOST_RATE = 0.9         # shrunk failure rate from which a whole host goes
+MAX_SYMBOL_SHARE = 10       # percent of characters in words
+WORDS_PER_DUP_LINE = 20     # fewer words than this for each repeated line
+MIN_WORD_CHARS = 2          # mean length of a word
+# A whole host goes if a rule's shrunk failure rate is above both of these: a
+# share of its documents, and so many deviations of the rule's prior over its mean.
+MAX_HOST_RATE = 0.5
+MAX_DEVIATIONS = 3.0
+MAX_LIMIT = 0.9             # a rate above this is too high whatever the prior
 REPEAT_WINDOW = 3
 SYMBOLS = "#*$%&|<>"
 
@@ -90,40 +97,67 @@ def fails(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_SHARE * n_words)
 
 
-def host_verdicts(rows: DataFrame, host: str = "host", failed: str = "base_failed",
-                  max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Per host: documents, failures, shrunk failure rate and whether it is kept.
+def rules() -> dict[str, Column]:
+    """What counts against a host, by name. ``base`` also decides on the document itself."""
+    n = F.col("n_words")
+    return {"base": F.col("base_failed"),
+            "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_SHARE * F.col("word_chars"),
+            "dup_lines": WORDS_PER_DUP_LINE * F.col("n_dup_lines") > n,
+            "fragments": F.col("word_chars") < MIN_WORD_CHARS * n}
 
-    The beta prior is fitted to the host rates by moments, each host weighted
-    by its documents; hosts that do not differ more than chance allows get a
-    prior so heavy that all share the overall rate. A NULL host is a host.
-    Failures are combined before rows move, so one host with a third of all
-    documents costs one row per task. Without rows there are no hosts.
+
+def host_verdicts(rows: DataFrame, checks: Mapping[str, Column], host: str = "host",
+                  max_rate: float = MAX_HOST_RATE, deviations: float = MAX_DEVIATIONS) -> DataFrame:
+    """Per host: documents, and for every check its failures and shrunk rate; the failed rule; the verdict.
+
+    Each check has a beta prior of its own, fitted to the host rates by moments,
+    each host weighted by its documents; hosts that do not differ more than
+    chance allows get a prior so heavy that all share the overall rate.
+    ``host_rule`` is the first check, in their order, by which the host goes. A
+    NULL host is a host, a NULL check no failure. Failures are combined before
+    rows move, so one host with a third of all documents costs one row per task.
+    Without rows there are no hosts.
     """
-    hosts = rows.groupBy(host).agg(F.count("*").alias("host_docs"),
-                                   F.count_if(failed).alias("host_failed"))
-    n, f = F.col("host_docs").cast("double"), F.col("host_failed").cast("double")
-    moments = hosts.agg(F.sum(n).alias("_n"), F.sum(f).alias("_f"), F.sum(f * f / n).alias("_ff"),
-                        F.count("*").alias("_hosts"))
-    mean = F.col("_f") / F.col("_n")
-    # Between-host variance: what is left of the spread after binomial noise.
-    spread = F.col("_ff") / F.col("_n") - mean * mean
-    noise = mean * (1 - mean) * F.col("_hosts") / F.col("_n")
-    between = F.greatest(spread - noise, F.lit(1e-9))
-    strength = F.greatest(mean * (1 - mean) / between - 1, F.lit(1e-3))
-    prior = moments.select(mean.alias("_mean"), strength.alias("_strength"))
-    # The prior is one row.
-    shrunk = (f + F.col("_mean") * F.col("_strength")) / (n + F.col("_strength"))
-    return hosts.join(F.broadcast(prior)).select(
-        host, "host_docs", "host_failed", shrunk.alias("host_rate"),
-        (shrunk <= max_rate).alias("host_kept"))
+    names = list(checks)
+    hosts = rows.groupBy(host).agg(F.count("*").alias("host_docs"), *[
+        F.count_if(check).alias(f"host_{name}_failed") for name, check in checks.items()])
+    n = F.col("host_docs").cast("double")
+    failed = {name: F.col(f"host_{name}_failed").cast("double") for name in names}
+    moments = hosts.agg(F.sum(n).alias("_n"), F.count("*").alias("_hosts"), *[c for name, f in failed.items() for c in (
+        F.sum(f).alias(f"_f_{name}"), F.sum(f * f / n).alias(f"_ff_{name}"))])
+    prior = []
+    for name in names:
+        mean = F.col(f"_f_{name}") / F.col("_n")
+        # Between-host variance: what is left of the spread after binomial noise.
+        spread = F.col(f"_ff_{name}") / F.col("_n") - mean * mean
+        noise = mean * (1 - mean) * F.col("_hosts") / F.col("_n")
+        between = F.greatest(spread - noise, F.lit(1e-9))
+        strength = F.greatest(mean * (1 - mean) / between - 1, F.lit(1e-3))
+        prior += [mean.alias(f"_mean_{name}"), strength.alias(f"_strength_{name}")]
+
+    def rate(name: str) -> Column:
+        strength = F.col(f"_strength_{name}")
+        return (failed[name] + F.col(f"_mean_{name}") * strength) / (n + strength)
+
+    def limit(name: str) -> Column:
+        mean = F.col(f"_mean_{name}")
+        deviation = F.sqrt(mean * (1 - mean) / (F.col(f"_strength_{name}") + 1))
+        return F.greatest(F.lit(float(max_rate)), F.least(mean + deviations * deviation, F.lit(MAX_LIMIT)))
+
+    rule = F.coalesce(*[F.when(rate(name) > limit(name), F.lit(name)) for name in names])
+    # The priors are one row.
+    return hosts.join(F.broadcast(moments.select(*prior))).select(
+        host, "host_docs", *[f"host_{name}_failed" for name in names],
+        *[rate(name).alias(f"host_{name}_rate") for name in names],
+        rule.alias("host_rule"), rule.isNull().alias("host_kept"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
           max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Measures, base verdict, host record and final verdict of every document.
 
-    A document is kept if it passes the rules itself and its host is kept.
+    A document is kept if it passes the base rules itself and its host is kept;
+    the host's record also counts rules() that alone drop no document.
     Empty and NULL texts fail (no words). Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
@@ -132,7 +166,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     measured = hand_over(
         base.mapInArrow(_measure_with_host, f"doc_id long, host string, {_MEASURES}")
         .withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words"))), "quality")
-    verdicts = hand_over(host_verdicts(measured, max_rate=max_rate), "hosts")
+    verdicts = hand_over(host_verdicts(measured, rules(), max_rate=max_rate), "hosts")
     hosts = verdicts.withColumnRenamed("host", "_host")
     # Sized at run time: few hosts are broadcast, many are joined with split hot hosts.
     joined = measured.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
@@ -166,12 +200,20 @@ m AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words,
         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM b GROUP BY source),
-q AS (SELECT sum(f) / sum(n) AS mu, sum(f * f / n) / sum(n) AS ff, count(*) / sum(n) AS hn FROM h),
-s AS (SELECT mu, greatest(mu * (1 - mu) / greatest(ff - mu * mu - mu * (1 - mu) * hn, 1e-9) - 1, 1e-3) AS st FROM q),
-v AS (SELECT source, n::BIGINT AS host_docs, f::BIGINT AS host_failed, (f + mu * st) / (n + st) <= 0.9 AS ok FROM h, s)
+o AS (SELECT source, count(*)::DOUBLE AS n, [
+        count(*) FILTER (base_failed), count(*) FILTER (100 * n_symbols > 10 * word_chars),
+        count(*) FILTER (20 * n_dup_lines > n_words), count(*) FILTER (word_chars < 2 * n_words)] AS fs
+      FROM b GROUP BY source),
+h AS (SELECT source, n, unnest([0, 1, 2, 3]) AS k, unnest(fs)::DOUBLE AS f FROM o),
+q AS (SELECT k, sum(f) / sum(n) AS mu, sum(f * f / n) / sum(n) AS ff, count(*) / sum(n) AS hn FROM h GROUP BY k),
+s AS (SELECT k, mu, greatest(mu * (1 - mu) / greatest(ff - mu * mu - mu * (1 - mu) * hn, 1e-9) - 1, 1e-3) AS st FROM q),
+j AS (SELECT source, n, k, f, (f + mu * st) / (n + st)
+        > greatest(0.5, least(mu + 3 * sqrt(mu * (1 - mu) / (st + 1)), 0.9)) AS bad FROM h JOIN s USING (k)),
+v AS (SELECT source, any_value(n)::BIGINT AS host_docs, max(f) FILTER (k = 0)::BIGINT AS host_failed,
+        ['base', 'symbols', 'dup_lines', 'fragments'][min(k) FILTER (bad) + 1] AS host_rule
+      FROM j GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       host_docs, host_failed, NOT base_failed AND ok AS kept
+       host_docs, host_failed, host_rule, NOT base_failed AND host_rule IS NULL AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
@@ -180,4 +222,5 @@ FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "host_docs", "host_failed", "kept")
+        "base_failed", "host_docs", F.col("host_base_failed").alias("host_failed"),
+        "host_rule", "kept")

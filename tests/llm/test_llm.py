@@ -269,6 +269,16 @@ def test_training_raises_the_likelihood(spark):
     assert all(b > a - 1e-6 for a, b in zip(history, history[1:])) and history[-1] > history[0] + 10
 
 
+def test_sums_of_many_tasks_are_added_up_in_a_tree(spark):
+    rng = np.random.default_rng(2)
+    rows = [(bytearray(rng.integers(0, 6, 30).astype(np.uint16).tobytes()),) for _ in range(400)]
+    one = spark.createDataFrame(rows, "kinds binary").coalesce(1)
+    many = one.repartition(hmm.FAN_IN * hmm.FAN_IN + 5)
+    share = np.full(6, 1 / 6)
+    (a, first), (b, second) = (hmm.train(df, share, iterations=2, states=3) for df in (one, many))
+    assert np.allclose(first, second) and np.allclose(a.emit, b.emit) and np.allclose(a.shift, b.shift)
+
+
 def test_language_model_odd(spark, odd, empty):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     rows = hmm.score(odd, held, iterations=1).collect()
@@ -684,6 +694,24 @@ def test_bad_hosts_lose_all(spark):
     assert all(rows[i] for i in range(100)) and not rows[2000]
 
 
+def test_a_host_goes_by_any_rule(spark):
+    """Symbols, repeated lines and scraps of words drop no document, but a host full of them."""
+    words = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta") for b in range(30)]
+    clean = " ".join(words)
+    letters = random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=400)
+    bad = {"marks": " ".join("#|" + w for w in words), "scraps": " ".join(letters),
+           "lines": "\n".join(words[:90] + ["the same"] * 10)}
+    docs = [(i, clean, "en", f"h{i % 8}") for i in range(160)]
+    for at, (host, text) in enumerate(bad.items()):
+        docs += [(1000 * (at + 1) + i, text, "en", host) for i in range(40)] + [(5000 + at, clean, "en", host)]
+    docs += [(9000 + i, None if i % 2 else clean, "en", None) for i in range(4)]
+    rows = {r.doc_id: r for r in quality.judge(frame(spark, docs)).collect()}
+    assert all(rows[i].kept for i in range(160)) and rows[9000].kept and not rows[9001].kept
+    assert [rows[5000 + at].host_rule for at in range(3)] == ["symbols", "fragments", "dup_lines"]
+    assert not any(rows[5000 + at].kept or rows[5000 + at].base_failed for at in range(3))
+    assert not rows[1000].base_failed and not rows[3000].base_failed and rows[1000].host_symbols_failed == 40
+
+
 # the pipeline
 
 def test_pipeline(spark, odd):
