@@ -31,6 +31,7 @@ ENDINGS = 768               # classes of the other words
 CLASSES = 1 + OWN + ENDINGS
 LOOKUP_WORDS = 1 << 20      # most words in the broadcast table, 16 bytes each
 PIECE = 128
+FAN_IN = 16                 # rows of sums that one task adds up
 ITERATIONS = 5
 UNIT_WORDS = 400_000
 SEED = 11
@@ -274,18 +275,22 @@ def train(sequences: DataFrame, class_share: np.ndarray, iterations: int = ITERA
           states: int = STATES, seed: int = SEED) -> tuple[Model, list[float]]:
     """Baum-Welch over all rows of ``sequences`` (kinds); also the log likelihood per iteration.
 
-    The driver receives about the square root of the number of tasks in rows,
-    each as large as the model. Without sequences the initial model is returned.
+    Tasks' sums are added up in groups of FAN_IN until one row is left, which the
+    driver receives. Without sequences the initial model is returned.
     """
     spark = sequences.sparkSession
     model, history = Model.initial(class_share, states, seed), []
     k, classes = model.emit.shape
-    ways = max(1, math.isqrt(sequences.rdd.getNumPartitions()))
+    tasks = sequences.rdd.getNumPartitions()
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(model)
         rows = sequences.select("kinds").mapInArrow(
             lambda it: _expected_sums(it, shared.value), "sums array<double>")
-        sums = rows.repartition(ways).mapInArrow(_add_up, "sums array<double>").collect()
+        left = tasks
+        while left > 1:
+            left = -(-left // FAN_IN)
+            rows = rows.repartition(left).mapInArrow(_add_up, "sums array<double>")
+        sums = rows.collect()
         shared.unpersist()
         if not sums:
             break
