@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fiscora.functions.numeric import FEATURE_COLUMNS
-from fiscora.ml import boost, explain, metrics, neighbors, oversample, prep, rounds, runs, score, train, trees
+from fiscora.ml import (
+    boost, explain, forest, metrics, neighbors, oversample, prep, rounds, runs, score, train, trees)
 from fiscora.plans import modeling
 from fiscora.session import hand_over
 
@@ -306,6 +307,64 @@ def test_boosting_on_odd_tables(rows):
         boost.fit_boosted(rows.withColumn("a", F.when(F.col("id") > 3, F.col("a"))), FEATURES, "y", rounds=1)
 
 
+def plain_tree(bins, y, weight, depth):
+    """Leaf shares of positives of one Gini tree on all rows and columns."""
+    p = np.average(y, weights=weight)
+    best = (1e-12 * weight.sum(), None)
+    if depth and 0 < p < 1:
+        whole = weight.sum() * (p ** 2 + (1 - p) ** 2)
+        for f in range(bins.shape[1]):
+            for b in range(bins[:, f].max()):
+                low = bins[:, f] <= b
+                if low.any() and not low.all():
+                    gain = -whole
+                    for side in (low, ~low):
+                        q = np.average(y[side], weights=weight[side])
+                        gain += weight[side].sum() * (q ** 2 + (1 - q) ** 2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, low)
+    out = np.full(len(y), p)
+    if best[1] is not None:
+        for side in (best[1], ~best[1]):
+            out[side] = plain_tree(bins[side], y[side], weight[side], depth - 1)
+    return out
+
+
+def test_one_tree_of_a_forest_against_a_plain_version(rows):
+    model = train.train_forest(rows, FEATURES, "y", trees=1, depth=3)
+    pdf = rows.orderBy("id").toPandas()
+    y = pdf["y"].to_numpy()
+    cuts = boost._cuts(rows, FEATURES, 64)
+    bins = np.stack([np.searchsorted(c, pdf[f]) for c, f in zip(cuts, FEATURES)], axis=1)
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    got = score.probability(model, rows, ["id"]).orderBy("id").toPandas()["probability"]
+    assert np.allclose(got, plain_tree(bins, y, weight, 3), atol=1e-9)
+
+
+def test_forest_grows_in_groups_of_bounded_size(rows, monkeypatch, tmp_path):
+    """Trees do not depend on which others are grown with them, and are kept as they are."""
+    whole = train.train_forest(rows, FEATURES, "y", trees=4, depth=4)
+    monkeypatch.setattr(forest, "GROUP_CELLS", 1)
+    monkeypatch.setattr(forest, "STRETCH", 2)
+    alone = train.train_forest(rows, FEATURES, "y", trees=4, depth=4)
+    train.save_model(alone, str(tmp_path / "f"))
+    again = train.load_model(str(tmp_path / "f"))
+    assert len({t.value.tobytes() for t in whole.trees}) == 4
+    for a, b, c in zip(whole.trees, alone.trees, again.trees):
+        for name in ("feature", "threshold", "left", "right", "value", "cover"):
+            assert np.array_equal(getattr(a, name), getattr(b, name), equal_nan=True)
+            assert np.array_equal(getattr(a, name), getattr(c, name), equal_nan=True)
+
+
+def test_forest_on_odd_tables(rows):
+    none = train.train_forest(rows.limit(0), FEATURES, "y", trees=3)
+    assert none.trees == ()
+    one = train.train_forest(rows.filter("y = 1"), FEATURES, "y", trees=3)
+    assert score.probability(one, rows, ["id"]).filter("abs(probability - 1) > 1e-9").count() == 0
+    with pytest.raises(ValueError):
+        train.train_forest(rows.withColumn("y", F.when(F.col("id") > 3, F.col("y"))), FEATURES, "y", trees=1)
+
+
 def test_forest_and_linear_attributions_add_up(rows):
     forest = train.train_forest(rows, FEATURES, "y", trees=5, depth=5)
     phi = explain.shap_values(forest, rows, FEATURES, ["id"]).toPandas().set_index("id")
