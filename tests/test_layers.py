@@ -12,6 +12,7 @@ from fiscora.functions.numeric import FEATURE_COLUMNS, FINANCIAL_COLUMNS
 from fiscora.operators.columns import sanitize_columns_snake
 from fiscora.plans import bronze, eda, gold, silver
 from fiscora.sources.csv import read_csv, read_csv_many
+from workload import plans
 
 HEAD = ["Provider CCN", "Hospital Name", "State Code", "County", "Fiscal Year End Date"]
 AMOUNT_HEAD = [c.replace("_", " ").title() for c in FINANCIAL_COLUMNS]
@@ -205,3 +206,19 @@ def test_headers_of_files_in_a_folder_are_matched_by_name(spark, tmp_path):
     assert rows == {"1": ("20", "200"), "2": ("30", "300")}
     with pytest.raises(Exception, match="(?i)header"):
         read_csv(spark, str(folder), schema).collect()
+
+
+def test_filings_are_written_in_parts_from_one_evaluation(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    raw = spark.range(0, 30, 1, 2).mapInPandas(count, "id long")
+    parts = plans._write_parts(spark, raw, F.when(F.col("id") < 10, "early").when(F.col("id") > 10, "late"),
+                               ("early", "late", "never"), str(tmp_path / "filings"))
+    assert seen.value == 30
+    rows = [spark.read.option("header", True).csv(p) for p in parts]
+    assert [r.columns for r in rows] == [["id"]] * 3 and [r.count() for r in rows] == [10, 19, 0]

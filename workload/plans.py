@@ -27,6 +27,18 @@ def margin_by_year(spark, sf_dir):
         F.count("*").alias("filings"), r(F.avg("operating_margin")).alias("avg_operating_margin"))
 
 
+def _write_parts(spark, raw, part, names, root):
+    """CSV of the rows in a folder per part, from one evaluation of ``raw``; a part without rows
+    is a header."""
+    raw.withColumn("part", part).filter("part IS NOT NULL").write.partitionBy("part").option("header", True).csv(root)
+    folders = [f"{root}/part={name}" for name in names]
+    for folder in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            raw.limit(0).write.option("header", True).csv(folder)
+    return folders
+
+
 @query("l1_bronze", with_(RAW, """
 SELECT filing_id::VARCHAR AS filing_id, provider_ccn AS "Provider_CCN", hospital_name AS "Hospital_Name",
        round(total_patient_revenue, 4) AS total_patient_revenue,
@@ -40,17 +52,17 @@ def bronze_layer(spark, sf_dir):
         {"provider_ccn": "Provider CCN", "hospital_name": "Hospital Name"})
     root = scratch_path(spark, "raw")
     year = F.right("fiscal_year_end_date", F.lit(4))
-    for part, keep in (("early", year <= "1998"), ("late", year > "1998")):
-        raw.filter(keep).write.option("header", True).csv(f"{root}/{part}")
+    parts = _write_parts(spark, raw, F.when(year <= "1998", "early").when(year > "1998", "late"),
+                         ("early", "late"), f"{root}/filings")
     for name, rows in (("rurality", rurality(spark, sf_dir)), ("closures", closures(spark, sf_dir))):
         rows.write.option("header", True).csv(f"{root}/{name}")
-    tables = bronze.ingest(spark, [f"{root}/early", f"{root}/late"], f"{root}/rurality",
+    tables = bronze.ingest(spark, parts, f"{root}/rurality",
                            f"{root}/closures", bronze.BronzePaths.under(scratch_path(spark, "bronze")))
     counts = {name: tables[name].agg(F.count("*")).scalar() for name in ("rurality", "closures")}
     return tables["filings"].select(
         "filing_id", "Provider_CCN", "Hospital_Name",
         r(F.col("total_patient_revenue").cast("double"), 4).alias("total_patient_revenue"),
-        F.element_at(F.split("source_file", "/"), -2).alias("source"),
+        F.regexp_replace(F.element_at(F.split("source_file", "/"), -2), "^part=", "").alias("source"),
         counts["rurality"].alias("counties"), counts["closures"].alias("events"))
 
 
