@@ -8,6 +8,7 @@ third of all rows is still spread over many tasks.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,6 +18,9 @@ from fiscora.session import hand_over
 RANGE_ROWS = 1_000_000
 RANGE_BITS = 3
 SKETCH_ACCURACY = 20_000
+# Rows that tell about where a rank of all rows lies, and how far off that may be.
+GUESS_ROWS = 1_000_000
+GUESS_SLACK = 0.004
 
 
 def surrogate_key(df: DataFrame, order_cols: Sequence[str], out: str, start: int = 1) -> DataFrame:
@@ -123,7 +127,10 @@ def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[st
                    method: str = "interpolate", keep_empty: bool = False) -> DataFrame:
     """Exact quantile per column (and group): rows (by..., column_name, n, value).
 
-    ``df`` is evaluated once: each distinct (column, group, value) becomes one
+    ``df`` is evaluated once. Without groups its columns are written, a guess tells
+    between which two values the rank lies, and all others are only counted; if the
+    counts show that a rank lies elsewhere, or with groups, all values are kept:
+    each distinct (column, group, value) becomes one
     row with its count, and these rows are sorted by ranges and written. Counts
     per group and range tell in which range a rank lies, and only such ranges
     are ordered, so a hot group costs one or two of its ranges. ``method`` is
@@ -132,7 +139,7 @@ def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[st
     value are left out unless ``keep_empty``; without rows there are no groups.
     """
     keys = list(by) + ["column_name"]
-    ranges = _value_counts(df, list(cols), list(by))
+    ranges = _value_counts(df, list(cols), list(by)) if by else _near_rank(df, list(cols), q)
     held = ranges.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in_range"))
     # One row per group, and one more for each range limit inside a group.
     group = Window.partitionBy(*keys)
@@ -164,6 +171,40 @@ def exact_quantile(df: DataFrame, cols: Sequence[str], q: float, by: Sequence[st
     return values.unionByName(empty.withColumn("value", F.lit(None).cast("double")))
 
 
+def _near_rank(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:
+    """As ``_value_counts`` without groups, but only with the values around the rank.
+
+    Those below and above are one row each. A column's limits are guessed from a part of
+    the rows; the counts are exact, and tell whether the rank is between them.
+    """
+    places = [f"_x{i}" for i in range(len(cols))]
+    held = hand_over(df.select(*[
+        F.expr(f"nullif(cast(`{c}` AS double), double('NaN'))").alias(p) for c, p in zip(cols, places)]), "columns")
+    rows = max(held.count(), 1)
+    some = held.sample(GUESS_ROWS / rows, seed=42) if rows > 2 * GUESS_ROWS else held
+    off = 3 / SKETCH_ACCURACY + 30 / rows + (GUESS_SLACK if some is not held else 0)
+    limits = some.agg(*[F.percentile_approx(p, [max(0.0, q - off), min(1.0, q + off)], SKETCH_ACCURACY).alias(p)
+                        for p in places]).first()
+    entries = []
+    for c, p in zip(cols, places):
+        low, high = (F.lit(x).cast("double") for x in limits[p] or (None, None))
+        at = F.when(F.col(p) < low, 0).when(F.col(p) > high, 2).otherwise(1)
+        entries.append(F.struct(F.lit(c).alias("column_name"), F.col(p).alias("_own"), at.alias("_range")))
+    counts = hand_over(
+        held.select(F.inline(F.array(*entries)))
+        .groupBy("column_name", F.when(F.col("_range") == 1, F.col("_own")).alias("_v"), "_range")
+        .agg(F.count("_own").alias("_c")), "values")
+    # Three rows per column.
+    found: dict[str, list[int]] = {c: [0, 0, 0] for c in cols}
+    for row in counts.groupBy("column_name", "_range").agg(F.sum("_c").alias("n")).collect():
+        found[row["column_name"]][row["_range"]] = row["n"]
+    for below, near, above in found.values():
+        rank = (below + near + above - 1) * float(q)
+        if rank >= 0 and not below <= floor(rank) <= ceil(rank) < below + near:
+            return _value_counts(held.toDF(*cols), cols, [])
+    return counts
+
+
 def _value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Rows (by..., column_name, _v, _c, _range): distinct values with counts, written in order.
 

@@ -164,3 +164,13 @@ def test_dedup_prunes_before_the_shuffle(spark, skewed):
 def test_verify_unique(skewed):
     got = windows.verify_unique(skewed, ["key"]).first()
     assert got["rows"] == 6003 and got["distinct_keys"] + got["surplus_rows"] == 6003
+
+
+def test_quantile_keeps_only_values_near_the_rank(spark, monkeypatch):
+    """Values away from the rank are counted, not kept; a wrong guess does not change the result."""
+    df = spark.range(0, 20_000, 1, 4).select(F.col("id").cast("double").alias("v"))
+    near = ordered._near_rank(df, ["v"], 0.5)
+    assert near.count() < 200 and near.agg(F.sum("_c")).first()[0] == 20_000
+    monkeypatch.setattr(ordered, "GUESS_ROWS", 200)
+    monkeypatch.setattr(ordered, "GUESS_SLACK", -33 / 20_000)     # no room at all
+    assert ordered.exact_quantile(df, ["v"], 0.5).first()["value"] == pytest.approx(9999.5)
