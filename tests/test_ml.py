@@ -511,3 +511,16 @@ def test_study_end_to_end(spark, tmp_path):
     logged = runs.latest_values(runs.read_runs(spark, str(tmp_path / "runs")))
     assert {"test_roc_auc", "val_pr_auc"} <= {
         r["key"] for r in logged.filter(F.col("name") == out.best).collect()}
+
+
+def test_rows_go_on_from_the_level_before():
+    """Nodes found level by level are those found from the root, also for rows in early leaves."""
+    rng = np.random.default_rng(1)
+    bins = rng.integers(0, 4, (2, 200)).astype(np.uint8)
+    block = boost._Block.at(bins, rng.integers(0, 2, 200).astype(np.uint8), np.ones(200), np.zeros(200))
+    tree = boost._Growing.of(3)
+    for node, f, b in ((0, 0, 1), (1, 1, 2), (4, 1, 0)):
+        tree.feature[node], tree.bin[node] = f, b
+        assert np.array_equal(block.placed(tree), tree.place(bins))
+        assert np.array_equal(block.places["last"], tree.place(bins))
+    assert set(block.places["last"]) <= {2, 3, 4, 9, 10}
