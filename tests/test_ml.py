@@ -524,3 +524,73 @@ def test_rows_go_on_from_the_level_before():
         assert np.array_equal(block.placed(tree), tree.place(bins))
         assert np.array_equal(block.places["last"], tree.place(bins))
     assert set(block.places["last"]) <= {2, 3, 4, 9, 10}
+
+
+def test_the_heavier_child_is_never_added_up():
+    """Each split's lighter child is counted, its sibling is what the parent has besides."""
+    rng = np.random.default_rng(2)
+    bins, y = rng.integers(0, 8, (3, 3000)).astype(np.uint8), rng.integers(0, 2, 3000).astype(np.uint8)
+    block = boost._Block.at(bins, y, np.where(y == 1, 1.5, 1.0), rng.normal(size=3000))
+    seen, whole = [], []
+
+    class Watched:
+        def histograms(self, size, tree, nodes):
+            seen.append(nodes.tolist())
+            level = range((1 << len(seen) - 1) - 1, (1 << len(seen)) - 1)
+            at, (g, h) = tree.place(bins), block.slopes(slice(None))
+            whole.append(np.array([[[np.bincount(c[at == k], s[at == k], 8) for k in level] for c in bins] for s in (g, h)]))
+            return block.histograms(size, tree, nodes)
+
+    made = []
+    split = boost._split
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(boost, "_split", lambda sums, *rest: (made.append(sums.copy()), split(sums, *rest)))
+        boost._grow(lambda of: of(Watched()), 8, 3, 0.1)
+    assert [len(nodes) for nodes in seen] == [1, 1, 2]
+    for got, want, nodes in zip(made, whole, seen):
+        assert np.allclose(got, want, atol=1e-9)
+        for k in nodes[:len(nodes) * (len(seen) > 1)]:
+            if k:
+                first = want.shape[2] - 1
+                hessian = want[1, 0].sum(axis=1)
+                assert hessian[k - first] <= hessian[(k - 1 ^ 1) + 1 - first] + 1e-9
+
+
+@pytest.mark.parametrize("depth, limits", [(3, 5), (9, 5), (3, 400), (9, 400)])
+def test_leaves_by_limits_are_those_by_values(depth, limits):
+    """Small and large trees, few and many limits, values at limits and gaps."""
+    rng = np.random.default_rng(depth + limits)
+    grid = np.sort(rng.normal(size=limits))
+
+    def grow(nodes, level):
+        k = len(nodes)
+        nodes.append([-1, np.nan, -1, -1])
+        if level and (level > 1 or rng.random() < 0.7):
+            nodes[k][:2] = int(rng.integers(0, 3)), grid[rng.integers(0, limits)]
+            nodes[k][2] = grow(nodes, level - 1)
+            nodes[k][3] = grow(nodes, level - 1)
+        return k
+
+    made = []
+    for _ in range(4):
+        nodes: list = []
+        grow(nodes, depth)
+        f, limit, left, right = (np.array(c) for c in zip(*nodes))
+        made.append(trees.Tree(f, limit, left, right, rng.random(len(f)), np.ones(len(f))))
+    made.append(trees.Tree(*(np.array([v]) for v in (-1, np.nan, -1, -1, 2.0, 1.0))))
+    x = np.where(rng.random((500, 3)) < 0.5, rng.choice(grid, (500, 3)), rng.normal(size=(500, 3)))
+    x[::50, 1] = np.nan
+    for tree, at in zip(made, trees.Places(made).leaves(x)):
+        assert np.array_equal(at, tree.place(x))
+    assert np.array_equal(trees.margins(x, made), sum(t.value[t.place(x)] for t in made))
+
+
+def test_forest_shared_out_by_trees_is_the_one_grown_by_levels(rows, monkeypatch):
+    alone = train.train_forest(rows, FEATURES, "y", trees=5, depth=4)
+    monkeypatch.setattr(forest, "ALONE_ROWS", 0)
+    monkeypatch.setattr(forest, "GROUP_CELLS", 1 << 12)
+    together = train.train_forest(rows, FEATURES, "y", trees=5, depth=4)
+    assert len(alone.trees) == 5
+    for a, b in zip(alone.trees, together.trees):
+        for name in ("feature", "threshold", "left", "right", "value", "cover"):
+            assert np.array_equal(getattr(a, name), getattr(b, name), equal_nan=True)
