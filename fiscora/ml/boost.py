@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from fiscora.ml.trees import Places, Tree, margins
 from fiscora.session import hand_over, keep
 
-BLOCK_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 17
 TASK_ROWS = 1 << 20         # rows that one task grows trees from alone in less time than jobs take to start
 MOST_TASKS = 64             # tasks that send sums to the driver, some 5 MB at the deepest level
 LOOPED_NODES = 128          # splits of a tree up to which all rows are compared at each

@@ -27,10 +27,10 @@ from pyspark.sql.types import DoubleType, StructField
 from fiscora.ml import boost
 from fiscora.ml.trees import Tree, margins
 
-BLOCK_ROWS = 1 << 19
-CHUNK_ROWS = 1 << 16        # rows whose places and counts are worked out while they are in a core's cache
+BLOCK_ROWS = 1 << 16
 ALONE_ROWS = 1 << 20        # rows that tasks read whole, each for trees of its own
 TASK_ROWS = 1 << 15         # rows that are worth a task
+MOST_ROWS = 1 << 25         # rows of a task
 GROUP_CELLS = 1 << 25       # counts that a task holds at the deepest level, 4 bytes each
 STRETCH = 256               # nodes whose counts travel together
 
@@ -110,16 +110,12 @@ def _bag(block: int, cells: np.ndarray, trees: Sequence[int], seed: int, once: b
     return cells, draws, np.where(draws > 0, 0, -1).astype(kind)
 
 
-def _chunks(block: tuple) -> Iterator[tuple]:
-    """(slice, cells, tree, rows with a node, their nodes), chunk by chunk."""
-    cells, _, at = block
-    for start in range(0, at.shape[1], CHUNK_ROWS):
-        part = slice(start, start + CHUNK_ROWS)
-        own = cells[part].ravel()
-        for t, nodes in enumerate(at[:, part]):
-            rows = np.flatnonzero(nodes >= 0)
-            if len(rows):
-                yield part, own, t, rows, nodes.take(rows).astype(np.int64)
+def _inside(block: tuple) -> Iterator[tuple]:
+    """(tree, rows with a node, their nodes)."""
+    for t, nodes in enumerate(block[2]):
+        rows = np.flatnonzero(nodes >= 0)
+        if len(rows):
+            yield t, rows, nodes.take(rows).astype(np.int64)
 
 
 def _moved(block: tuple, moves: Sequence[np.ndarray]) -> tuple:
@@ -128,10 +124,10 @@ def _moved(block: tuple, moves: Sequence[np.ndarray]) -> tuple:
     out, width = np.full_like(at, -1), cells.shape[1]
     ways = [(np.maximum(f, 0).astype(np.int64), 2 * b.astype(np.int64) + 1,
              np.where(f < 0, -1, [low, high]).T.astype(at.dtype).ravel()) for f, b, low, high in moves]
-    for part, own, t, rows, node in _chunks(block):
+    for t, rows, node in _inside(block):
         column, limit, child = ways[t]
-        high = own.take(rows * width + column.take(node)) > limit.take(node)
-        out[t, part][rows] = child.take(2 * node + high)
+        high = cells.take(rows * width + column.take(node)) > limit.take(node)
+        out[t, rows] = child.take(2 * node + high)
     return cells, draws, out
 
 
@@ -140,15 +136,15 @@ def _counts(blocks: Iterator[tuple], drawn: Sequence[np.ndarray], size: int, str
     sums: list = [None] * len(drawn)
     sides = [np.ascontiguousarray(columns.T) for columns in drawn]
     for block in blocks:
-        draws, width = block[1], block[0].shape[1]
-        for part, own, t, rows, node in _chunks(block):
+        cells, draws, _ = block
+        for t, rows, node in _inside(block):
             most = len(sides[t])
             if sums[t] is None:
                 sums[t] = np.zeros(len(drawn[t]) * most * size * 2, np.uint32)
-            weight, first = draws[t, part].take(rows).astype(np.uint32), rows * width
+            weight, first = draws[t].take(rows).astype(np.uint32), rows * cells.shape[1]
             for j, column in enumerate(sides[t]):
                 key = (node * most + j) * (size * 2)
-                key += own.take(first + column.take(node))
+                key += cells.take(first + column.take(node))
                 np.add.at(sums[t], key, weight)
     for t, found in enumerate(sums):
         if found is not None:
@@ -261,7 +257,7 @@ def fit_forest(df: DataFrame, features: Sequence[str], label: str, trees: int =
     weights = np.array([n / (2 * c) if c else 1.0 for c in (n - pos, pos)])
     context = df.sparkSession.sparkContext
     tasks = 1 if n <= ALONE_ROWS else min(
-        -(-n // TASK_ROWS), max(context.defaultParallelism, -(-n // (64 * BLOCK_ROWS))))
+        -(-n // TASK_ROWS), max(context.defaultParallelism, -(-n // MOST_ROWS)))
     ready = df.select(*[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
                       (F.col(label) == 1).cast("double").alias("_y"))
     blocks = boost.blocks_of(ready, tasks, cuts, BLOCK_ROWS, "forest")
